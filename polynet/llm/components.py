@@ -1,0 +1,38 @@
+"""Connected components of a graph given as a table of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import keep
+
+
+def _print_of(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+
+def components(links: DataFrame, first: str = "a", second: str = "b") -> DataFrame:
+    """`id`, `component` (smallest id reachable) of every id in `links`, but for those that are their own component.
+
+    Alternates large-star and small-star steps: each turns the links into
+    links to the smallest neighbour known so far, with minima taken by a
+    partially aggregated groupBy, so a hub's links never meet in one task.
+    Rounds grow with the logarithm of the longest chain. Self links and null
+    ends are ignored; an empty table gives an empty result.
+    """
+    a, b = F.col(first), F.col(second)
+    links = keep(links.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
+    before = _print_of(links)
+    while before[0]:
+        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = keep(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
+        after = _print_of(links)
+        if after == before:
+            break
+        before = after
+    return links.select(F.col("u").alias("id"), F.col("v").alias("component"))
