@@ -22,7 +22,7 @@ from .common import dimension, keep, usable
 from .components import components
 
 #: Words in each half's codebook, mean filters of a vector, members of a block.
-CODEWORDS, FILTERS, BLOCK = 4096, 40, 256
+CODEWORDS, FILTERS, BLOCK = 4096, 80, 256
 
 
 class ProductCode:

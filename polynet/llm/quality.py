@@ -4,6 +4,8 @@ Two zstandard dictionaries are built, one from good and one from bad labelled
 text. A text is compressed with both, chunk by chunk; the difference of the
 two sizes over the text's size says which kind it is more like, and a logistic
 curve fitted on labelled texts that built no dictionary turns it into a score.
+Short texts say little: sizes count with `SHORT_BYTES` added, and the share of
+these in the sum is the curve's second input.
 """
 
 from __future__ import annotations
@@ -21,34 +23,33 @@ from .common import bounded_sample, logistic, remainder, sigmoid
 
 #: Labelled texts of each class for the dictionaries and as many for the curve, chunks of each for the dictionaries.
 TRAIN_ROWS, TRAIN_CHUNKS = 2000, 4
-CHUNK_BYTES, DICTIONARY_BYTES, LEVEL = 1024, 112_640, 3
+CHUNK_BYTES, SHORT_BYTES, DICTIONARY_BYTES, LEVEL = 1024, 128, 112_640, 3
 #: Score from which a text counts as good.
 THRESHOLD = 0.3
 
 
 @dataclass(frozen=True)
 class Compressed:
-    """The two dictionaries (empty: no labelled text of that class) and the curve's slope and intercept."""
+    """The two dictionaries (empty: no labelled text of that class) and the curve's two slopes and intercept."""
 
     good: bytes
     bad: bytes
-    slope: float
-    intercept: float
+    curve: tuple[float, float, float]
 
-    def differences(self, texts: list[str]) -> np.ndarray:
-        """(size with the bad dictionary - size with the good one) / size, 0 for empty texts."""
+    def inputs(self, texts: list[str]) -> np.ndarray:
+        """Rows of (size with the bad dictionary - size with the good one) / size, and shortness (1 for empty texts)."""
         good, bad = _compressor(self.good), _compressor(self.bad)
-        out = np.zeros(len(texts))
+        out = np.zeros((len(texts), 2))
         for i, t in enumerate(texts):
             raw = t.encode("utf-8", "surrogatepass")
             for at in range(0, len(raw), CHUNK_BYTES):
                 chunk = raw[at : at + CHUNK_BYTES]
-                out[i] += len(bad.compress(chunk)) - len(good.compress(chunk))
-            out[i] /= max(len(raw), 1)
+                out[i, 0] += len(bad.compress(chunk)) - len(good.compress(chunk))
+            out[i] = np.array([out[i, 0], SHORT_BYTES]) / (len(raw) + SHORT_BYTES)
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        return sigmoid(self.slope * self.differences(texts) + self.intercept)
+        return sigmoid(self.inputs(texts) @ np.array(self.curve[:2]) + self.curve[2])
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -95,20 +96,21 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 
     chunks = sample.where("fold = 0").mapInPandas(cut, "id long, place int, label int, chunk binary").toPandas().sort_values(["id", "place"])
     good, bad = (_dictionary([bytes(x) for x in chunks.chunk[chunks.label == y]]) for y in (1, 0))
-    plain = Compressed(good, bad, 1.0, 0.0)
+    plain = Compressed(good, bad, (1.0, 0.0, 0.0))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf.id, "label": pdf.label, "difference": plain.differences(pdf.text.tolist())})
+            difference, short = plain.inputs(pdf.text.tolist()).T
+            yield pd.DataFrame({"id": pdf.id, "label": pdf.label, "difference": difference, "short": short})
 
-    seen = sample.where("fold = 1").mapInPandas(measure, "id long, label int, difference double").toPandas().sort_values("id")
+    seen = sample.where("fold = 1").mapInPandas(measure, "id long, label int, difference double, short double").toPandas().sort_values("id")
     counts = {r["label"]: r["count"] for r in labels.groupBy(F.col(label).cast("int").alias("label")).count().collect() if r["label"] in (0, 1)}
     if set(seen.label) != {0, 1}:
         prior = counts.get(1, 0) / max(sum(counts.values()), 1)
-        return Compressed(good, bad, 0.0, float(np.log((prior + 0.01) / (1.01 - prior))))
+        return Compressed(good, bad, (0.0, 0.0, float(np.log((prior + 0.01) / (1.01 - prior)))))
     weight = np.array([counts[y] / max((seen.label == y).sum(), 1) for y in seen.label])
-    slope, intercept = logistic(seen.difference.to_numpy()[:, None], seen.label.to_numpy(float), penalty=1e-6, weight=weight)
-    return Compressed(good, bad, float(max(slope, 0)), float(intercept))
+    curve = logistic(seen[["difference", "short"]].to_numpy(), seen.label.to_numpy(float), penalty=1e-6, weight=weight)
+    return Compressed(good, bad, tuple(map(float, curve)))
 
 
 def score(docs: DataFrame, model: Compressed, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
