@@ -20,6 +20,18 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="polynet-")
 
 
+#: Rows of an Arrow batch. Texts are long rows: the default of 10,000 makes batches of tens of MB.
+ARROW_ROWS = "1000"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table. Sets the session's Arrow batch to `ARROW_ROWS`, unless the session has its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, ARROW_ROWS)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's `spark.checkpoint.dir`; a folder of our own only where it is unset."""
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{_own_folder()}"

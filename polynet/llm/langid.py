@@ -22,7 +22,7 @@ from .common import LetterTable, blocks, bounded_sample, remainder, squeezed
 
 DIMENSIONS, GRAM, TRAIN_ROWS = 1024, 3, 2000
 #: Code points worked on at once, texts bundled at once, and n-grams bound at once.
-BATCH_POINTS, BATCH_TEXTS, BATCH_GRAMS = 1_000_000, 256, 8192
+BATCH_POINTS, BATCH_TEXTS, BATCH_GRAMS = 500_000, 256, 4096
 
 
 @lru_cache(maxsize=1)

@@ -30,7 +30,7 @@ from .components import components
 
 WORDS, BANDS, ROWS = 5, 22, 6
 #: Members of one block in step 4, and bytes of text that are worked on at once.
-BLOCK, BATCH_BYTES = 128, 2_000_000
+BLOCK, BATCH_BYTES = 128, 1_000_000
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)

@@ -144,6 +144,8 @@ def with_draws(docs: DataFrame, size: Column, weights: tuple[float, ...] = (5, 2
     table = _quotas(docs.sparkSession, quotas, block)
     slices = docs.sparkSession.createDataFrame([(r["source"], parts(r["n"], window_rows)) for r in totals], "_source string, _slices int")
     table = table.join(slices, table["_source"].eqNullSafe(slices["_source"])).drop(slices["_source"])
+    if len(quotas) <= 10_000:  # the sources of a mixture; more are joined by a shuffle
+        table = F.broadcast(table)
     joined = sized.join(table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     slice_no = F.least(F.floor(((F.col("_hash") / float(1 << 64)) + 0.5) * F.col("_slices")), F.col("_slices") - 1)
     joined = joined.withColumn("_slice", slice_no.cast("int"))

@@ -27,7 +27,7 @@ from .common import keep, parts
 
 WINDOW, END_ID, GROUP_PIECES = 2048, 1, 5000
 #: Characters of words whose ids a worker remembers.
-CACHE_CHARS = 20_000_000
+CACHE_CHARS = 6_000_000
 #: A space before a visible character always starts a token of its own with what follows, so texts may be cut there.
 _CUT = re.compile(r" (?=\S)")
 
@@ -40,27 +40,42 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # tokens that begin with a space, which a byte-level vocabulary writes as U+0120
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "")[:1] == "\u0120" for i in range(self.tokenizer.get_vocab_size())])
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
         self.chars = 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.chars > CACHE_CHARS:
-            self.known, self.chars = {}, 0
+            self.forget()
         split = [_CUT.split(t) for t in texts]
         known = self.known  # by the word without the space that stands before it
         new = list({p for words in split for p in words[1:] if p not in known})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            known.update(zip(some, self._ids([f" {p}" for p in some]), strict=True))
-            self.chars += sum(map(len, some))
+        plain = [p for p in new if p.split() == [p]]
+        for at in range(0, len(plain), 512):
+            known.update(self._ids_of_words(plain[at : at + 512]))
+        odd = [p for p in new if p not in known]
+        known.update(zip(odd, self._ids([f" {p}" for p in odd]), strict=True))
+        self.chars += sum(map(len, new))
         starts = self._ids([words[0] for words in split])
         return [np.frombuffer(start + b"".join([known[p] for p in words[1:]]), "<u4") for start, words in zip(starts, split, strict=True)]
 
+    def _ids_of_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words without white space inside, each as after a space: in one call, each word's first token has the space."""
+        found = self.tokenizer.encode("".join([f" {p}" for p in words]), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        cuts = np.flatnonzero(self.spaced[ids])
+        raw, cuts = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+        return {p: raw[a:b] for p, a, b in zip(words, cuts[:-1], cuts[1:], strict=True)}
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 

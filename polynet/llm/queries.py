@@ -8,10 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, caps, chat, langid, minhash, mixing, packing, quality, sharding, toxicity
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from .common import table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

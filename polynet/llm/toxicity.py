@@ -23,7 +23,7 @@ from .quality import labelled_texts
 GRAMS, HASH_BITS = (3, 4, 5), 20
 #: Labelled texts of each class, features that get a weight, texts that must hold a feature.
 TRAIN_ROWS, FEATURES, LEAST_TEXTS = 3000, 8192, 5
-BATCH_POINTS = 1_000_000
+BATCH_POINTS = 300_000
 THRESHOLD = 0.5
 
 
