@@ -19,6 +19,10 @@ def _base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
+def snapshot_name() -> Column:
+    return F.url_decode(_base_name(F.input_file_name()))
+
+
 def read_networks(spark: SparkSession, path: str) -> tuple[Network, DataFrame]:
     """All network files of a folder, one snapshot a file, and `issues`: what was left out and why.
 
@@ -26,7 +30,11 @@ def read_networks(spark: SparkSession, path: str) -> tuple[Network, DataFrame]:
     missing vertices, are left out. The file name without its extension is the snapshot.
     """
     docs = spark.read.schema(NETWORK).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-    docs = docs.withColumn("snapshot_id", F.url_decode(_base_name(F.input_file_name())))
+    return networks_of(docs.withColumn("snapshot_id", snapshot_name()))
+
+
+def networks_of(docs: DataFrame) -> tuple[Network, DataFrame]:
+    """`read_networks` of documents that are read already, with their `snapshot_id`."""
     vertices = docs.select("snapshot_id", F.explode("vertices").alias("p")).select("snapshot_id", F.col("p.id").alias("vertex_id"), "p.x", "p.y")
     known = vertices.select("snapshot_id", "vertex_id").distinct()
     lines = docs.select("snapshot_id", F.explode("lines").alias("l")).select("snapshot_id", F.col("l.id").alias("line_id"), F.col("l.startVertexId").alias("v1"), F.col("l.endVertexId").alias("v2"))
