@@ -41,7 +41,7 @@ _POINTS = """SELECT c_nationkey::BIGINT AS s, c_custkey AS point_id, c_acctbal::
 def _pruned(rounds: int) -> str:
     steps = ["p0 AS MATERIALIZED (SELECT s, x, y FROM px)"]
     for i in range(rounds):
-        steps.append(f"p{i + 1} AS MATERIALIZED (SELECT s, x, y FROM p{i} ANTI JOIN (SELECT a.s, a.x, a.y FROM p{i} a CROSS JOIN off JOIN p{i} b ON b.s = a.s AND b.x = a.x + dx AND b.y = a.y + dy GROUP BY ALL HAVING count(*) = 1) USING (s, x, y))")
+        steps.append(f"p{i + 1} AS MATERIALIZED (SELECT s, x, y FROM p{i} ANTI JOIN (SELECT s, x + dx AS x, y + dy AS y FROM p{i} CROSS JOIN off GROUP BY ALL HAVING count(*) = 1) USING (s, x, y))")
     return ", " + ", ".join(steps) + f" SELECT s AS snapshot_id, x, y FROM p{rounds}"
 
 
