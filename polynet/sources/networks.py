@@ -52,17 +52,28 @@ def networks_of(docs: DataFrame) -> tuple[Network, DataFrame]:
     return Network(vertices, good, whole, stored.where("first_id <> second_id").distinct().withColumn("division_time", F.lit(None).cast("int"))), issues
 
 
+def _label_lines(spark: SparkSession, path: str) -> DataFrame:
+    """`snapshot_id`, `line`, `text` of the first label file, by the order of names, of each snapshot."""
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.url_decode(F.input_file_name()))
+    name = _base_name(F.col("file"))
+    named = name.endswith("_real_division_pairs")
+    files = files.withColumn("snapshot_id", F.regexp_replace(name, "_real_division_pairs$", ""))
+    order = F.when(named & F.col("file").endswith(".csv"), 0).when(named, 1).otherwise(2)
+    best = files.select("snapshot_id", F.struct(order.alias("order"), "file").alias("k")).groupBy("snapshot_id").agg(F.min("k").alias("k"))
+    chosen = files.join(best.select("snapshot_id", F.col("k.file").alias("file")), ["snapshot_id", "file"])
+    return chosen.select("snapshot_id", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Label files `<snapshot>_real_division_pairs.csv|txt`: `snapshot_id`, `first_id`, `second_id`, `division_time`.
 
     A first line that starts with neither digit nor minus is a header; fields
     are parted by commas, semicolons or white space; a time that is no number is
     -1, a missing one too; lines without two ids are left out; of repeated
-    pairs the last counts.
+    pairs the last counts. Of a snapshot's files one is read: `.csv` before
+    `.txt` before a file named as the snapshot alone.
     """
-    files = spark.read.text(path, wholetext=True).withColumn("name", F.url_decode(_base_name(F.input_file_name())))
-    files = files.withColumn("snapshot_id", F.regexp_replace("name", "_real_division_pairs$", ""))
-    lines = files.select("snapshot_id", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    lines = _label_lines(spark, path)
     fields = lines.withColumn("f", F.filter(F.split(F.trim("text"), r"[,;\s]+"), lambda x: x != ""))
     number = lambda i: F.try_element_at("f", F.lit(i)).try_cast("int")
     a, b = number(1), number(2)
@@ -70,6 +81,34 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("snapshot_id", "first_id", "second_id").agg(F.max_by("division_time", "line").alias("division_time"))
 
 
+def read_mixed_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Label files whose lines may be in three layouts: ids and time; file name, ids and time; rows of a pair-geometry table.
+
+    Of a pair-geometry row (file, number, ids, observed, time) only observed
+    pairs count. Fields may be quoted, whole numbers written as `37.0`. Lines
+    that begin with `#` and lines without two ids are left out; a missing time
+    is -1; of repeated pairs the first counts.
+    """
+    lines = _label_lines(spark, path).withColumn("text", F.trim("text")).where("text <> '' and not startswith(text, '#')")
+    fields = F.when(F.contains(F.col("text"), F.lit(",")), F.split("text", ",")).otherwise(F.split("text", r"\s+"))
+    rows = lines.withColumn("f", F.transform(fields, lambda x: F.trim(F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"))))
+
+    def whole(i: int) -> Column:
+        value = F.try_element_at("f", F.lit(i)).try_cast("double")
+        return F.when(F.abs(value - F.round(value)) < 1e-9, F.round(value).cast("int"))
+
+    def layout(first: int, time: int) -> Column:
+        known = whole(first).isNotNull() & whole(first + 1).isNotNull()
+        when = F.try_element_at("f", F.lit(time)).try_cast("double").cast("int")
+        return F.when(known, F.struct(whole(first).alias("a"), whole(first + 1).alias("b"), F.coalesce(when, F.lit(-1)).alias("t")))
+
+    geometry = (F.size("f") >= 6) & whole(3).isNotNull() & whole(4).isNotNull() & whole(5).isNotNull()
+    found = F.when(geometry, F.when(whole(5) != 0, layout(3, 6))).otherwise(F.coalesce(layout(1, 3), layout(2, 4)))
+    rows = rows.withColumn("p", found).where(F.col("p").isNotNull())
+    pairs = rows.select("snapshot_id", "line", F.least("p.a", "p.b").alias("first_id"), F.greatest("p.a", "p.b").alias("second_id"), F.col("p.t").alias("division_time"))
+    return pairs.groupBy("snapshot_id", "first_id", "second_id").agg(F.min_by("division_time", "line").alias("division_time"))
+
+
 def repaired_labels(labels: DataFrame, polygons: DataFrame) -> DataFrame:
     """Labels with 1-based ids moved to 0-based, a snapshot at a time, if an id is out of range and fits after; bad ones left out."""
     n = polygons.groupBy("snapshot_id").agg(F.count("*").alias("n"))

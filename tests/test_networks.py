@@ -91,6 +91,11 @@ def test_readers(spark, tmp_path):
     (tmp_path / "l" / "a_real_division_pairs.csv").write_text("real_division_pair\n1 2 30\n\n2;1;31\n4,5\n6\n7 8 x\n")
     got = {tuple(r) for r in networks.read_labels(spark, str(tmp_path / "l")).collect()}
     assert got == {("a", 1, 2, 31), ("a", 4, 5, -1), ("a", 7, 8, -1)}
+    (tmp_path / "l" / "a_real_division_pairs.txt").write_text("9 9 9\n")
+    (tmp_path / "l" / "b.csv").write_text('# made by hand\nfile_name,first,second,time\n"b.json",3,"4.0",12\n5,6,7.0\n6,5,8\nb.json,1,8,9,1,30,0.5\nb.json,2,1,2,0,-1,0.5\nx,y\n')
+    assert {tuple(r) for r in networks.read_labels(spark, str(tmp_path / "l")).where("snapshot_id = 'a'").collect()} == got
+    mixed = networks.read_mixed_labels(spark, str(tmp_path / "l")).where("snapshot_id = 'b'")
+    assert {tuple(r)[1:] for r in mixed.collect()} == {(3, 4, 12), (5, 6, 7), (8, 9, 30)}
     (tmp_path / "r.csv").write_text("feature,cutoff_value,below_or_above,note\narea,12.5,below,x\nlength,no,above,\n")
     assert [tuple(r) for r in networks.read_rules(spark, str(tmp_path / "r.csv")).collect()] == [("area", 12.5, False, "x"), ("length", None, True, None)]
     assert networks.read_exceptions(spark, str(tmp_path / "r.csv")).count() == 0
