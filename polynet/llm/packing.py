@@ -51,9 +51,14 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.chars > CACHE_CHARS:
             self.forget()
-        split = [_CUT.split(t) for t in texts]
+        split = [t.split(" ") for t in texts]
         known = self.known  # by the word without the space that stands before it
-        new = list({p for words in split for p in words[1:] if p not in known})
+        new = {p for words in split for p in words[1:] if p not in known}
+        uncut = {p for p in new if not p or p[0].isspace()}
+        if uncut:  # a space before white space or at the end is no place to cut
+            split = [words if uncut.isdisjoint(words[1:]) else _CUT.split(t) for t, words in zip(texts, split, strict=True)]
+            new = {p for words in split for p in words[1:] if p not in known}
+        new = list(new)
         plain = [p for p in new if p.split() == [p]]
         for at in range(0, len(plain), 512):
             known.update(self._ids_of_words(plain[at : at + 512]))
@@ -61,18 +66,19 @@ class WordTokenizer:
         known.update(zip(odd, self._ids([f" {p}" for p in odd]), strict=True))
         self.chars += sum(map(len, new))
         starts = self._ids([words[0] for words in split])
-        return [np.frombuffer(start + b"".join([known[p] for p in words[1:]]), "<u4") for start, words in zip(starts, split, strict=True)]
+        of = known.__getitem__
+        return [np.frombuffer(start + b"".join(map(of, words[1:])), "<u4") for start, words in zip(starts, split, strict=True)]
 
     def _ids_of_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words without white space inside, each as after a space: in one call, each word's first token has the space."""
-        found = self.tokenizer.encode("".join([f" {p}" for p in words]), add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(["".join([f" {p}" for p in words])], add_special_tokens=False)[0]
         ids = np.array(found.ids, "<u4")
         cuts = np.flatnonzero(self.spaced[ids])
         raw, cuts = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
         return {p: raw[a:b] for p, a, b in zip(words, cuts[:-1], cuts[1:], strict=True)}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=1)
