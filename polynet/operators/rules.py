@@ -148,3 +148,22 @@ def feature_summary(features: DataFrame, labels: DataFrame, feature: str) -> Dat
     rows = features.join(labels.select(*PAIR).distinct().withColumn("real", F.lit(True)), PAIR, "left").withColumn("real", F.coalesce("real", F.lit(False)))
     quartile = lambda q: F.percentile(feature, F.lit(q))
     return rows.groupBy("real").agg(F.count(feature).alias("n"), F.avg(feature).alias("mean"), *[quartile(q).alias(f"q{int(100 * q)}") for q in (0.25, 0.5, 0.75)])
+
+
+def matched_sweep(features: DataFrame, pairs: DataFrame, labels: DataFrame, feature: str, thresholds: list[float], mode: str = GREEDY, above: bool = True) -> DataFrame:
+    """Metrics at each threshold with one-to-one matching, all thresholds in one job: `threshold`, counts, ratios."""
+    table = rule_metrics(features, pairs, labels, [Rule(feature, t, above, mode) for t in thresholds])
+    return table.drop("rule_id", "feature_key", "comparison", "note", "files_processed", "files_with_results")
+
+
+def feature_histogram(features: DataFrame, labels: DataFrame, feature: str, width: float) -> DataFrame:
+    """Pairs by whether they are labelled and by bins of `width`: `real`, `bin` (its lower end), `n`; undefined values don't count."""
+    rows = features.where(F.col(feature).isNotNull() & ~F.isnan(feature))
+    rows = rows.join(labels.select(*PAIR).distinct().withColumn("real", F.lit(True)), PAIR, "left").withColumn("real", F.coalesce("real", F.lit(False)))
+    return rows.groupBy("real", (F.floor(F.col(feature) / width) * F.lit(float(width))).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def temporal_summary(features: DataFrame, labels: DataFrame, feature: str) -> DataFrame:
+    """A feature of the labelled pairs by the time of their division: `division_time`, `n`, `mean`, `least`, `most`."""
+    rows = features.join(labels.dropDuplicates(PAIR), PAIR)
+    return rows.groupBy("division_time").agg(F.count(feature).alias("n"), F.avg(feature).alias("mean"), F.min(feature).alias("least"), F.max(feature).alias("most"))

@@ -105,6 +105,14 @@ def faces_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("snapshot_id", "polygon_id", faces.polygon_key(F.col("vertex_ids")).alias("ring_key"), F.size("vertex_ids").alias("n_vertices"), _r("area").alias("area"))
 
 
+@query(""", ringed AS (SELECT r.s, p, list(r.v ORDER BY i) AS ids, min({'y': y, 'x': x}) AS top FROM ring r JOIN vertices v ON v.s = r.s AND v.v = r.v GROUP BY r.s, p)
+SELECT s AS snapshot_id, array_to_string(ids, ':') AS ring, row_number() OVER (PARTITION BY s ORDER BY top.y, top.x, ids) - 1 AS polygon_id FROM ringed""")
+def polygon_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = mesh(spark, sf_dir)
+    found = faces.ordered(faces.with_points(net.polygons.select("snapshot_id", "vertex_ids"), net.vertices))
+    return found.select("snapshot_id", F.array_join("vertex_ids", ":").alias("ring"), F.col("polygon_id").cast("long").alias("polygon_id"))
+
+
 @query(""", ringed AS (SELECT s, p, list(v ORDER BY i) AS ids FROM ring GROUP BY s, p),
 every AS (SELECT s, p, ids FROM ringed UNION ALL SELECT s, p + 100, list_reverse(ids[3:] || ids[:2]) FROM ringed WHERE p % 3 = 0 UNION ALL SELECT s, p - 100, ids[2:] || ids[:1] FROM ringed WHERE p % 5 = 0),
 k AS (SELECT s, p, list_sort(list_transform(range(1, 7), lambda i: ids[i:] || ids[:i - 1]) || list_transform(range(1, 7), lambda i: list_reverse(ids[i:] || ids[:i - 1])))[1] AS k FROM every)

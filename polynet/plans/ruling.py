@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import matching, places, rules
+from ..functions.tables import keep
+from ..operators import evaluate, matching, places, rules
 from ..operators.adjacency import neighbours
+from ..sources import alldata
 from ..sources.mesh import mesh
-from .catalogue import _COUNTS, _RATIOS, FEATURE, PAIR, THRESHOLD, _candidates, _cells, _features, _r, _rounded, query
+from .catalogue import _COUNTS, _FLAGS, _RATIOS, FEATURE, PAIR, THRESHOLD, _candidates, _cells, _features, _r, _rounded, query
 
 RULES = [rules.Rule(FEATURE, 145.0, note="mean"), rules.Rule("junctionAngleMaxDegrees", 160.0, note="max"), rules.Rule("junctionAngleDifferenceDegrees", 20.0, above=False)]
 
@@ -86,3 +88,52 @@ def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.estimates(_features(mesh(spark, sf_dir), "junction"), [rules.Rule(FEATURE, THRESHOLD)])
     top = F.struct("score", -F.col("first_id"), -F.col("second_id"))
     return found.groupBy("snapshot_id").agg(F.count("*").alias("candidates"), _r(F.max("score")).alias("best_score"), F.max_by("first_id", top).alias("best_first"), F.max_by("second_id", top).alias("best_second"))
+
+
+_SWEPT = (130.0, 140.0, 150.0, 160.0)
+
+
+@query(f""", th AS (SELECT unnest({list(_SWEPT)})::DOUBLE AS th),
+ranked AS (SELECT th, s, a, b, row_number() OVER (PARTITION BY th, s ORDER BY mean DESC, a, b) AS k FROM junction CROSS JOIN th WHERE mean >= th),
+taken AS (
+  SELECT th, n_nationkey::BIGINT AS s, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS a, NULL::BIGINT AS b FROM nation CROSS JOIN th
+  UNION ALL
+  SELECT t.th, t.s, t.k + 1, CASE WHEN list_contains(used, r.a) OR list_contains(used, r.b) THEN used ELSE used || [r.a, r.b] END,
+    CASE WHEN list_contains(used, r.a) OR list_contains(used, r.b) THEN NULL ELSE r.a END, r.b
+  FROM taken t JOIN ranked r ON r.th = t.th AND r.s = t.s AND r.k = t.k + 1),
+flags AS (
+  SELECT th.th AS threshold, t.a IS NOT NULL AS est, l.s IS NOT NULL AS lab FROM junction j CROSS JOIN th
+  LEFT JOIN taken t ON t.th = th.th AND t.s = j.s AND t.a = j.a AND t.b = j.b LEFT JOIN labels l ON l.s = j.s AND l.a = j.a AND l.b = j.b WHERE j.s IN (SELECT s FROM labels)),
+n AS (""" + _COUNTS.format(key="threshold,") + "), m AS (SELECT *, true_positive::DOUBLE AS tp, false_positive AS fp, false_negative AS fn, true_negative AS tn FROM n) SELECT * EXCLUDE (tp, fp, fn, tn), " + _RATIOS + " FROM m")
+def greedy_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = mesh(spark, sf_dir)
+    return _rounded(rules.matched_sweep(_features(net, "junction"), neighbours(net.polygons), net.labels, FEATURE, list(_SWEPT)))
+
+
+@query(_FLAGS.replace("mean >= 145 AS est", "floor(mean / 10) * 10 AS bin") + "SELECT lab AS real, bin, count(*) AS n FROM flags GROUP BY ALL")
+def feature_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = mesh(spark, sf_dir)
+    return rules.feature_histogram(_features(net, "junction"), net.labels, FEATURE, 10.0)
+
+
+@query(", x AS (SELECT t, mean FROM junction JOIN labels USING (s, a, b)) SELECT t::INT AS division_time, count(*) AS n, round(avg(mean), 4) AS mean, round(min(mean), 4) AS least, round(max(mean), 4) AS most FROM x GROUP BY t")
+def temporal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = mesh(spark, sf_dir)
+    out = rules.temporal_summary(_features(net, "junction"), net.labels, FEATURE)
+    return out.withColumns({c: _r(c) for c in ("mean", "least", "most")})
+
+
+@query(_FLAGS + """SELECT f.s::VARCHAR AS snapshot_id, f.a AS first_id, f.b AS second_id, lab AS observed_division, coalesce(t, -1)::INT AS division_time, est AS estimated, round(mean, 4) AS mean_angle,
+ sum(est::INT) OVER (PARTITION BY f.s)::BIGINT AS estimated_pairs FROM flags f JOIN junction j ON j.s = f.s AND j.a = f.a AND j.b = f.b LEFT JOIN labels l ON l.s = f.s AND l.a = f.a AND l.b = f.b""")
+def stored_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs, inferred pairs and counts as read back from all-data documents."""
+    net = mesh(spark, sf_dir)
+    features = keep(_features(net, "junction"), "features")
+    estimated = matching.candidates(features, FEATURE, THRESHOLD)
+    metrics = evaluate.with_ratios(evaluate.counts(evaluate.flagged(features, estimated, net.labels), ["snapshot_id"]))
+    documents = keep(alldata.all_data_json(net, features, estimated, rules.Rule(FEATURE, THRESHOLD), metrics), "documents")
+    docs = documents.select(F.col("snapshot_id").cast("string").alias("snapshot_id"), F.from_json("json", alldata.all_data_schema()).alias("d")).select("snapshot_id", "d.*")
+    back = alldata.all_data_of(docs)
+    out = back.geometry.join(back.estimated.withColumn("estimated", F.lit(True)), PAIR, "left").join(back.metrics, "snapshot_id")
+    long = [F.col(c).cast("long").alias(c) for c in ("first_id", "second_id")]
+    return out.select("snapshot_id", *long, "observed_division", "division_time", F.coalesce("estimated", F.lit(False)).alias("estimated"), _r(FEATURE).alias("mean_angle"), "estimated_pairs")

@@ -81,6 +81,22 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("snapshot_id", "first_id", "second_id").agg(F.max_by("division_time", "line").alias("division_time"))
 
 
+def read_strict_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Label files whose fields are parted by white space alone: `snapshot_id`, `first_id`, `second_id`, `division_time`.
+
+    A first line that doesn't start with a digit is a header, so one that
+    starts with a minus too. A line with a field of its first three that is no
+    whole number is left out; a missing time is -1; of repeated pairs the last counts.
+    """
+    lines = _label_lines(spark, path).withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
+    lines = lines.where("text <> ''").where((F.col("line") > 0) | F.col("text").rlike("^[0-9]"))
+    number = lambda i: F.try_element_at(F.split("text", " "), F.lit(i))
+    a, b, time = (number(i).try_cast("int") for i in (1, 2, 3))
+    good = lines.where(a.isNotNull() & b.isNotNull() & (time.isNotNull() | number(3).isNull()))
+    rows = good.select("snapshot_id", "line", F.least(a, b).alias("first_id"), F.greatest(a, b).alias("second_id"), F.coalesce(time, F.lit(-1)).alias("division_time"))
+    return rows.groupBy("snapshot_id", "first_id", "second_id").agg(F.max_by("division_time", "line").alias("division_time"))
+
+
 def read_mixed_labels(spark: SparkSession, path: str) -> DataFrame:
     """Label files whose lines may be in three layouts: ids and time; file name, ids and time; rows of a pair-geometry table.
 

@@ -10,7 +10,7 @@ from polynet.operators import faces, graph, matching, pixels, places, rules
 from polynet.operators.adjacency import neighbours
 from polynet.operators.cells import rings
 from polynet.plans import catalogue, extraction, ruling  # noqa: F401
-from polynet.sources import networks, sinks
+from polynet.sources import alldata, networks, sinks
 from polynet.sources.mesh import Network
 from polynet.streaming import snapshots
 
@@ -25,7 +25,7 @@ def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
-@pytest.mark.parametrize("name", ["rule_list_metrics", "sweep_wide", "cluster_points", "trace_lines", "spur_prune", "faces_from_lines", "otsu_threshold", "nearest_vertex", "points_in_polygons", "polygon_dedup"])
+@pytest.mark.parametrize("name", ["rule_list_metrics", "sweep_wide", "cluster_points", "trace_lines", "spur_prune", "faces_from_lines", "otsu_threshold", "nearest_vertex", "points_in_polygons", "polygon_dedup", "polygon_order", "feature_histogram", "temporal_summary", "stored_geometry", "greedy_sweep"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -212,3 +212,36 @@ def test_stream_of_snapshots(spark, small, tmp_path):
         snapshots.write_features(snapshots.arriving(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "mark"), ("stats",)).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.snapshot_id, r.first_id, r.second_id, r.areaRatio) for r in got.collect()) == [("a", 0, 1, 1.0), ("b", 0, 1, 1.0)]
+
+
+def test_all_data_documents(spark, tmp_path):
+    vertices = [{"id": i, "x": float(x), "y": float(y)} for i, (x, y) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1), (2, 0), (2, 1)])]
+    doc = {
+        "vertices": vertices, "polygons": [{"id": 0, "vertexIds": [0, 1, 2, 3]}, {"id": 1, "vertexIds": [1, 4, 5, 2]}],
+        "neighborPairGeometry": {"settings": {"computeAreaRatio": True}, "entries": [
+            {"fileName": "a.json", "pairIndex": 1, "firstPolygonId": 1, "secondPolygonId": 0, "observedDivision": True, "divisionTime": 7, "geometry": {"areaRatio": 1.0, "junctionAngleRatio": None}},
+            {"firstPolygonId": 1, "secondPolygonId": 1, "geometry": {}}]},
+        "estimationRule": {"featureKey": "areaRatio", "threshold": 0.5, "matchingMode": "nonsense"},
+        "estimatedDivisions": [{"firstPolygonId": 0, "secondPolygonId": 1}] * 2,
+        "realDivisions": [{"firstPolygonId": 1, "secondPolygonId": 0, "time": 7}],
+        "performanceMetrics": {"estimatedPairs": 1, "truePositive": 1, "precision": 1.0, "recall": None},
+    }
+    (tmp_path / "a.json").write_text(json.dumps(doc, indent=1))
+    (tmp_path / "b.json").write_text(json.dumps({"vertices": vertices[:1]}))
+    data = alldata.read_all_data(spark, str(tmp_path))
+    rows = lambda df, *c: sorted(tuple(r) for r in df.select(*c).collect())
+    pair = ["snapshot_id", "first_id", "second_id"]
+    assert rows(data.geometry, *pair, "observed_division", "division_time", "areaRatio", "junctionAngleRatio") == [("a", 0, 1, True, 7, 1.0, None)]
+    assert rows(data.rules, "snapshot_id", "feature", "threshold", "require_above", "mode") == [("a", "areaRatio", 0.5, True, matching.GLOBAL)]
+    assert rows(data.estimated, *pair) == [("a", 0, 1)] and rows(data.network.labels, *pair, "division_time") == [("a", 0, 1, 7)]
+    assert rows(data.metrics, "estimated_pairs", "real_pairs", "precision", "recall") == [(1, None, 1.0, None)]
+    features = data.geometry.select(*pair, "areaRatio")
+    written = alldata.all_data_json(data.network, features, data.estimated, rules.Rule("areaRatio", 0.5, mode=matching.GREEDY), data.metrics)
+    parsed = {r.snapshot_id: json.loads(r.json) for r in written.collect()}
+    assert set(parsed) == {"a", "b"} and parsed["a"]["neighborPairGeometry"]["entries"][0]["pairIndex"] == 1
+    assert parsed["a"]["estimationRule"]["matchingMode"] == "LocalOptimal" and parsed["a"]["realDivisions"] == [{"firstPolygonId": 0, "secondPolygonId": 1, "time": 7}]
+    for name, d in parsed.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(d))
+    again = alldata.read_all_data(spark, str(tmp_path))
+    assert rows(again.geometry, *pair, "areaRatio") == [("a", 0, 1, 1.0)] and rows(again.rules, "mode") == [(matching.GREEDY,)] * 2
+    assert again.network.polygons.count() == 2 and again.issues.count() == 0

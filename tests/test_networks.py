@@ -96,6 +96,9 @@ def test_readers(spark, tmp_path):
     assert {tuple(r) for r in networks.read_labels(spark, str(tmp_path / "l")).where("snapshot_id = 'a'").collect()} == got
     mixed = networks.read_mixed_labels(spark, str(tmp_path / "l")).where("snapshot_id = 'b'")
     assert {tuple(r)[1:] for r in mixed.collect()} == {(3, 4, 12), (5, 6, 7), (8, 9, 30)}
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.txt").write_text("-1 2 3\n1 2 30\n 2\t1 31 \n4,5 6\n6 7 x\n\n8\n9 10\n")
+    assert {tuple(r) for r in networks.read_strict_labels(spark, str(tmp_path / "s")).collect()} == {("a", 1, 2, 31), ("a", 9, 10, -1)}
     (tmp_path / "r.csv").write_text("feature,cutoff_value,below_or_above,note\narea,12.5,below,x\nlength,no,above,\n")
     assert [tuple(r) for r in networks.read_rules(spark, str(tmp_path / "r.csv")).collect()] == [("area", 12.5, False, "x"), ("length", None, True, None)]
     assert networks.read_exceptions(spark, str(tmp_path / "r.csv")).count() == 0
