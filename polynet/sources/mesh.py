@@ -33,14 +33,39 @@ def mesh(spark: SparkSession, sf_dir: str) -> Network:
     moved = grid.join(customers.select("c_custkey", "c_acctbal"), "c_custkey").join(parts.select("p_partkey", "p_retailprice"), "p_partkey")
     vertices = moved.select("snapshot_id", "vertex_id", (10 * h + 4 * _fraction("c_acctbal") - 2).alias("x"), (10 * g + 4 * _fraction("p_retailprice") - 2).alias("y"))
 
-    cells = nations.select(F.col("n_nationkey").cast("long").alias("snapshot_id"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("polygon_id"))
+    polygons = _bricks(nations.select(F.col("n_nationkey").cast("long").alias("snapshot_id")))
+    return Network(vertices, _sides(polygons), polygons, labels(polygons))
+
+
+def customer_mesh(spark: SparkSession, sf_dir: str) -> Network:
+    """The same wall for each block of 117 customers, moved by two digits of their balances: snapshots grow with the table.
+
+    Each customer gives one vertex. The last block may be short; its cells that lack a corner are left out.
+    """
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    part = lambda v: v - F.floor(v)
+    balance, g, h = F.col("c_acctbal").cast("double"), F.floor(F.col("vertex_id") / 13), F.col("vertex_id") % 13
+    placed = customers.select(F.expr("c_custkey div 117").cast("long").alias("snapshot_id"), F.expr("c_custkey % 117").cast("int").alias("vertex_id"), "c_acctbal")
+    vertices = placed.select("snapshot_id", "vertex_id", (10 * h + 4 * part(balance) - 2).alias("x"), (10 * g + 4 * part(balance / 7) - 2).alias("y"))
+    every = _bricks(vertices.select("snapshot_id").distinct())
+    corners = every.select("snapshot_id", "polygon_id", F.explode("vertex_ids").alias("vertex_id"))
+    short = corners.join(vertices, ["snapshot_id", "vertex_id"], "left_anti").select("snapshot_id", "polygon_id")
+    polygons = every.join(short, ["snapshot_id", "polygon_id"], "left_anti")
+    return Network(vertices, _sides(polygons), polygons, labels(polygons))
+
+
+def _bricks(snapshots: DataFrame) -> DataFrame:
+    """40 cells for each `snapshot_id`."""
+    cells = snapshots.select("snapshot_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("polygon_id"))
     r, k = F.floor(F.col("polygon_id") / 5).cast("int"), F.col("polygon_id") % 5
     c = r % 2 + 2 * k
     ring = F.array(*[13 * (r + up) + c + along for up, along in ((0, 0), (0, 1), (0, 2), (1, 2), (1, 1), (1, 0))])
-    polygons = cells.withColumn("vertex_ids", F.transform(ring, lambda v: v.cast("int")))
+    return cells.withColumn("vertex_ids", F.transform(ring, lambda v: v.cast("int")))
+
+
+def _sides(polygons: DataFrame) -> DataFrame:
     ends = polygons.select("snapshot_id", F.explode(F.transform("vertex_ids", lambda v, i: F.struct(F.least(v, F.get("vertex_ids", (i + 1) % 6)).alias("v1"), F.greatest(v, F.get("vertex_ids", (i + 1) % 6)).alias("v2")))).alias("e"))
-    lines = ends.select("snapshot_id", "e.v1", "e.v2").distinct().withColumn("line_id", F.col("v1") * 1000 + F.col("v2"))
-    return Network(vertices, lines, polygons, labels(polygons))
+    return ends.select("snapshot_id", "e.v1", "e.v2").distinct().withColumn("line_id", F.col("v1") * 1000 + F.col("v2"))
 
 
 def labels(polygons: DataFrame) -> DataFrame:
