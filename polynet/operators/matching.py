@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Candidates of a component up to which the exact matching is searched; beyond it the greedy one is taken.
-EXACT_CELLS = 24
+from ..functions.tables import keep
+from .graph import components
+
 UNCONSTRAINED, GREEDY, GLOBAL = "unconstrained", "local", "global"
 
 
@@ -59,54 +58,264 @@ def _components(pairs: list[tuple[int, int, float]]) -> list[list[int]]:
 
 
 def _heaviest(pairs: list[tuple[int, int, float]]) -> list[int]:
-    """Pairs of the matching with the largest sum of scores; among equals, the one that leaves lower cells alone."""
+    """Pairs of the matching with the largest sum of scores; among equals, the one that leaves lower cells alone.
+
+    Scores are compared as exact integers, each made smaller by what its pair
+    costs in that order of preference, so one matching alone is the heaviest.
+    """
     cells = sorted({c for a, b, _ in pairs for c in (a, b)})
     at = {c: i for i, c in enumerate(cells)}
-    near: list[list[tuple[int, float, int]]] = [[] for _ in cells]
-    for i, (a, b, s) in enumerate(pairs):
-        near[at[a]].append((at[b], s, i))
-        near[at[b]].append((at[a], s, i))
-
-    @lru_cache(maxsize=None)
-    def best(free: int) -> tuple[float, tuple[int, ...]]:
-        if not free:
-            return 0.0, ()
-        low = (free & -free).bit_length() - 1
-        rest = free & ~(1 << low)
-        top = best(rest)
-        for other, s, i in near[low]:
-            if rest >> other & 1:
-                sub = best(rest & ~(1 << other))
-                if sub[0] + s > top[0]:
-                    top = (sub[0] + s, (*sub[1], i))
-        return top
-
-    return list(best((1 << len(cells)) - 1)[1])
-
-
-def global_pairs(pdf: pd.DataFrame, most_cells: int = EXACT_CELLS) -> pd.DataFrame:
-    """Maximum-weight matching by component; components of more than `most_cells` cells are matched greedily."""
+    ratios = [float(s).as_integer_ratio() for _, _, s in pairs]
+    scale = max(d for _, d in ratios)  # powers of two
+    base = len(pairs) + 1
+    unit = base ** len(cells)
+    seen: dict[int, int] = {}
+    edges: dict[tuple[int, int], tuple[int, int]] = {}
+    for i, ((a, b, _), (n, d)) in enumerate(zip(pairs, ratios, strict=True)):
+        u, v = sorted((at[a], at[b]))
+        seen[u] = seen.get(u, 0) + 1
+        weight = n * (scale // d) * unit - seen[u] * base ** (len(cells) - 1 - u)
+        if u != v and weight > edges.get((u, v), (0, 0))[0]:
+            edges[u, v] = (weight, i)
+    mate = heaviest_matching(len(cells), {k: w for k, (w, _) in edges.items()})
+    return [edges[u, v][1] for u, v in enumerate(mate) if v > u]
+
+
+def heaviest_matching(n: int, weights: dict[tuple[int, int], int]) -> list[int]:
+    """Partner of each of `n` nodes (-1: none) in the matching of largest weight, by Edmonds' blossoms.
+
+    Weights are positive integers of any size, so labels stay whole. Work grows
+    with the cube of `n`, whatever the shape of the graph.
+    """
+    most = 2 * n + 2
+    # Nodes and blossoms are numbered from 1; g[x][y] is the edge (u, v) that stands for x and y, w its doubled weight.
+    w = [[0] * (n + 1) for _ in range(n + 1)]
+    for (a, b), x in weights.items():
+        w[a + 1][b + 1] = w[b + 1][a + 1] = 2 * x
+    g: list[list[tuple[int, int]]] = [[(x, y) if x <= n and y <= n else (0, 0) for y in range(most)] for x in range(most)]
+    label = [0] + [max(map(max, w)) // 2] * n + [0] * (most - n - 1)
+    mate, slack, top, parent, side = [0] * most, [0] * most, list(range(n + 1)) + [0] * (most - n - 1), [0] * most, [-1] * most
+    petals: list[list[int]] = [[] for _ in range(most)]
+    inside = [[x if x == y else 0 for y in range(n + 1)] for x in range(most)]
+    queue: list[int] = []
+    count = n
+
+    def gap(e: tuple[int, int]) -> int:
+        return label[e[0]] + label[e[1]] - w[e[0]][e[1]]
+
+    def has(e: tuple[int, int]) -> bool:
+        return w[e[0]][e[1]] > 0
+
+    def nearer(u: int, x: int) -> None:
+        if not slack[x] or gap(g[u][x]) < gap(g[slack[x]][x]):
+            slack[x] = u
+
+    def set_slack(x: int) -> None:
+        slack[x] = 0
+        for u in range(1, n + 1):
+            if has(g[u][x]) and top[u] != x and side[top[u]] == 0:
+                nearer(u, x)
+
+    def push(x: int) -> None:
+        if x <= n:
+            queue.append(x)
+        else:
+            for p in petals[x]:
+                push(p)
+
+    def set_top(x: int, b: int) -> None:
+        top[x] = b
+        if x > n:
+            for p in petals[x]:
+                set_top(p, b)
+
+    def turned(b: int, x: int) -> int:
+        place = petals[b].index(x)
+        if place % 2:
+            petals[b][1:] = petals[b][:0:-1]
+            return len(petals[b]) - place
+        return place
+
+    def set_mate(u: int, v: int) -> None:
+        e = g[u][v]
+        mate[u] = e[1]
+        if u > n:
+            x = inside[u][e[0]]
+            place = turned(u, x)
+            for i in range(place):
+                set_mate(petals[u][i], petals[u][i ^ 1])
+            set_mate(x, v)
+            petals[u] = petals[u][place:] + petals[u][:place]
+
+    def augment(u: int, v: int) -> None:
+        while True:
+            following = top[mate[u]]
+            set_mate(u, v)
+            if not following:
+                return
+            set_mate(following, top[parent[following]])
+            u, v = top[parent[following]], following
+
+    def meeting(u: int, v: int) -> int:
+        passed = set()
+        while u or v:
+            if u:
+                if u in passed:
+                    return u
+                passed.add(u)
+                u = top[mate[u]]
+                if u:
+                    u = top[parent[u]]
+            u, v = v, u
+        return 0
+
+    def contract(u: int, root: int, v: int) -> None:
+        nonlocal count
+        b = n + 1
+        while b <= count and top[b]:
+            b += 1
+        count = max(count, b)
+        label[b], side[b], mate[b] = 0, 0, mate[root]
+        ring = [root]
+        x = u
+        while x != root:
+            y = top[mate[x]]
+            ring += [x, y]
+            push(y)
+            x = top[parent[y]]
+        ring[1:] = ring[:0:-1]
+        x = v
+        while x != root:
+            y = top[mate[x]]
+            ring += [x, y]
+            push(y)
+            x = top[parent[y]]
+        petals[b] = ring
+        set_top(b, b)
+        for x in range(1, count + 1):
+            g[b][x] = g[x][b] = (0, 0)
+        inside[b] = [0] * (n + 1)
+        for p in ring:
+            for x in range(1, count + 1):
+                if has(g[p][x]) and (not has(g[b][x]) or gap(g[p][x]) < gap(g[b][x])):
+                    g[b][x], g[x][b] = g[p][x], g[x][p]
+            for x in range(1, n + 1):
+                if inside[p][x]:
+                    inside[b][x] = p
+        set_slack(b)
+
+    def expand(b: int) -> None:
+        for p in petals[b]:
+            set_top(p, p)
+        entry = inside[b][g[b][parent[b]][0]]
+        place = turned(b, entry)
+        for i in range(0, place, 2):
+            x, y = petals[b][i], petals[b][i + 1]
+            parent[x] = g[y][x][0]
+            side[x], side[y] = 1, 0
+            slack[x] = 0
+            set_slack(y)
+            push(y)
+        side[entry], parent[entry] = 1, parent[b]
+        for x in petals[b][place + 1 :]:
+            side[x] = -1
+            set_slack(x)
+        top[b] = 0
+
+    def tight(e: tuple[int, int]) -> bool:
+        u, v = top[e[0]], top[e[1]]
+        if side[v] == -1:
+            parent[v], side[v] = e[0], 1
+            other = top[mate[v]]
+            slack[v] = slack[other] = 0
+            side[other] = 0
+            push(other)
+        elif side[v] == 0:
+            root = meeting(u, v)
+            if not root:
+                augment(u, v)
+                augment(v, u)
+                return True
+            contract(u, root, v)
+        return False
+
+    def phase() -> bool:
+        for x in range(1, count + 1):
+            side[x], slack[x] = -1, 0
+        queue.clear()
+        for x in range(1, count + 1):
+            if top[x] == x and not mate[x]:
+                parent[x], side[x] = 0, 0
+                push(x)
+        if not queue:
+            return False
+        while True:
+            while queue:
+                u = queue.pop(0)
+                if side[top[u]] == 1:
+                    continue
+                for v in range(1, n + 1):
+                    if w[u][v] and top[u] != top[v]:
+                        if not gap((u, v)):
+                            if tight((u, v)):
+                                return True
+                        else:
+                            nearer(u, top[v])
+            steps = [label[b] // 2 for b in range(n + 1, count + 1) if top[b] == b and side[b] == 1]
+            for x in range(1, count + 1):
+                if top[x] == x and slack[x] and side[x] != 1:
+                    steps.append(gap(g[slack[x]][x]) // (1 if side[x] == -1 else 2))
+            steps += [label[u] for u in range(1, n + 1) if side[top[u]] == 0]
+            d = min(steps)
+            for u in range(1, n + 1):
+                if side[top[u]] == 0:
+                    if label[u] <= d:
+                        return False
+                    label[u] -= d
+                elif side[top[u]] == 1:
+                    label[u] += d
+            for b in range(n + 1, count + 1):
+                if top[b] == b and side[b] >= 0:
+                    label[b] += 2 * d if side[b] == 0 else -2 * d
+            queue.clear()
+            for x in range(1, count + 1):
+                if top[x] == x and slack[x] and top[slack[x]] != x and not gap(g[slack[x]][x]):
+                    if tight(g[slack[x]][x]):
+                        return True
+            for b in range(n + 1, count + 1):
+                if top[b] == b and side[b] == 1 and not label[b]:
+                    expand(b)
+
+    while phase():
+        pass
+    return [mate[x] - 1 for x in range(1, n + 1)]
+
+
+def global_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Maximum-weight matching by component, exact at every size."""
     pdf = pdf.sort_values(["first_id", "second_id"], kind="stable").reset_index(drop=True)
     pairs = list(zip(pdf.first_id.tolist(), pdf.second_id.tolist(), pdf.score.tolist(), strict=True))
     chosen: list[int] = []
     for index in _components(pairs):
-        own = [pairs[i] for i in index]
-        if len({c for a, b, _ in own for c in (a, b)}) <= most_cells:
-            chosen += [index[i] for i in _heaviest(own)]
-        else:
-            chosen += greedy_pairs(pdf.loc[index]).index.tolist()
+        chosen += [index[i] for i in _heaviest([pairs[i] for i in index])]
     return pdf.loc[sorted(chosen)]
 
 
 def match(candidates: DataFrame, mode: str = GLOBAL, keys: tuple[str, ...] = ("snapshot_id",)) -> DataFrame:
     """Candidates that stay when a cell may be in one pair only; `unconstrained` keeps all.
 
-    One group is one snapshot under one rule: hundreds of cells, so each is
-    matched within a task. Score 0 is never chosen by `global`. An unknown mode
-    is `global`.
+    One group is one connected component of a snapshot's candidates under one
+    rule; components are found by Spark jobs, and each is matched within a
+    task. Score 0 is never chosen by `global`. An unknown mode is `global`.
     """
     if mode == UNCONSTRAINED:
         return candidates
     run = greedy_pairs if mode == GREEDY else global_pairs
     names = candidates.columns
-    return candidates.groupBy(*keys).applyInPandas(lambda pdf: run(pdf)[names], candidates.schema)
+    schema = candidates.schema
+    candidates = keep(candidates, "candidates").withColumn("_group", F.struct(*keys))
+    links = candidates.select("_group", F.col("first_id").alias("u"), F.col("second_id").alias("v"))
+    found = components(links.select("_group", F.col("u").alias("id")), links, "_group")
+    found = found.select("_group", F.col("id").alias("first_id"), F.col("component").alias("_component"))
+    grouped = candidates.join(found, ["_group", "first_id"]).select(*names, "_component").groupBy(*keys, "_component")
+    return grouped.applyInPandas(lambda pdf: run(pdf)[names], schema)
