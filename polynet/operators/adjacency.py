@@ -6,24 +6,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Members of an owner up to which its own pairs of members are listed.
+LISTED = 64
+
+
+def _memberships(members: DataFrame, group: list[str], owner: str, member: str) -> DataFrame:
+    """Distinct memberships without nulls."""
+    keys = [*group, owner, member]
+    return members.select(*keys).dropna(subset=keys).distinct()
+
+
+def _joined(left: DataFrame, right: DataFrame, group: list[str], owner: str, member: str) -> DataFrame:
+    """Pairs of owners, one row for each member that they share."""
+    return left.withColumnRenamed(owner, "first_id").join(right.withColumnRenamed(owner, "second_id"), [*group, member])
+
+
+def _at_least(pairs: DataFrame, group: list[str], k: int) -> DataFrame:
+    return pairs.groupBy(*group, "first_id", "second_id").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= k)
+
+
 def share_k_pairs(members: DataFrame, group: list[str], owner: str, member: str, k: int = 2) -> DataFrame:
     """Pairs of owners in a group that have at least `k` members in common: group, `first_id`, `second_id`, `n_shared`.
 
-    An equi-join of the memberships with themselves, then a count; repeated
-    memberships count once, null owners and members not at all. The join's rows
-    grow with the square of the owners of a member, so it is meant for members
-    with few owners (a vertex has three); Spark splits the keys of others.
+    Repeated memberships count once, null groups, owners and members not at
+    all. For `k` of 2 and more, owners meet by pairs of members, so each joined
+    row belongs to a pair with two members in common, and a member with many
+    owners pairs nobody by itself. Owners of more than `LISTED` members would
+    have too many pairs; they meet all owners by single members.
     """
-    one = members.where(F.col(owner).isNotNull() & F.col(member).isNotNull()).select(*group, owner, member).distinct()
-    left, right = one.withColumnRenamed(owner, "first_id"), one.withColumnRenamed(owner, "second_id")
-    pairs = left.join(right, [*group, member]).where("first_id < second_id")
-    return pairs.groupBy(*group, "first_id", "second_id").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= k)
+    one = _memberships(members, group, owner, member)
+    if k < 2:
+        return _at_least(_joined(one, one, group, owner, member).where("first_id < second_id"), group, k)
+    large = one.groupBy(*group, owner).count().where(F.col("count") > LISTED).drop("count")
+    small = one.join(large, [*group, owner], "left_anti")
+    listed = small.groupBy(*group, owner).agg(F.sort_array(F.collect_list(member)).alias("_all"))
+    both = lambda x, i: F.transform(F.slice("_all", i + 2, F.size("_all")), lambda y: F.struct(x.alias("one"), y.alias("other")))
+    listed = listed.select(*group, owner, F.explode(F.flatten(F.transform("_all", both))).alias("_two")).select(*group, owner, "_two.one", "_two.other")
+    met = listed.withColumnRenamed(owner, "first_id").join(listed.withColumnRenamed(owner, "second_id"), [*group, "one", "other"]).where("first_id < second_id")
+    near = met.groupBy(*group, "first_id", "second_id").agg(F.count("*").alias("n"))
+    # n members make n (n - 1) / 2 pairs.
+    near = near.select(*group, "first_id", "second_id", F.round((1 + F.sqrt(1 + 8 * F.col("n"))) / 2).cast("long").alias("n_shared")).where(F.col("n_shared") >= k)
+
+    heavy = one.join(large, [*group, owner], "left_semi")
+    among = _joined(heavy, heavy, group, owner, member).where("first_id < second_id")
+    across = _joined(heavy, small, group, owner, member).select(*group, F.least("first_id", "second_id").alias("first_id"), F.greatest("first_id", "second_id").alias("second_id"))
+    return near.unionByName(_at_least(among.select(*group, "first_id", "second_id").union(across), group, k))
 
 
 def neighbours(polygons: DataFrame, k: int = 2) -> DataFrame:
-    """Neighbouring polygons: those that share at least `k` vertices."""
+    """Neighbouring polygons: those that share at least `k` vertices. A vertex has few polygons, so they meet by single vertices."""
     members = polygons.select("snapshot_id", "polygon_id", F.explode("vertex_ids").alias("vertex_id"))
-    return share_k_pairs(members, ["snapshot_id"], "polygon_id", "vertex_id", k)
+    one = _memberships(members, ["snapshot_id"], "polygon_id", "vertex_id")
+    return _at_least(_joined(one, one, ["snapshot_id"], "polygon_id", "vertex_id").where("first_id < second_id"), ["snapshot_id"], k)
 
 
 def relations(pairs: DataFrame, cells: DataFrame) -> DataFrame:
