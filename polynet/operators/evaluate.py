@@ -6,10 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import quotient
+from .adjacency import neighbours
 
 PAIR = ["snapshot_id", "first_id", "second_id"]
 
 
+def universe(polygons: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Pairs to evaluate: a snapshot's stored pairs if it has any, else its neighbouring polygons."""
+    near = neighbours(polygons).select(*PAIR)
+    if stored is None:
+        return near
+    return stored.select(*PAIR).distinct().union(near.join(stored.select("snapshot_id").distinct(), "snapshot_id", "left_anti"))
+
+
 def flagged(pairs: DataFrame, estimated: DataFrame, labels: DataFrame) -> DataFrame:
     """Every neighbouring, inferred or labelled pair with flags `near`, `est`, `real`."""
     flag = lambda df, name: df.select(*PAIR).distinct().withColumn(name, F.lit(True))

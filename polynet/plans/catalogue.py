@@ -216,7 +216,7 @@ _FLAGS = ", flags AS (SELECT j.s, j.a, j.b, mean >= 145 AS est, l.s IS NOT NULL
 
 
 def _flags(net: Network) -> DataFrame:
-    return evaluate.flagged(neighbours(net.polygons), _candidates(net), net.labels)
+    return evaluate.flagged(evaluate.universe(net.polygons, net.pairs), _candidates(net), net.labels)
 
 
 def _rounded(df: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def all_data_of(docs: DataFrame) -> AllData:
         mode = F.when(rule["matchingMode"] == written, F.lit(name)).otherwise(mode)
     rules = docs.where(rule["featureKey"].isNotNull()).select("snapshot_id", rule["featureKey"].alias("feature"), rule["threshold"].alias("threshold"), F.coalesce(rule["requireAbove"], F.lit(True)).alias("require_above"), mode.alias("mode"))
     metrics = docs.where("performanceMetrics is not null").select("snapshot_id", *[F.col(f"performanceMetrics.{n}").alias(c) for c, n in METRICS.items()])
-    network = Network(network.vertices, network.lines, network.polygons, labels.dropDuplicates(PAIR))
+    network = Network(network.vertices, network.lines, network.polygons, labels.dropDuplicates(PAIR), network.pairs)
     return AllData(network, issues, geometry.dropDuplicates(PAIR), rules, _pairs(docs, "estimatedDivisions").distinct(), metrics)
 
 

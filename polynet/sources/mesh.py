@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Network:
-    """Vertices (snapshot_id, vertex_id, x, y), lines (.., line_id, v1, v2), polygons (.., polygon_id, vertex_ids) and labels (.., first_id, second_id, division_time)."""
+    """Vertices (snapshot_id, vertex_id, x, y), lines (.., line_id, v1, v2), polygons (.., polygon_id, vertex_ids) labels (.., first_id, second_id, division_time) and, where files may store them, neighbouring pairs (.., first_id, second_id)."""
 
     vertices: DataFrame
     lines: DataFrame
     polygons: DataFrame
     labels: DataFrame
+    pairs: DataFrame | None = None
 
 
 def _fraction(c: str) -> F.Column:

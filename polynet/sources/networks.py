@@ -28,6 +28,7 @@ def read_networks(spark: SparkSession, path: str) -> tuple[Network, DataFrame]:
 
     Lines with a missing end, and polygons with fewer than three or with
     missing vertices, are left out. The file name without its extension is the snapshot.
+    Stored pairs of polygons that stay are `pairs`; networks hold no labels.
     """
     docs = spark.read.schema(NETWORK).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
     return networks_of(docs.withColumn("snapshot_id", snapshot_name()))
@@ -49,7 +50,11 @@ def networks_of(docs: DataFrame) -> tuple[Network, DataFrame]:
     issues = issue(lines.join(good, ["snapshot_id", "line_id"], "left_anti"), "line_without_vertex", "line_id")
     issues = issues.union(issue(lost, "polygon_without_vertex", "polygon_id")).union(issue(polygons.where(F.size("vertex_ids") < 3), "polygon_too_small", "polygon_id"))
     stored = docs.select("snapshot_id", F.explode("neighborPairs").alias("n")).select("snapshot_id", F.least("n.firstPolygonId", "n.secondPolygonId").alias("first_id"), F.greatest("n.firstPolygonId", "n.secondPolygonId").alias("second_id"))
-    return Network(vertices, good, whole, stored.where("first_id <> second_id").distinct().withColumn("division_time", F.lit(None).cast("int"))), issues
+    pairs = stored.where("first_id <> second_id").distinct()
+    for end in ("first_id", "second_id"):
+        pairs = pairs.join(whole.select("snapshot_id", F.col("polygon_id").alias(end)).distinct(), ["snapshot_id", end], "left_semi")
+    none = docs.where(F.lit(False)).select("snapshot_id", *[F.lit(None).cast("int").alias(c) for c in ("first_id", "second_id", "division_time")])
+    return Network(vertices, good, whole, none, pairs.select("snapshot_id", "first_id", "second_id")), issues
 
 
 def _label_lines(spark: SparkSession, path: str) -> DataFrame:
