@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import keep
+from ..functions.tables import forget, keep, keep_observed
 from .graph import components
 
 KEY = ["snapshot_id", "x", "y"]
@@ -78,11 +78,12 @@ def clusters(points: DataFrame, radius: float = 2.0) -> DataFrame:
 
 def without_spurs(pixels: DataFrame) -> DataFrame:
     """Pixels that stay when those with just one neighbour are dropped, all at once, until none has."""
-    left = keep(pixels.select(*KEY).distinct(), "pixels")
-    n, before = left.count(), None
+    left, (n, _) = keep_observed(pixels.select(*KEY).distinct(), "pixels")
+    before = None
     while n != before:
-        left, before = keep(neighbour_counts(left).where("neighbours <> 1").select(*KEY), "pixels"), n
-        n = left.count()
+        old, before = left, n
+        left, (n, _) = keep_observed(neighbour_counts(left).where("neighbours <> 1").select(*KEY), "pixels")
+        forget(old)
     return left
 
 
