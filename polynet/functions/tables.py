@@ -87,11 +87,11 @@ def with_before(sums: DataFrame, groups: list[str], at: str, value: str, name: s
     runs = sums.withColumn("_run", F.floor(F.col(at) / SLICES))
     whole = runs.groupBy(*groups, "_run").agg(F.sum(value).alias("_sum"))
     earlier = lambda *by: Window.partitionBy(*groups, *by).rowsBetween(Window.unboundedPreceding, -1)
-    whole = whole.withColumn("_base", F.coalesce(F.sum("_sum").over(earlier().orderBy("_run")), F.lit(0))).drop("_sum")
-    right = whole.select(*[F.col(c).alias(f"_r{c}") for c in [*groups, "_run"]], "_base")
+    whole = whole.withColumn("_run_base", F.coalesce(F.sum("_sum").over(earlier().orderBy("_run")), F.lit(0))).drop("_sum")
+    right = whole.select(*[F.col(c).alias(f"_r{c}") for c in [*groups, "_run"]], "_run_base")
     on = [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in [*groups, "_run"]]
     out = runs.withColumn(name, F.coalesce(F.sum(value).over(earlier("_run").orderBy(at)), F.lit(0))).join(right, on)
-    return out.withColumn(name, F.col(name) + F.col("_base")).drop(*right.columns, "_run")
+    return out.withColumn(name, F.col(name) + F.col("_run_base")).drop(*right.columns, "_run")
 
 
 def with_rank(df: DataFrame, groups: list[str], at: Column, order: list[Column], windows: Column, name: str) -> DataFrame:
