@@ -12,6 +12,10 @@ Steps, each a table in the shared folder:
  4. in buckets that still hold several components, compare all members in
     blocks of bounded size, on full sets, without listing pairs;
  5. connected components of the confirmed links.
+
+Joins by bucket, class or first class are split where a key is hot: bounded
+broadcasts for the largest buckets and classes, and one copy of a first class's
+set for every `STARS` classes that are compared with it.
 """
 
 from __future__ import annotations
@@ -25,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, keep
-from .components import components
+from ..operators.graph import reachable
+from .common import HOT_SHARE, blocks, forget, join_hot, keep, keep_observed
 
 WORDS, BANDS, ROWS = 5, 22, 6
-#: Members of one block in step 4, and bytes of text that are worked on at once.
-BLOCK, BATCH_BYTES = 128, 1_000_000
+#: Members of one block in step 4, comparisons with one copy of a set in step 3, and bytes of text that are worked on at once.
+BLOCK, STARS, BATCH_BYTES = 128, 128, 1_000_000
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
@@ -131,6 +135,11 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
+def _prints(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """128 bits of each whole set."""
+    return [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
+
+
 def _sliced(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = texts_of(batch.column(text))
     for a, b in blocks(np.diff(offsets), BATCH_BYTES):
@@ -148,7 +157,7 @@ def sketches(docs: DataFrame, key: str, text: str, words: int, bands: int, rows:
                 of_band = np.zeros((len(sets), bands), np.uint64)
                 for i in range(rows):
                     of_band = _mix(of_band * _M3 + signed[:, :, i])
-                prints = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
+                prints = _prints(sets)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("id").slice(a, b - a),
                     pa.array([len(s) for s in sets], pa.int32()),
@@ -162,15 +171,16 @@ def sketches(docs: DataFrame, key: str, text: str, words: int, bands: int, rows:
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """`id`, `shingles` (sorted distinct hashes as 8-byte little-endian integers) of `id`, `text`."""
+    """`id`, `print1`, `shingles` (sorted distinct hashes as 8-byte little-endian integers) of `id`, `text`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in _sliced(batch, "text"):
-                sets = [s.astype("<u8").tobytes() for s in shingle_hashes(data, offsets, words)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(sets, pa.binary())], ["id", "shingles"])
+                sets = shingle_hashes(data, offsets, words)
+                first = pa.array([p[0] for p in _prints(sets)], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), first, pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["id", "print1", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles binary")
+    return docs.mapInArrow(run, "id long, print1 long, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
@@ -264,40 +274,49 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     of 0.85 the bands miss one pair in ten thousand; documents with equal sets
     are never missed.
 
-    Null, empty and blank texts have no shingles and stand alone. Repeated
-    keys are one document for the links; each row is returned. Keys are
-    integers; a null key stands alone. Extra columns are ignored.
+    Null, empty and blank texts have no shingles and stand alone. Rows that
+    repeat a key are one document, linked by each of their texts; each row is
+    returned, with the size of its own set. Keys are integers; a null key
+    stands alone. Extra columns are ignored. An empty table gives an empty result.
     """
-    sketch = keep(sketches(docs, key, text, words, bands, rows), "sketches")
+    sketch, (n_rows, _) = keep_observed(sketches(docs, key, text, words, bands, rows), "sketches")
     prints = ["n_shingles", "print1", "print2"]
-    classes = keep(sketch.where("n_shingles > 0 and id is not null").groupBy(*prints).agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
-
-    inside = classes.select("rep", F.posexplode("bands").alias("band", "hash"))
-    buckets = inside.groupBy("band", "hash").agg(F.min("rep").alias("pivot"), F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("sum"))
-    buckets = buckets.where("n > 1")
-    members = keep(inside.join(buckets, ["band", "hash"]).select("rep", "pivot", "n", "sum", "band", "hash"), "members")
+    classes = sketch.where("n_shingles > 0 and id is not null").groupBy(*prints).agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    classes, (n_classes, _) = keep_observed(classes, "classes")
+
+    # `rep` and `print1` name a class: texts of one key have several.
+    inside = classes.select("rep", "print1", F.posexplode("bands").alias("band", "hash"))
+    one = F.struct("rep", "print1")
+    buckets = inside.groupBy("band", "hash").agg(F.min(one).alias("pivot"), F.count("*").alias("n"), F.sum(F.xxhash64("rep", "print1").cast("decimal(20,0)")).alias("sum")).where("n > 1")
+    members = join_hot(inside, keep(buckets, "buckets"), ["band", "hash"], n_classes * bands / HOT_SHARE)
+    members, (n_members, _) = keep_observed(members.select("rep", "print1", "pivot", "n", "sum", "band", "hash"), "members")
     candidates = members.select(F.col("rep").alias("id")).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(candidates, "id", "left_semi").dropDuplicates(["id"])
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(candidates, "id", "left_semi").dropDuplicates(["id", "text"])
     sets = keep(shingle_sets(texts, words), "sets")
+    set_of = lambda name: sets.select(F.col("id").alias(name), F.col("print1").alias(f"p_{name}"), F.col("shingles").alias(f"set_{name}"))
 
-    star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    star = star.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
-    star = star.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
-    confirmed = keep(_confirmed(star, percent), "confirmed")
-    first = keep(components(confirmed), "first")
+    star = members.where(one != F.col("pivot")).groupBy(F.col("pivot.rep").alias("a"), F.col("pivot.print1").alias("p_a"), F.col("rep").alias("b"), F.col("print1").alias("p_b")).agg(F.max("n").alias("n"))
+    star = keep(star.withColumn("copy", F.pmod(F.xxhash64("b", "p_b"), F.ceil(F.col("n") / STARS))).drop("n"), "star")
+    pivots = star.select("a", "p_a", "copy").distinct().join(set_of("a"), ["a", "p_a"])
+    confirmed = keep(_confirmed(star.join(set_of("b"), ["b", "p_b"]).join(pivots, ["a", "p_a", "copy"]), percent), "confirmed")
+    link = lambda df: df.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    first = keep(reachable(link(confirmed)), "first")
 
     # Buckets of three and more that still hold several components; those with the same members count once.
-    many = members.where("n > 2").join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    many = keep(members.where("n > 2").join(first.select(F.col("id").alias("rep"), "low"), "rep", "left").withColumn("component", F.coalesce("low", "rep")).drop("low", "pivot"), "many")
     several = many.groupBy("band", "hash").agg(F.first("n").alias("n"), F.first("sum").alias("sum"), F.min("component").alias("low"), F.max("component").alias("high"))
-    several = several.where("low <> high").groupBy("n", "sum").agg(F.min(F.struct("band", "hash")).alias("one"))
-    chosen = many.join(several.select("one.band", "one.hash"), ["band", "hash"]).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    chosen = chosen.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    several = several.where("low <> high").groupBy("n", "sum").agg(F.min(F.struct("band", "hash")).alias("one")).select("one.band", "one.hash", "n")
+    chosen = join_hot(many.drop("n", "sum"), keep(several, "several"), ["band", "hash"], n_members / HOT_SHARE).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    chosen = chosen.withColumn("chunk", F.pmod(F.xxhash64("rep", "print1"), F.col("chunks")).cast("int"))
     place = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("first"), F.greatest(c, F.col("chunk")).alias("second"))))
-    placed = chosen.join(sets.withColumnRenamed("id", "rep"), "rep").select(F.xxhash64("band", "hash").alias("bucket"), F.col("rep").alias("id"), "component", "shingles", place.alias("place"))
+    placed = chosen.join(sets.withColumnRenamed("id", "rep"), ["rep", "print1"]).select(F.xxhash64("band", "hash").alias("bucket"), F.col("rep").alias("id"), "component", "shingles", place.alias("place"))
     placed = placed.select("bucket", "place.first", "place.second", "id", "component", "shingles")
     more = keep(_compared(placed, percent), "more")
+    forget(sets, star, members, many)
 
-    found = components(confirmed.union(more))
-    named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*prints, F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.drop("bands").join(named, prints, "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    found = reachable(link(confirmed.union(more))).withColumnRenamed("id", "rep")
+    named = classes.select("rep", *prints, "n").join(found, "rep", "left").select(*prints, "n", F.coalesce("low", "rep").alias("component_id"))
+    shingled = sketch.where("n_shingles > 0 and id is not null").select("id", *prints)
+    alone = sketch.where("not (n_shingles > 0 and id is not null)").select("id", "n_shingles", F.col("id").alias("component_id"))
+    out = join_hot(shingled, keep(named, "named"), prints, n_rows / HOT_SHARE).select("id", "n_shingles", "component_id").union(alone)
     return out.select(F.col("id").alias(key), F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
