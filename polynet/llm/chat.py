@@ -1,8 +1,11 @@
 """Chat formatting: layouts found by fingerprint, one template, a reversible escape and a loss mask.
 
-A layout is recognised by the hash of its nested field paths alone. The
-fingerprint selects a declarative mapping that names where turns, roles and
-texts lie; the mapping makes canonical turns `array<struct<role, text>>`.
+A record's fingerprint is the hash of its nested field paths, of any depth and
+with any names. It selects a declarative mapping that names where turns, roles
+and texts lie: the one with the most paths among those whose paths the record
+has, so that further fields do no harm. The mapping makes canonical turns
+`array<struct<role, text>>`. A record that no mapping fits is an error, unless
+the caller asks for nulls.
 
 Template, for each turn: `<s>` role `[INST]` text `</s>`. In roles and texts a
 backslash is put before every backslash and after the first character of every
@@ -14,8 +17,14 @@ back the text.
 from __future__ import annotations
 
 import hashlib
+import json as jsonlib
+import re
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,43 +69,66 @@ LAYOUTS = (
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def fingerprint(paths: Column) -> Column:
+def path_print(paths: Iterable[str]) -> str:
     """sha256 of the sorted distinct field paths."""
-    return F.sha2(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"), 256)
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def field_paths(value: Column) -> Column:
-    """Leaf paths of a JSON object kept as a variant, to the depth that the known layouts use.
+def _step(name: str) -> str:
+    """A field's name as a part of a path: quoted where it could be taken for several parts."""
+    return jsonlib.dumps(name) if re.search(r'[.\[\]"\n]', name) or not name else name
 
-    Array elements are read from the first one; a value that is no object has
-    no paths.
-    """
-    schema = F.regexp_replace(F.schema_of_variant(value), " NOT NULL", "")
-    object_of = F.regexp_extract_all(schema, F.lit(r"[A-Za-z_0-9]+: (?:ARRAY<OBJECT<[^>]*>>|ARRAY<[^<>]*>|OBJECT<[^>]*>|[A-Z0-9(),]+)"), F.lit(0))
 
-    def of_field(field: Column) -> Column:
-        name, kind = F.split_part(field, F.lit(":"), F.lit(1)), F.regexp_replace(field, r"^\w+: ", "")
-        inner = F.regexp_extract_all(F.regexp_extract(kind, r"OBJECT<([^>]*)>", 1), F.lit(r"(\w+): "), F.lit(1))
-        mark = F.when(kind.startswith("ARRAY"), F.lit("[]")).otherwise(F.lit(""))
-        return F.when(F.size(inner) > 0, F.transform(inner, lambda x: F.concat(name, mark, F.lit("."), x))).otherwise(F.array(F.concat(name, mark)))
+def field_paths(value: object, at: str = "") -> set[str]:
+    """Leaf paths of a JSON value, those of all elements of an array together; `[]` marks elements, an empty array is a leaf."""
+    if isinstance(value, dict) and value:
+        return set().union(*(field_paths(v, f"{at}.{_step(k)}" if at else _step(k)) for k, v in value.items()))
+    if isinstance(value, list):
+        return set().union(*(field_paths(v, f"{at}[]") for v in value)) if value else {f"{at}[]"}
+    return {at}
+
 
-    return F.flatten(F.transform(object_of, of_field))
+@lru_cache(maxsize=10_000)
+def layout_of(paths: frozenset[str]) -> Layout | None:
+    """The mapping with the most paths among those whose fingerprint equals that of the same paths of the record; None if none fits.
 
+    An array of turns may be empty. Of mappings with as many paths the first in `LAYOUTS` counts.
+    """
+    fits = [x for x in LAYOUTS if path_print(paths.intersection(x.paths)) == path_print(x.paths) or f"{x.turns}[]" in paths]
+    return max(fits, key=lambda x: len(x.paths), default=None)
 
-def canonical_turns(records: DataFrame, json: str = "json") -> DataFrame:
-    """Add `layout` and `turns` to records that each hold one JSON object.
 
-    Each row's fingerprint selects its mapping. Rows that are null, no JSON
-    object, or of an unknown layout get a null layout and null turns. An empty
-    field of a layout of single fields (as `input`) gives no turn.
+@F.pandas_udf(T.StructType().add("print", T.StringType()).add("layout", T.StringType()))
+def _recognised(column: pd.Series) -> pd.DataFrame:
+    out = []
+    for text in column:
+        try:
+            value = jsonlib.loads(text)
+        except (TypeError, ValueError):
+            value = None
+        paths = frozenset(field_paths(value)) if isinstance(value, dict) else None
+        found = layout_of(paths) if paths is not None else None
+        out.append((None if paths is None else path_print(paths), found.name if found else None))
+    return pd.DataFrame(out, columns=["print", "layout"])
+
+
+def canonical_turns(records: DataFrame, json: str = "json", unknown: str = "raise") -> DataFrame:
+    """Add `layout`, `turns` and `print` (the fingerprint) to records that each hold one JSON object.
+
+    Rows that are null, no JSON object, or that no mapping fits stop the job
+    with an error that names the fingerprint; with `unknown` as "null" they get
+    a null layout and null turns. Further fields do no harm. An empty field of
+    a layout of single fields (as `input`) gives no turn.
     """
-    value = F.try_parse_json(F.col(json))
-    rows = records.withColumn("_value", value).withColumn("_print", fingerprint(field_paths(F.col("_value"))))
-    name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
+    rows = records.withColumn("_value", F.try_parse_json(F.col(json))).withColumn("_seen", _recognised(F.col(json)))
+    name = F.col("_seen.layout")
+    if unknown == "raise":
+        name = F.coalesce(name, F.raise_error(F.concat(F.lit("no chat layout fits the fields of print "), F.coalesce("_seen.print", F.lit("null")))))
+    rows = rows.withColumn("layout", name).withColumn("print", F.col("_seen.print"))
+    turns = F.lit(None).cast("array<struct<role:string,text:string>>")
     for layout in LAYOUTS:
-        same = F.col("_print") == fingerprint(F.array(*map(F.lit, layout.paths)))
-        name, turns = F.when(same, F.lit(layout.name)).otherwise(name), F.when(same, _mapped(layout, F.col("_value"))).otherwise(turns)
-    return rows.withColumn("layout", name).withColumn("turns", turns).drop("_value", "_print")
+        turns = F.when(F.col("layout") == layout.name, _mapped(layout, F.col("_value"))).otherwise(turns)
+    return rows.withColumn("turns", turns).drop("_value", "_seen")
 
 
 def _mapped(layout: Layout, value: Column) -> Column:
@@ -132,58 +164,57 @@ def schema_paths(schema: T.StructType, at: str = "") -> list[str]:
     """Leaf paths of a table's columns."""
     out = []
     for field in schema.fields:
-        path, kind = f"{at}{field.name}", field.dataType
+        path, kind = f"{at}{_step(field.name)}", field.dataType
         while isinstance(kind, T.ArrayType):
             path, kind = f"{path}[]", kind.elementType
         out += schema_paths(kind, f"{path}.") if isinstance(kind, T.StructType) else [path]
     return out
 
 
-def path_print(paths: list[str] | tuple[str, ...]) -> str:
-    """`fingerprint` of known paths."""
-    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
-
-
 def from_table(table: DataFrame) -> DataFrame:
     """Canonical turns of a typed table, by the mapping that the fingerprint of its columns selects.
 
     A table of turns gives a row for each key; a table of records keeps its
-    rows and columns. Other columns may stand beside those of a row layout;
+    rows and columns. Other columns may stand beside those of a layout;
     ValueError if no mapping fits.
     """
-    found = schema_paths(table.schema)
-    for layout in LAYOUTS:
-        if path_print(found) == path_print(layout.paths):
-            return canonical_turns(table.withColumn("_json", F.to_json(F.struct(*table.columns))), "_json").drop("_json", "layout")
+    found = frozenset(schema_paths(table.schema))
     for names in ROW_LAYOUTS:
-        if path_print([x for x in found if x in names]) == path_print(names):
+        if path_print(found.intersection(names)) == path_print(names):
             return from_rows(table, *names)
-    raise ValueError(f"no layout has the columns {table.columns}")
+    layout = layout_of(found)
+    if layout is None:
+        raise ValueError(f"no layout has the fields {sorted(found)}")
+    used = sorted({re.split(r"[.\[]", p)[0] for p in layout.paths})
+    return table.withColumn("turns", _mapped(layout, F.parse_json(F.to_json(F.struct(*used)))))
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
     """Add `formatted`, and `loss_spans`: [start, end) in code points of each assistant text in it. Needs `turns`.
 
-    Null turns count as none.
+    Null turns give a null text and null spans.
     """
-    turns = F.coalesce("turns", F.array().cast("array<struct<role:string,text:string>>"))
-    pieces = F.transform(turns, lambda t: F.struct(
+    pieces = F.transform("turns", lambda t: F.struct(
         (t["role"] == "assistant").alias("learn"),
         F.concat(F.lit(START), escape(t["role"]), F.lit(MIDDLE)).alias("head"),
         escape(t["text"]).alias("body"),
     ))
     out = conversations.withColumn("_pieces", pieces)
     out = out.withColumn("formatted", F.array_join(F.transform("_pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), ""))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    sizes = F.transform("_pieces", lambda p: F.struct(F.length(p["head"]).alias("head"), F.length(p["body"]).alias("body")))
+    return out.withColumn("loss_spans", _spans(sizes["head"], sizes["body"], F.transform("_pieces", lambda p: p["learn"]))).drop("_pieces")
 
-    def add(state: Column, p: Column) -> Column:
-        start = state["at"] + F.length(p["head"])
-        end = start + F.length(p["body"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct((end + len(END)).alias("at"), F.when(p["learn"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    spans = F.aggregate("_pieces", F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), add, lambda s: s["spans"])
-    return out.withColumn("loss_spans", spans).drop("_pieces")
+@F.pandas_udf(T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType())))
+def _spans(heads: pd.Series, bodies: pd.Series, learns: pd.Series) -> pd.Series:
+    out = []
+    for head, body, learn in zip(heads, bodies, learns, strict=True):
+        if head is None:
+            out.append(None)
+            continue
+        ends = np.cumsum(np.asarray(head, np.int64) + np.asarray(body, np.int64) + len(END)) - len(END)
+        out.append([{"start": int(e - n), "end": int(e)} for e, n, ok in zip(ends, body, learn, strict=True) if ok])
+    return pd.Series(out, dtype=object)
 
 
 def parsed(text: Column) -> Column:
@@ -199,14 +230,16 @@ def parsed(text: Column) -> Column:
     ))
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+@F.pandas_udf(T.StringType())
+def masked(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """All text under the loss mask, unescaped, nothing between; null without a text."""
+    plain = lambda t: re.sub(r"\\(.)", r"\1", t, flags=re.DOTALL)
+    return pd.Series([None if t is None else "".join([plain(t[x["start"] : x["end"]]) for x in at]) for t, at in zip(text, spans, strict=True)], dtype=object)
 
 
 def digest(conversations: DataFrame, key: str) -> DataFrame:
     """What can be read back from formatted conversations: counts and checksums."""
-    back = conversations.withColumn("_turns", parsed(F.col("formatted"))).withColumn("_learned", masked(F.col("formatted"), F.col("loss_spans")))
+    back = conversations.withColumn("_turns", parsed(F.col("formatted"))).withColumn("_learned", masked("formatted", "loss_spans"))
     said = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         key,
