@@ -5,9 +5,10 @@ blocks of equal length. The words that a source gives are counted first, then
 the blocks that give them are dealt to the output shards by a binary tree: at
 each node the block counts of all sources are split between the two halves of
 the node's shards by a multivariate-hypergeometric draw, so every shard's
-counts are exact and sum to the whole. A shard draws its blocks by number from
-the source's permuted block order, disjoint from all others', and puts the
-pieces in a local random order.
+counts are exact and sum to the whole. The blocks of a source are put in a
+random order, by ranking a hash of their numbers; a shard draws its blocks
+from that order, disjoint from all others', and puts the pieces in a local
+random order.
 
 The tree works on one number per source and shard (metadata of the mixture);
 everything that touches documents is DataFrame operations.
@@ -22,11 +23,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, keep, parts
+from .common import WORD, keep, parts, with_before, with_rank
 
-#: Words of a block, and rows that one window of the word count is meant to hold.
+#: Words of a block, and rows that one window is meant to hold.
 BLOCK_WORDS, WINDOW_ROWS = 4096, 2000
 MIX_SHARDS = 16
+#: Sources up to which their table is broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 10_000
 
 
 @dataclass(frozen=True)
@@ -37,9 +40,6 @@ class Quota:
     size: int
     target: float
     words: int
-    blocks: int
-    stride: int
-    offset: int
     shard_ends: tuple[int, ...]
 
 
@@ -88,31 +88,31 @@ def split_tree(counts: list[int], shards: int, seed: int) -> list[list[int]]:
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if n <= 0 or good <= 0:
-        return 0
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n)) if bad else min(good, n)
-    mean = n * good / (good + bad)  # numpy's draw ends at a thousand million; there the normal law is as good
-    spread = math.sqrt(mean * bad / (good + bad) * (good + bad - n) / (good + bad - 1))
-    return int(min(good, n, max(0, n - bad, round(rng.normal(mean, spread)))))
+    """How many of `n` drawn from `good` and `bad` are good, at any size.
+
+    By inversion: ratios of neighbouring chances from the likeliest count
+    outwards, as far as twelve standard deviations, beyond which lies less than
+    1e-30 of all.
+    """
+    low, high = max(0, n - bad), min(n, good)
+    if low >= high:
+        return high
+    total = good + bad
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    reach = 12 * math.isqrt(int(n * good / total * (bad / total) * (total - n) / max(total - 1, 1)) + 1) + 60
+    up, down = np.arange(mode, min(high, mode + reach), dtype=float), np.arange(mode, max(low, mode - reach), -1, dtype=float)
+    rise = np.cumsum(np.log((good - up) / (up + 1) * ((n - up) / (bad - n + up + 1))))
+    fall = np.cumsum(np.log(down / (good - down + 1) * ((bad - n + down) / (n - down + 1))))
+    chance = np.exp(np.concatenate([fall[::-1], [0.0], rise]))
+    return mode - len(fall) + int(np.searchsorted(np.cumsum(chance), rng.random() * chance.sum()).clip(0, len(chance) - 1))
 
 
 def plan(sizes: dict[str | None, int], weights: tuple[float, ...], share: float, most: float, block: int, shards: int, seed: int) -> list[Quota]:
     goal = targets(sizes, weights, share, most)
     words = {s: min(round(t), math.floor(most * sizes[s])) for s, t in goal.items()}
-    draws = {s: _draws(sizes[s], words[s], block) for s in goal}
-    by_shard = split_tree(list(draws.values()), shards, seed)
-    out = []
-    for i, s in enumerate(goal):
-        n = parts(sizes[s], block) if sizes[s] else 0
-        whole = sizes[s] // block  # a shorter last block stays last in every epoch
-        rng = np.random.default_rng([seed, i])
-        stride = int(rng.integers(1, max(whole, 2)))
-        while math.gcd(stride, max(whole, 1)) > 1:
-            stride += 1
-        ends = np.cumsum([leaf[i] for leaf in by_shard])
-        out.append(Quota(s, sizes[s], goal[s], words[s], n, stride % max(whole, 1), int(rng.integers(0, max(whole, 1))), tuple(map(int, ends))))
-    return out
+    by_shard = split_tree([_draws(sizes[s], words[s], block) for s in goal], shards, seed)
+    ends = np.cumsum(np.array(by_shard, dtype=object), axis=0).T if goal else []
+    return [Quota(s, sizes[s], goal[s], words[s], tuple(map(int, e))) for s, e in zip(goal, ends, strict=True)]
 
 
 def _draws(size: int, words: int, block: int) -> int:
@@ -120,115 +120,103 @@ def _draws(size: int, words: int, block: int) -> int:
     return words // size * parts(size, block) + math.ceil(words % size / block) if size else 0
 
 
-def _quotas(spark, quotas: list[Quota], block: int) -> DataFrame:
-    rows = [(q.source, q.size, q.target, q.words, q.blocks, q.size // block, q.stride, q.offset, list(q.shard_ends)) for q in quotas]
-    return spark.createDataFrame(rows, "_source string, source_size long, target double, _words long, _blocks long, _whole long, _stride long, _offset long, _ends array<int>")
-
+def _quotas(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, shards: int, block: int, seed: int, window_rows: int) -> tuple[DataFrame, bool]:
+    """A row a source with all numbers of its quota, and whether there are few of them."""
+    totals = docs.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    sizes = {r["source"]: int(r["size"]) for r in totals}
+    rows = {r["source"]: parts(r["n"], window_rows) for r in totals}
+    quotas = plan(sizes, weights, share, most, block, shards, seed)
+    kinds = "_source string, _size long, _target double, _words long, _blocks long, _ends array<long>, _slices long"
+    table = docs.sparkSession.createDataFrame([(q.source, q.size, q.target, q.words, parts(q.size, block), list(q.shard_ends), rows[q.source]) for q in quotas], kinds)
+    return table, len(quotas) <= BROADCAST_SOURCES
 
-def with_draws(docs: DataFrame, size: Column, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2, shards: int = MIX_SHARDS, block: int = BLOCK_WORDS, seed: int = 0, window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """`docs` with `size`, `source_size`, `target` and `draws`, what the mix takes of each row.
 
-    A draw is (`shard`, `epoch`, `start`, `words`): words [start, start + words)
-    of the document. Draws of one epoch are disjoint. `docs` needs `doc_id` and
-    `source`; it is read twice, so it should be cheap to read again.
+def placed_draws(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2, shards: int = MIX_SHARDS, block: int = BLOCK_WORDS, seed: int = 0, window_rows: int = WINDOW_ROWS) -> tuple[DataFrame, DataFrame]:
+    """What the mix takes of each row of `docs` (`row`, a number of its own for each; `doc_id`, `source`, `size`), and the sources' quotas.
 
-    Null and empty texts have size 0 and no draws; a null source is a source of
-    its own, after the others; repeated rows are streams' members of their own,
-    in arbitrary order among themselves. Columns beginning with `_` are used
-    inside. An empty table gives an empty result.
+    A draw is (`row`, `shard`, `epoch`, `start`, `words`): words
+    [start, start + words) of the document. Draws of one epoch are disjoint.
+    `docs` is read several times, so it should be a small table of its own.
+    Rows of size 0 have no draws; a null source is a source of its own, after
+    the others; rows with equal `doc_id` are in the order of `size`, `row`.
     """
-    sized = docs.withColumn("size", size.cast("long"))
-    sized = sized.withColumn("_hash", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")))
-    totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    quotas = plan({r["source"]: int(r["size"]) for r in totals}, weights, share, most, block, shards, seed)
-    table = _quotas(docs.sparkSession, quotas, block)
-    slices = docs.sparkSession.createDataFrame([(r["source"], parts(r["n"], window_rows)) for r in totals], "_source string, _slices int")
-    table = table.join(slices, table["_source"].eqNullSafe(slices["_source"])).drop(slices["_source"])
-    if len(quotas) <= 10_000:  # the sources of a mixture; more are joined by a shuffle
-        table = F.broadcast(table)
-    joined = sized.join(table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    table, few = _quotas(docs, weights, share, most, shards, block, seed, window_rows)
+    quota = F.broadcast(table) if few else table
+    hashed = docs.withColumn("_hash", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")))
+    joined = hashed.join(quota.select("_source", "_slices"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     slice_no = F.least(F.floor(((F.col("_hash") / float(1 << 64)) + 0.5) * F.col("_slices")), F.col("_slices") - 1)
-    joined = joined.withColumn("_slice", slice_no.cast("int"))
-
-    sums = joined.groupBy(F.col("source").alias("_s"), F.col("_slice").alias("_i")).agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("_s").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    local = Window.partitionBy("source", "_slice").orderBy("_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = joined.withColumn("_at", F.coalesce(F.sum("size").over(local), F.lit(0)))
-    placed = placed.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_i"))).drop("_s", "_i")
-    placed = placed.withColumn("_at", F.col("_at") + F.col("_base"))
-
-    first, last = F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.col("size") - 1) / block)
-    numbers = F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-
-    def of_block(b: Column) -> Column:
-        whole, draws = F.col("_whole"), F.col("_ends")[len(quotas[0].shard_ends) - 1] if quotas else F.lit(0)
-        rank = F.when(b < whole, (b * F.col("_stride") + F.col("_offset")) % whole).otherwise(b)
-        starts, ends = F.greatest(b * block, F.col("_at")), F.least((b + 1) * block, F.col("_at") + F.col("size"))
-
-        def of_epoch(e: Column) -> Column:
-            number = e * F.col("_blocks") + rank
-            # words that this draw gives of its block: all, or the rest of the source's words in the last draw
-            given = F.when(number < draws - 1, F.lit(block)).otherwise(F.col("_words") - e * F.col("source_size") - rank * block)
-            given = F.when(number < draws, F.greatest(given, F.lit(0))).otherwise(F.lit(0))
-            return F.struct(
-                F.size(F.filter("_ends", lambda x: x <= number)).alias("shard"),
-                e.cast("int").alias("epoch"),
-                (starts - F.col("_at")).cast("long").alias("start"),
-                (F.least(ends, b * block + given) - starts).cast("long").alias("words"),
-            )
-
-        return F.transform(F.sequence(F.lit(0), F.lit(max(0, math.ceil(most) - 1))), of_epoch)
-
-    draws = F.filter(F.flatten(F.transform(numbers, of_block)), lambda d: d["words"] > 0)
-    placed = placed.withColumn("draws", draws)
-    return placed.drop("_hash", "_words", "_blocks", "_whole", "_stride", "_offset", "_ends", "_slices", "_slice", "_at", "_base")
+    joined = joined.withColumn("_slice", slice_no.cast("long")).select("row", "source", "size", "doc_id", "_hash", "_slice")
+    sums = with_before(joined.groupBy("source", "_slice").agg(F.sum("size").alias("_sum")), ["source"], "_slice", "_sum", "_base")
+    right = sums.select(F.col("source").alias("_s"), F.col("_slice").alias("_i"), "_base")
+    local = F.sum("size").over(Window.partitionBy("source", "_slice").orderBy("_hash", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1))
+    placed = joined.withColumn("_at", F.coalesce(local, F.lit(0))).join(right, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_i")))
+    placed = placed.where("size > 0").select("row", "source", "size", (F.col("_at") + F.col("_base")).alias("_at"))
+
+    # A piece is what a row has of a block.
+    pieces = placed.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.col("size") - 1) / block))))
+    begin, end = F.greatest(F.col("_block") * block, F.col("_at")), F.least((F.col("_block") + 1) * block, F.col("_at") + F.col("size"))
+    pieces = keep(pieces.select("row", "source", "_block", (begin - F.col("_at")).alias("start"), (end - begin).alias("words"), (begin - F.col("_block") * block).alias("_inside")), "pieces")
+
+    # Each block has one piece at its begin. A shorter last block stays last in every epoch.
+    blocks = pieces.where("_inside = 0").select("source", "_block").join(quota.select("_source", "_size", "_blocks"), F.col("source").eqNullSafe(F.col("_source")))
+    blocks = blocks.withColumn("_last", (F.col("_size") % block != 0) & (F.col("_block") == F.col("_blocks") - 1))
+    blocks = blocks.withColumn("_hash", F.xxhash64(F.lit(seed + 1), F.col("source"), F.col("_block")))
+    ranked = with_rank(blocks.where("not _last"), ["source"], (F.col("_hash") / float(1 << 64)) + 0.5, [F.col("_hash"), F.col("_block")], F.ceil(F.col("_blocks") / window_rows), "_rank")
+    ranks = ranked.select("source", "_block", "_rank").union(blocks.where("_last").select("source", "_block", F.col("_block").alias("_rank")))
+    ranks = ranks.select(F.col("source").alias("_s"), F.col("_block").alias("_b"), "_rank")
+    drawn = pieces.join(ranks, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))).drop("_s", "_b")
+    drawn = drawn.join(quota, F.col("source").eqNullSafe(F.col("_source"))).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max(0, math.ceil(most) - 1)))))
+
+    number, draws = F.col("epoch") * F.col("_blocks") + F.col("_rank"), F.element_at("_ends", -1)
+    # words that this draw gives of its block: all, or the rest of the source's words in the last draw
+    given = F.when(number < draws - 1, F.lit(block)).when(number < draws, F.col("_words") - F.col("epoch") * F.col("_size") - F.col("_rank") * block).otherwise(F.lit(0))
+    taken = F.least(F.col("words"), given - F.col("_inside"))
+    shard = F.size(F.filter("_ends", lambda x: x <= number))
+    return drawn.where(taken > 0).select("row", shard.alias("shard"), "epoch", "start", taken.alias("words")), quota
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def taken(draws: Column) -> Column:
-    return F.aggregate(draws, F.lit(0).cast("long"), lambda total, d: total + d["words"])
-
-
 def mix(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
-    """The mixture itself: one row of `docs` for each piece, its `text` cut to the piece, plus `shard`.
-
-    Adjacent draws of one document, epoch and shard are one piece; whole
-    documents keep their text as it is, parts are their words joined by
-    spaces. Rows of a shard come in a seeded random order. `n_chars`, if there
-    is such a column, is counted anew.
+    """The mixture itself: one row of `docs` for each draw, its `text` cut to the words drawn, plus `shard`.
+
+    `docs` needs `doc_id`, `source` and `text`. Whole documents keep their text
+    as it is, parts are their words joined by spaces. Rows of a shard come in
+    a seeded random order. `n_chars`, if there is such a column, is counted
+    anew; a column `shard` of `docs` is replaced; other columns are kept,
+    whatever their names. Null and empty texts give nothing; repeated rows are
+    documents of their own. An empty table gives an empty result.
+    """
+    names = [c for c in docs.columns if c != "shard"]
+    whole = F.struct(*[F.col(c) for c in names]).alias("doc")
+    rows = keep(docs.select(F.monotonically_increasing_id().alias("row"), F.col("source"), F.col("doc_id"), word_count(F.col("text")).alias("size"), whole), "rows")
+    draws, _ = placed_draws(rows.select("row", "doc_id", "source", "size"), seed=seed, **options)
+    listed = draws.groupBy("row").agg(F.collect_list(F.struct("shard", "epoch", "start", F.col("words").cast("int").alias("words"))).alias("draws"))
+    found = rows.join(listed, "row")
+    some = F.exists("draws", lambda d: d["words"] < F.col("size"))
+    # the words are found once a document: referred to twice below, they stay a column of their own
+    found = found.withColumn("found", F.when(some, F.regexp_extract_all("doc.text", F.lit(f"({WORD})"), F.lit(1))))
+    text = lambda d: F.when(F.col("found").isNull() | (d["words"] == F.col("size")), F.col("doc.text")).otherwise(F.array_join(F.slice("found", (d["start"] + 1).cast("int"), d["words"]), " "))
+    pieces = found.select("doc", F.col("doc.doc_id").alias("id"), F.explode(F.transform("draws", lambda d: F.struct("row", d["shard"].alias("shard"), d["epoch"].alias("epoch"), d["start"].alias("start"), text(d).alias("text")))).alias("draw"))
+    key = F.xxhash64(F.lit(seed + 2), F.col("id").cast("string"), F.col("draw.epoch"), F.col("draw.start"))
+    columns = {c: F.col(f"doc.`{c}`") for c in names} | {"text": F.col("draw.text")}
+    if "n_chars" in names:
+        columns["n_chars"] = F.length("draw.text").cast(docs.schema["n_chars"].dataType)
+    pieces = pieces.select(key.alias("_key"), F.col("draw.shard").alias("_shard"), F.struct(*[columns[c].alias(c) for c in names]).alias("doc"))
+    pieces = pieces.repartition("_shard", F.pmod(F.col("_key"), F.lit(64))).sortWithinPartitions("_shard", "_key")
+    return pieces.select("doc.*", F.col("_shard").alias("shard"))
+
+
+def mix_documents(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
+    """Digest of the mixture by document: `doc_id`, `size`, `source_size`, `target` (its source's), `taken`, `source`.
+
+    Null and empty texts have size 0; repeated rows are documents of their own;
+    other columns are ignored. An empty table gives an empty result.
     """
-    drawn = with_draws(docs, word_count(F.col("text")), seed=seed, **options)
-    pieces = drawn.withColumn("_draw", F.explode(_joined(F.col("draws"))))
-    words = F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), (F.col("_draw.start") + 1).cast("int"), F.col("_draw.words").cast("int"))
-    text = F.when(F.col("_draw.words") == F.col("size"), F.col("text")).otherwise(F.array_join(words, " "))
-    pieces = pieces.withColumn("text", text).withColumn("shard", F.col("_draw.shard"))
-    if "n_chars" in docs.columns:
-        pieces = pieces.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    key = F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("string"), F.col("_draw.epoch"), F.col("_draw.start"))
-    pieces = pieces.withColumn("_key", key).repartition("shard", F.pmod(F.col("_key"), F.lit(64)))
-    return pieces.sortWithinPartitions("shard", "_key").select(*docs.columns, "shard")
-
-
-def _joined(draws: Column) -> Column:
-    """Draws in order of epoch and start, those that meet within an epoch and shard made one."""
-    ordered = F.array_sort(F.transform(draws, lambda d: F.struct(d["epoch"].alias("epoch"), d["start"].alias("start"), d["words"].alias("words"), d["shard"].alias("shard"))))
-    empty = F.slice(ordered, 1, 0)
-
-    def add(done: Column, d: Column) -> Column:
-        last = F.element_at(done, -1)
-        meets = (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["epoch"] == d["epoch"]) & (F.get(done, F.size(done) - 1)["start"] + F.get(done, F.size(done) - 1)["words"] == d["start"])
-        longer = F.struct(last["epoch"].alias("epoch"), last["start"].alias("start"), (last["words"] + d["words"]).alias("words"), last["shard"].alias("shard"))
-        return F.when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(d)))
-
-    return F.aggregate(ordered, empty, add)
-
-
-def mix_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """Digest of the mixture by document: its size, its source's size and target, and the words taken of it."""
-    sized = keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("n_words")), "sizes")
-    drawn = with_draws(sized, F.col("n_words"), seed=seed)
-    return drawn.select("doc_id", "size", "source_size", "target", taken(F.col("draws")).alias("taken"), "source")
+    rows = keep(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    draws, quota = placed_draws(rows, seed=seed, **options)
+    took = draws.groupBy("row").agg(F.sum("words").alias("taken"))
+    out = rows.join(took, "row", "left").join(quota.select("_source", "_size", "_target"), F.col("source").eqNullSafe(F.col("_source")))
+    return out.select("doc_id", "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), F.coalesce("taken", F.lit(0)).alias("taken"), "source")
