@@ -2,31 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, parts
+from .common import keep, parts, with_rank
 
-#: Rows that one window of the ranking is meant to hold.
-WINDOW_ROWS = 2000
-
-
-def _ranked(df: DataFrame, groups: list[str], at: Column, order: list[Column], windows: Column, name: str) -> DataFrame:
-    """Add `name`: the rank from 0 of each row within `groups`, by `at` in [0, 1) and then `order`.
-
-    A group is cut into `windows` slices of `at`; ranks within a slice are
-    added to the number of rows in the slices before it, so that a group of any
-    size is ranked by many tasks. `order` must begin with what `at` grows with.
-    """
-    sliced = df.withColumn("_slice", F.least(F.floor(at * windows), windows - 1).cast("long"))
-    counts = sliced.groupBy(*groups, "_slice").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    right = counts.select(*[F.col(c).alias(f"_r{c}") for c in [*groups, "_slice"]], "_before")
-    on = [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in [*groups, "_slice"]]
-    local = F.row_number().over(Window.partitionBy(*groups, "_slice").orderBy(*order)) - 1
-    ranked = sliced.withColumn("_local", local).join(right, on)
-    return ranked.withColumn(name, F.col("_local") + F.col("_before")).drop("_local", "_slice", *right.columns)
+#: Rows that one window of the ranking is meant to hold, and sources up to which their counts are broadcast.
+WINDOW_ROWS, BROADCAST_SOURCES = 2000, 10_000
 
 
 def interleave(rows: DataFrame, key: str, source: str, shards: int, seed: int = 0, window_rows: int = WINDOW_ROWS) -> DataFrame:
@@ -44,15 +26,14 @@ def interleave(rows: DataFrame, key: str, source: str, shards: int, seed: int =
     """
     others = [F.col(c) for c in rows.columns if c not in (key, source)]
     hashed = rows.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(key).cast("string")))
-    sizes = [r["count"] for r in rows.groupBy(source).count().orderBy("count").collect()]
-    total = sum(sizes)
-    by_source = rows.groupBy(F.col(source).alias("_source")).agg(F.count("*").alias("_rows"))
-    counted = hashed.join(F.broadcast(by_source) if len(sizes) <= 10_000 else by_source, F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
+    by_source = keep(rows.groupBy(F.col(source).alias("_source")).agg(F.count("*").alias("_rows")), "sources")
+    sources, total = by_source.agg(F.count("*"), F.coalesce(F.sum("_rows"), F.lit(0))).first()
+    counted = hashed.join(F.broadcast(by_source) if sources <= BROADCAST_SOURCES else by_source, F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
     at = (F.col("_hash") / float(1 << 64)) + 0.5
-    ranked = _ranked(counted, [source], at, [F.col("_hash"), F.col(key), *others], F.ceil(F.col("_rows") / window_rows), "_rank")
+    ranked = with_rank(counted, [source], at, [F.col("_hash"), F.col(key), *others], F.ceil(F.col("_rows") / window_rows), "_rank")
     ranked = ranked.withColumn("_at", (F.col("_rank") + 0.5) / F.col("_rows"))
     order = [F.col("_at"), F.col(source), F.col("_hash"), F.col(key), *others]
-    placed = _ranked(ranked, [], F.col("_at"), order, F.lit(parts(total, window_rows)), "_place")
+    placed = with_rank(ranked, [], F.col("_at"), order, F.lit(parts(total, window_rows)), "_place")
     shard = F.floor(F.col("_place") * shards / F.lit(max(total, 1)).cast("long"))
     first = F.ceil(F.col("shard") * F.lit(total) / F.lit(shards).cast("double"))
     placed = placed.withColumn("shard", shard.cast("int"))
