@@ -20,14 +20,15 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, parts
+from .common import blocks, keep, keep_observed, parts, with_before
 
 WINDOW, END_ID, GROUP_PIECES = 2048, 1, 5000
-#: Characters of words whose ids a worker remembers.
-CACHE_CHARS = 6_000_000
+#: Characters of words whose ids a worker remembers, and bytes of text that it works on at once (one text at least).
+CACHE_CHARS, BATCH_BYTES = 6_000_000, 500_000
 #: A space before a visible character always starts a token of its own with what follows, so texts may be cut there.
 _CUT = re.compile(r" (?=\S)")
 
@@ -141,8 +142,8 @@ def pieces(docs: DataFrame, key: str, text: str, path: str, window: int, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tokenizer(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for a, b in blocks(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False) + 1, BATCH_BYTES):
+                part = batch.slice(a, b - a)
                 rows, columns = [], []
                 for i, ids in enumerate(known.encode([t or "" for t in part.column(1).to_pylist()])):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -165,9 +166,10 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     are documents of their own. Extra columns are ignored. Sequence numbers
     are gapless over the whole table; an empty table gives an empty result.
     """
-    cut = keep(pieces(docs, key, text, path or public_tokenizers.path("byte_bpe_50k.json"), window, end_id, with_ids), "pieces")
-    groups = parts(cut.count(), group_pieces)
-    grouped = cut.withColumn("pack", F.pmod(F.xxhash64(key, "start", "ids_crc32"), F.lit(groups)).cast("int"))
+    numbered = pieces(docs, key, text, path or public_tokenizers.path("byte_bpe_50k.json"), window, end_id, with_ids).withColumn("_piece", F.monotonically_increasing_id())
+    cut, (n_pieces, _) = keep_observed(numbered, "pieces")
+    groups = parts(n_pieces, group_pieces)
+    grouped = cut.withColumn("pack", F.pmod(F.xxhash64("_piece"), F.lit(groups))).drop("_piece")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), (key, "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
@@ -176,8 +178,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
 
     packed = keep(grouped.groupBy("pack").applyInArrow(run, f"{_ddl(grouped)}, sequence_id long, offset long"), "packed")
     sizes = packed.groupBy("pack").agg((F.max("sequence_id") + 1).alias("windows"))
-    before = Window.orderBy("pack").rowsBetween(Window.unboundedPreceding, -1)  # over one row a group
-    base = sizes.select("pack", F.coalesce(F.sum("windows").over(before), F.lit(0)).alias("base"))
+    base = with_before(sizes, [], "pack", "windows", "base").drop("windows")
     return packed.join(base, "pack").withColumn("sequence_id", F.col("sequence_id") + F.col("base")).drop("pack", "base")
 
 
