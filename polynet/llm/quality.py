@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, logistic, remainder, sigmoid
 
-#: Labelled texts of each class for the dictionaries and as many for the curve, chunks of each for the dictionaries.
-TRAIN_ROWS, TRAIN_CHUNKS = 2000, 4
+#: Labelled texts of each class for the dictionaries, and as many for the curve.
+TRAIN_ROWS = 2000
 CHUNK_BYTES, SHORT_BYTES, DICTIONARY_BYTES, LEVEL = 1024, 128, 112_640, 3
+#: Segment and gram sizes of the dictionaries' training; given, they need not be searched for.
+K, D = 200, 8
 #: Score from which a text counts as good.
 THRESHOLD = 0.3
 
@@ -62,36 +64,37 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 def _dictionary(chunks: list[bytes]) -> bytes:
-    """Trained where there is enough text, else the text itself as a raw dictionary."""
-    if sum(map(len, chunks)) > 10 * DICTIONARY_BYTES:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, chunks).as_bytes()
-    return b"".join(chunks)[-DICTIONARY_BYTES:]
+    """Trained on all chunks, a tenth of their size but `DICTIONARY_BYTES` at most; the text itself if there is too little of it to train on."""
+    try:
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, chunks)) // 10), chunks, k=K, d=D).as_bytes()
+    except (zstandard.ZstdError, ValueError):  # a few hundred bytes
+        return b"".join(chunks)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: int) -> DataFrame:
-    """`id`, `text`, `label` (0 or 1) of about `rows` texts of each class.
+    """`id`, `text`, `label` (0 or 1) of about `rows` texts of each class, an id once.
 
     Rows with null ids or labels, or with a label other than 0 and 1, teach
-    nothing; an id with several labels counts with the largest.
+    nothing; an id with several labels counts with the largest, one with
+    several texts with the last in order; a null text is empty.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = bounded_sample(known, "label", "doc_id", rows, seed)  # at most about 2 * rows ids: small enough to broadcast
-    return docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").withColumnRenamed("doc_id", "id")
+    found = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen.withColumnRenamed("doc_id", "id")), "id")
+    return found.groupBy("id", "label").agg(F.max("text").alias("text")).select("id", "text", "label")
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, seed: int = 0) -> Compressed:
-    """Fit on a bounded sample: `rows` texts of each class, and `TRAIN_CHUNKS` chunks of each, chosen by hash, for the dictionaries."""
+    """Fit on a bounded sample of `rows` whole texts of each class for the dictionaries, and as many others for the curve."""
     sample = labelled_texts(docs, labels, label, 2 * rows, seed)
-    sample = sample.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(2))).dropDuplicates(["id"])
+    sample = sample.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(2)))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for i, t, y in zip(pdf.id, pdf.text, pdf.label, strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
-                n = -(-len(raw) // CHUNK_BYTES)
-                for c in np.random.default_rng([seed, abs(int(i))]).permutation(n)[:TRAIN_CHUNKS]:
-                    out.append((i, int(c), y, raw[c * CHUNK_BYTES : (c + 1) * CHUNK_BYTES]))
+                out += [(i, c, y, raw[c : c + CHUNK_BYTES]) for c in range(0, len(raw), CHUNK_BYTES)]
             yield pd.DataFrame(out, columns=["id", "place", "label", "chunk"])
 
     chunks = sample.where("fold = 0").mapInPandas(cut, "id long, place int, label int, chunk binary").toPandas().sort_values(["id", "place"])
@@ -114,7 +117,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 
 
 def score(docs: DataFrame, model: Compressed, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Add `score` (0 to 1, higher: good) and `predicted` (1 from `threshold` on). A null text counts as empty."""
+    """Add `score` (0 to 1, higher: good) and `predicted` (1 from `threshold` on); columns of these names are replaced.
+
+    Whole texts count, of any length, in chunks. A null text counts as empty,
+    and empty texts score what the curve says of shortness alone. Equal texts
+    score the same; repeated rows stay. Other columns are kept.
+    """
 
     @F.pandas_udf("double")
     def of(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
