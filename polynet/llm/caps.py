@@ -1,152 +1,272 @@
 """Near-duplicate embeddings by spherical-cap filters.
 
-A filter is a direction; a vector belongs to every filter whose cap it lies
-in. Filters are a random product code: the rotated vector is cut in two
-halves, each with a codebook of random unit words, and a filter is one word of
-each half. List decoding sorts the words of both halves by their products with
-the vector and walks the pairs whose sum exceeds the cap's height, so all
-filters of a vector are found without trying the whole product. Vectors that
-share a filter are compared by their true cosine.
+A filter is a direction. Filters are a random product code: the rotated
+vector is cut in two halves, each with a codebook of random unit words, and a
+filter is one word of each half. A vector is stored under its best filter, its
+home. List decoding finds all filters whose caps hold a vector, those whose
+product with it exceeds the caps' height, without trying the whole product:
+only words that reach the height with the other half's best word are paired.
+The vector asks at each of these that is some vector's home. Several
+independent codes make a near pair that one of them parts meet under another.
+
+Two vectors that meet under a filter are compared by short random-plane
+sketches first, by their true cosine after. Vectors and words are rounded to
+integers small enough for exact sums, so every task agrees on which filters
+hold a vector, and a pair that meets under several filters counts once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dimension, keep, usable
-from .components import components
+from ..operators.graph import reachable
+from .common import HOT_SHARE, blocks, dimension, forget, join_hot, keep, keep_observed, usable
 
-#: Words in each half's codebook, mean filters of a vector, members of a block.
-CODEWORDS, FILTERS, BLOCK = 4096, 80, 256
+#: Words in each half's codebook, independent codes, chance that a pair just at the least cosine shares no filter, members of a block.
+CODEWORDS, CODES, MISS, BLOCK = 1024, 4, 5e-5, 256
+#: Numbers are rounded to so many steps a unit: products of two unit vectors stay below 2**24, which float32 holds exactly.
+STEPS = 2048
+#: Random pairs that the caps' height is set by, and bits of a sketch.
+TRIALS, SKETCH_BITS = 20_000, 128
+#: Pairs of sketches that a task compares at once.
+PAIRS = 1_000_000
 
 
 class ProductCode:
-    """Random codebooks for vectors of `dim` components, and the height at which a vector has `filters` caps on average."""
+    """Random codebooks for vectors of `dim` components, and the caps' height for pairs with a cosine of `least`."""
 
-    def __init__(self, dim: int, codewords: int = CODEWORDS, filters: int = FILTERS, seed: int = 0) -> None:
+    def __init__(self, dim: int, least: float, codewords: int = CODEWORDS, codes: int = CODES, miss: float = MISS, seed: int = 0) -> None:
         rng = np.random.default_rng(seed)
-        self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0] if dim > 1 else np.ones((1, 1))
-        cut = max(dim // 2, 1)
-        self.halves = [slice(0, cut), slice(cut, dim)] if dim > 1 else [slice(0, 1)]
-        self.books = []
-        for h in self.halves:
-            words = rng.normal(size=(codewords, h.stop - h.start))
-            self.books.append((words / np.linalg.norm(words, axis=1, keepdims=True)).astype(np.float32))
-        self.codewords = codewords
-        trial = rng.normal(size=(256, dim))
-        self.height = self._height(trial / np.linalg.norm(trial, axis=1, keepdims=True), filters)
-
-    def _products(self, x: np.ndarray) -> list[np.ndarray]:
-        x = (x @ self.rotation).astype(np.float32)
-        out = [x[:, h] @ b.T for h, b in zip(self.halves, self.books, strict=True)]
-        return out if len(out) == 2 else [out[0], np.zeros((len(x), 1), np.float32)]
-
-    def _height(self, x: np.ndarray, filters: int) -> float:
-        """By bisection on the mean list size of random directions."""
-        a, b = (np.sort(p, axis=1) for p in self._products(x))
-        low, high = -2.0, 2.0
-        for _ in range(40):
-            mid = (low + high) / 2
-            mean = np.mean([len(s) * a.shape[1] - np.searchsorted(r, mid - s).sum() for r, s in zip(a, b, strict=True)])
-            low, high = (mid, high) if mean > filters else (low, mid)
-        return high
-
-    def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """Sorted numbers of all filters whose caps hold each row of unit vectors `x`."""
-        out = []
-        for a, b in zip(*self._products(x), strict=True):
-            left = np.flatnonzero(a >= self.height - b.max())
-            right = np.flatnonzero(b >= self.height - a.max())
-            i, j = np.nonzero(a[left][:, None] + b[right][None, :] >= self.height)
-            out.append(np.sort(left[i].astype(np.int64) * self.codewords + right[j]).astype(np.int32))
+        self.dim, self.codewords, self.codes = dim, codewords, codes
+        wide = max(2, dim + dim % 2)
+        self.rotation = np.linalg.qr(rng.normal(size=(wide, wide)))[0]
+        self.halves = (slice(0, wide // 2), slice(wide // 2, wide))
+        words = rng.normal(size=(codes, 2, codewords, wide // 2))
+        self.books = np.rint(STEPS * words / np.linalg.norm(words, axis=-1, keepdims=True)).astype(np.float32)
+        self.planes = rng.normal(size=(wide, SKETCH_BITS))
+        chance = math.acos(max(-1.0, min(1.0, least))) / math.pi
+        tail, self.differ = 1.0, -1
+        while tail > 1e-9 and self.differ < SKETCH_BITS:  # a pair at `least` differs in more bits once in a thousand million
+            self.differ += 1
+            tail -= math.comb(SKETCH_BITS, self.differ) * chance**self.differ * (1 - chance) ** (SKETCH_BITS - self.differ)
+        self.height = self._height(rng, least, miss)
+
+    def rounded(self, units: np.ndarray) -> np.ndarray:
+        wide = np.zeros((len(units), len(self.rotation)))
+        wide[:, : units.shape[1]] = units
+        return np.rint(STEPS * (wide @ self.rotation)).astype(np.int16)
+
+    def products(self, q: np.ndarray, code: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row of rounded vectors with each word of both halves, exactly."""
+        q = q.astype(np.float32)
+        return q[:, self.halves[0]] @ self.books[code, 0].T, q[:, self.halves[1]] @ self.books[code, 1].T
+
+    def homes(self, q: np.ndarray) -> np.ndarray:
+        """Each row's home under each code, numbered through all codes."""
+        out = np.empty((len(q), self.codes), np.int64)
+        for c in range(self.codes):
+            a, b = self.products(q, c)
+            out[:, c] = (c * self.codewords + a.argmax(axis=1)) * self.codewords + b.argmax(axis=1)
         return out
 
+    def directions(self, cells: np.ndarray) -> np.ndarray:
+        """The filters of numbers `cells` as rows."""
+        code, left, right = cells // self.codewords**2, cells // self.codewords % self.codewords, cells % self.codewords
+        return np.concatenate([self.books[code, 0, left], self.books[code, 1, right]], axis=1)
+
+    def decode(self, q: np.ndarray) -> list[np.ndarray]:
+        """Numbers of all filters whose caps hold each row."""
+        out: list[list[np.ndarray]] = [[] for _ in q]
+        for c in range(self.codes):
+            for found, a, b in zip(out, *self.products(q, c), strict=True):
+                left, right = np.flatnonzero(a >= self.height - b.max()), np.flatnonzero(b >= self.height - a.max())
+                i, j = np.nonzero(a[left][:, None] + b[right][None, :] >= self.height)
+                found.append((c * self.codewords + left[i]) * self.codewords + right[j])
+        return [np.concatenate(x) for x in out]
+
+    def sketches(self, q: np.ndarray) -> np.ndarray:
+        return np.packbits(q @ self.planes >= 0, axis=1)
+
+    def _height(self, rng: np.random.Generator, least: float, miss: float) -> float:
+        """The largest at which at most the share `miss` of random pairs at cosine `least` meets under no code."""
+        wide = max(self.dim, 2)
+        x, z = rng.normal(size=(2, TRIALS, wide))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        y = least * x + math.sqrt(max(0.0, 1 - least**2)) * z
+        best = np.full(TRIALS, -np.inf)
+        for at in range(0, TRIALS, 2000):
+            p, q = self.rounded(x[at : at + 2000]), self.rounded(y[at : at + 2000])
+            for one, other in ((p, q), (q, p)):
+                for home in self.homes(one).T:
+                    met = (self.directions(home) * other).sum(axis=1)
+                    best[at : at + 2000] = np.maximum(best[at : at + 2000], met)
+        return float(np.sort(best)[int(miss * TRIALS)])
+
+
+def _stored(classes: DataFrame, code: ProductCode) -> DataFrame:
+    """`rep`, `n`, `unit` (the unit vector), `q` (rounded), `sketch`, `homes` of `rep`, `n`, `vector`."""
 
-def _decoded(reps: DataFrame, code: ProductCode) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
                 x = np.array(part.vector.tolist(), np.float64)
-                x /= np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(axis=1, keepdims=True)
-                yield pd.DataFrame({"rep": part.rep, "n": part.n, "unit": [v.tobytes() for v in x], "filters": code.decode(x)})
+                x /= np.abs(x).max(axis=1, keepdims=True)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                q = code.rounded(x)
+                yield pd.DataFrame({"rep": part.rep, "n": part.n, "unit": [v.tobytes() for v in x], "q": [v.tobytes() for v in q], "sketch": [v.tobytes() for v in code.sketches(q)], "homes": list(code.homes(q))})
 
-    return reps.mapInPandas(run, "rep long, n long, unit binary, filters array<int>")
+    return classes.mapInPandas(run, "rep long, n long, unit binary, q binary, sketch binary, homes array<long>")
 
 
-def block_links(reps: np.ndarray, counts: np.ndarray, units: np.ndarray, filters: list[np.ndarray], here: int, crosses: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each member of filter `here`: vectors it is linked with that no lower filter has counted, and the smallest member linked.
+def _occupied(stored: DataFrame, code: ProductCode) -> np.ndarray:
+    """Which filters are homes, as packed bits: as many bits as the code has filters, whatever the table's size."""
+    homes = stored.select(F.explode("homes").alias("cell"))
+    bits = homes.groupBy(F.expr("bitmap_bucket_number(cell)").alias("at")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cell))").alias("bits"))
+    out = np.zeros(code.codes * code.codewords**2 + 2, bool)
+    for r in bits.toLocalIterator():  # buckets are numbered from 1 for positive numbers and hold 32,768 bits; the number 0 is bit 0 of bucket 0 or 1
+        where = np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little"))
+        cells = where + (r["at"] - 1) * 32_768 + 1 if r["at"] > 0 else where
+        out[cells[cells < len(out)]] = True
+    return np.packbits(out)
 
-    `crosses`: chunk numbers if only pairs between two different chunks count.
-    """
-    linked = units @ units.T >= least
-    np.fill_diagonal(linked, False)
-    if crosses is not None:
-        linked &= crosses[:, None] != crosses[None, :]
-    lowest = np.where(linked, reps[None, :], reps[:, None]).min(axis=1)
-    lowest = np.minimum(lowest, reps)
-    if linked.any():
-        every = np.concatenate([f[f < here] for f in filters])
-        owner = np.repeat(np.arange(len(filters)), [int((f < here).sum()) for f in filters])
-        names, column, times = np.unique(every, return_inverse=True, return_counts=True)
-        m = np.zeros((len(filters), len(names)), np.float32)
-        m[owner, column] = 1
-        m = m[:, times > 1]
-        linked &= (m @ m.T) == 0
-    return (linked * counts[None, :]).sum(axis=1), lowest
+
+def _visits(stored: DataFrame, code: ProductCode, occupied: np.ndarray) -> DataFrame:
+    """`cell`, `rep`, `sketch`, `inside` of each home, and of each other vector's home that a vector's caps reach."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = np.unpackbits(occupied).astype(bool)
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                q = np.array([np.frombuffer(v, np.int16) for v in part.q])
+                homes = [np.asarray(h, np.int64) for h in part.homes]
+                asked = [np.setdiff1d(f[known[f]], h) for f, h in zip(code.decode(q), homes, strict=True)]
+                cells = [np.concatenate([h, f]) for h, f in zip(homes, asked, strict=True)]
+                times = [len(c) for c in cells]
+                inside = np.concatenate([np.arange(n) < code.codes for n in times])
+                yield pd.DataFrame({"cell": np.concatenate(cells), "rep": np.repeat(part.rep.to_numpy(), times), "sketch": np.repeat(part.sketch.to_numpy(), times), "inside": inside})
+
+    return stored.select("rep", "q", "sketch", "homes").mapInPandas(run, "cell long, rep long, sketch binary, inside boolean")
 
 
-def _compared(placed: DataFrame, least: float) -> DataFrame:
-    """`rep`, `n_links`, `low` of each block, of `filter`, `first`, `second`, `chunk`, `rep`, `n`, `unit`, `filters`."""
-    key = ["filter", "first", "second"]
+def _in_blocks(members: DataFrame, total: int, run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """`run` (rows, where blocks begin and the last ends) over blocks of bounded size that bring together each two members of a cell once.
+
+    A cell's members are dealt into chunks of about `BLOCK`, and a block holds
+    a `first` and a `second` chunk; if they differ, only pairs of two chunks count.
+    """
+    sizes = members.groupBy("cell").agg(F.count("*").alias("_n")).where("_n > 1")
+    sized = join_hot(members, sizes, ["cell"], total / HOT_SHARE, "_n").withColumn("chunks", F.ceil(F.col("_n") / BLOCK).cast("int")).drop("_n")
+    sized = sized.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    place = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("first"), F.greatest(c, F.col("chunk")).alias("second")))
+    placed = sized.withColumn("place", F.explode(place)).select("*", "place.first", "place.second").drop("place", "chunks")
+    key = ["cell", "first", "second"]
 
     def whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat([rest, pdf])
-            last = pdf.iloc[-1]
-            same = ((pdf["filter"] == last["filter"]) & (pdf["first"] == last["first"]) & (pdf.second == last.second)).to_numpy()
+            same = (pdf[key] == pdf[key].iloc[-1]).all(axis=1).to_numpy()
             rest = pdf[same]
             if not same.all():
                 yield pdf[~same]
         if rest is not None:
             yield rest
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_blocks(batches):
             keys = pdf[key].to_numpy()
-            edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True])
-            reps, counts, chunks = pdf.rep.to_numpy(), pdf.n.to_numpy(), pdf.chunk.to_numpy()
-            units = np.array([np.frombuffer(v, np.float64) for v in pdf.unit])
-            filters = pdf["filters"].tolist()
-            out = []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                f, first, second = keys[a]
-                links, low = block_links(reps[a:b], counts[a:b], units[a:b], filters[a:b], f, chunks[a:b] if first != second else None, least)
-                some = np.flatnonzero(links | (low < reps[a:b]))
-                out.append(np.column_stack([reps[a:b][some], links[some], low[some]]))
-            rows = np.concatenate(out)
-            yield pd.DataFrame({"rep": rows[:, 0], "n_links": rows[:, 1], "low": rows[:, 2]})
-
-    return placed.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "rep long, n_links long, low long")
-
-
-def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, codewords: int = CODEWORDS, filters: int = FILTERS, seed: int = 0) -> DataFrame:
+            yield run(pdf, np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True]))
+
+    return placed.repartition(*key).sortWithinPartitions(*key).mapInPandas(each, schema)
+
+
+def _met(visits: DataFrame, total: int, differ: int) -> DataFrame:
+    """`cell`, `rep` of members that meet one with a near sketch, one of the two being at home there."""
+
+    def run(pdf: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+        sketch = np.frombuffer(b"".join(pdf.sketch), np.uint64).reshape(len(pdf), -1)
+        inside, chunk, cross = pdf.inside.to_numpy(), pdf.chunk.to_numpy(), (pdf["first"] != pdf.second).to_numpy()
+        some = np.zeros(len(pdf), bool)
+        sizes = np.diff(edges)
+        for a, b in blocks(sizes**2, PAIRS):
+            size = np.repeat(sizes[a:b], sizes[a:b])  # of each row's block
+            begin = np.repeat(edges[a:b], sizes[a:b])
+            i = np.repeat(np.arange(edges[a], edges[b]), size)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+            fit = (i < j) & (inside[i] | inside[j]) & (~cross[i] | (chunk[i] != chunk[j]))
+            i, j = i[fit], j[fit]
+            near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= differ
+            some[i[near]] = some[j[near]] = True
+        return pd.DataFrame({"cell": pdf.cell[some], "rep": pdf.rep[some]})
+
+    return _in_blocks(visits, total, run, "cell long, rep long").distinct()
+
+
+def block_links(cell: int, units: np.ndarray, q: np.ndarray, homes: np.ndarray, counts: np.ndarray, chunk: np.ndarray | None, code: ProductCode, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each member of a block: how many vectors it is linked with that no earlier filter brings together, and True for each linked pair.
+
+    The earlier of the filters of a pair is that of the smaller number; a pair
+    has two under each code, the homes of either, if their caps hold the other.
+    """
+    own = cell // code.codewords**2
+    inside = homes[:, own] == cell
+    linked = (inside[:, None] | inside[None, :]) & (units @ units.T >= least)
+    np.fill_diagonal(linked, False)
+    if chunk is not None:
+        linked &= chunk[:, None] != chunk[None, :]
+    counted = linked.copy()
+    if linked.any():
+        for c in range(own + 1):
+            reach = q.astype(np.float32) @ code.directions(homes[:, c]).T >= code.height  # the row's cap holds the column's home
+            reach |= homes[:, c][:, None] == homes[:, c][None, :]
+            if c == own:
+                reach &= homes[:, c][None, :] < cell
+            counted &= ~(reach | reach.T)
+    return (counted * counts[None, :]).sum(axis=1), linked
+
+
+def _compared(met: DataFrame, total: int, stored: DataFrame, code: ProductCode, least: float) -> DataFrame:
+    """`rep`, `n_links`, `low` (the smallest member linked, or `rep`) of each block."""
+
+    def run(pdf: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+        units, q = (np.frombuffer(b"".join(pdf[c]), kind).reshape(len(pdf), -1) for c, kind in (("unit", np.float64), ("q", np.int16)))
+        homes, reps, n, chunk, cell = np.array(pdf.homes.tolist(), np.int64), pdf.rep.to_numpy(), pdf.n.to_numpy(), pdf.chunk.to_numpy(), pdf.cell.to_numpy()
+        cross, out = (pdf["first"] != pdf.second).to_numpy(), []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            links, linked = block_links(int(cell[a]), units[a:b], q[a:b], homes[a:b], n[a:b], chunk[a:b] if cross[a] else None, code, least)
+            low = np.minimum(reps[a:b], np.where(linked, reps[None, a:b], reps[a:b, None]).min(axis=1))
+            some = (links > 0) | (low < reps[a:b])
+            out.append(np.column_stack([reps[a:b][some], links[some], low[some]]))
+        return pd.DataFrame(np.concatenate(out), columns=["rep", "n_links", "low"])
+
+    members = keep(met.join(stored.select("rep", "n", "unit", "q", "homes"), "rep"), "members")
+    return _in_blocks(members, total, run, "rep long, n_links long, low long")
+
+
+def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, codewords: int = CODEWORDS, codes: int = CODES, miss: float = MISS, exact: bool = False, seed: int = 0) -> DataFrame:
     """`key`, `n_links`, `component_id`, `kept` for each row.
 
-    Links are pairs with cosine >= `least` in double precision that share a
-    filter; about one in a thousand pairs just at 0.9 shares none, fewer above.
-    Equal vectors are one class, linked with each other; a class is compared
-    once and counts as many times as it has rows.
+    Links are pairs with cosine >= `least` in double precision that meet under
+    a filter. The caps' height is set so that random pairs just at `least`
+    are missed with a chance of about `miss`; measured in 64 dimensions: of
+    50,000 pairs none at 0.90, 2 at 0.91, none at 0.93, 0.95 and 0.98. `exact` brings
+    all vectors together in blocks instead, at the cost of their number squared.
 
-    Vectors that are null, zero, hold null or non-finite components, or are not
-    of the table's commonest length link with nothing. Extra columns are
-    ignored. Keys are distinct integers.
+    Equal vectors are one class, linked with each other; a class is compared
+    once and counts as many times as it has rows. Vectors that are null, zero,
+    hold null or non-finite components, or are not of the table's commonest
+    length link with nothing. Extra columns are ignored. Keys are distinct
+    integers. An empty table gives an empty result.
     """
     dim = dimension(vectors, vector)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
@@ -154,25 +274,20 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     prints = ["print1", "print2"]
     # adding 0.0 turns -0.0 into 0.0
     same = F.when(F.col("ok"), F.transform("vector", lambda x: x + F.lit(0.0)))
-    rows = keep(rows.withColumn("print1", F.xxhash64(same)).withColumn("print2", F.xxhash64(F.lit(1), F.reverse(same))), "vectors")
+    rows, (n_rows, _) = keep_observed(rows.withColumn("print1", F.xxhash64(same)).withColumn("print2", F.xxhash64(F.lit(1), F.reverse(same))), "vectors")
     usable_rows = rows.where("ok")
-    classes = usable_rows.groupBy(*prints).agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("vector").alias("vector"))
-    classes = keep(classes, "classes")
-    code = ProductCode(max(dim, 1), codewords, filters, seed)
-    decoded = keep(_decoded(classes.select("rep", "n", "vector"), code), "decoded")
-
-    inside = decoded.select("rep", F.explode("filters").alias("filter"))
-    full = inside.groupBy("filter").count().where("count > 1").withColumn("chunks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
-    placed = inside.join(full, "filter").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("first"), F.greatest(c, F.col("chunk")).alias("second"))))
-    placed = placed.join(decoded, "rep").select("filter", "rep", "chunk", "n", "unit", "filters", pairs.alias("place"))
-    placed = placed.select("filter", "place.first", "place.second", "chunk", "rep", "n", "unit", "filters")
-    compared = keep(_compared(placed, least), "compared")
+    classes = keep(usable_rows.groupBy(*prints).agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("vector").alias("vector")), "classes")
+    code = ProductCode(max(dim, 1), least, 1 if exact else codewords, 1 if exact else codes, miss, seed)
+    stored = keep(_stored(classes.select("rep", "n", "vector"), code), "stored")
+    visits, (n_visits, _) = keep_observed(_visits(stored, code, _occupied(stored, code)), "visits")
+    met, (n_met, _) = keep_observed(_met(visits, n_visits, SKETCH_BITS if exact else code.differ), "met")
+    compared = keep(_compared(met, n_met, stored, code, least), "compared")
+    forget(visits, stored, met)
 
     links = compared.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
-    found = components(compared, "rep", "low").withColumnRenamed("id", "rep")
+    found = reachable(compared.select(F.col("rep").alias("u"), F.col("low").alias("v"))).withColumnRenamed("id", "rep")
     classes = classes.drop("vector").join(links, "rep", "left").join(found, "rep", "left")
-    classes = classes.select(*prints, (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = usable_rows.select("id", *prints).join(classes, prints).select("id", "n_links", "component_id")
+    classes = classes.select(*prints, "n", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("low", "rep").alias("component_id"))
+    linked = join_hot(usable_rows.select("id", *prints), keep(classes, "named"), prints, n_rows / HOT_SHARE).select("id", "n_links", "component_id")
     alone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

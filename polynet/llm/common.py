@@ -3,50 +3,31 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import HOT_SHARE, forget, join_hot, keep, keep_observed, with_before, with_rank  # noqa: F401 (for the operators)
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="polynet-")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: Rows of an Arrow batch. Texts are long rows: the default of 10,000 makes batches of tens of MB.
-ARROW_ROWS = "1000"
+ARROW_ROWS = 1000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An input table. Sets the session's Arrow batch to `ARROW_ROWS`, unless the session has its own."""
+def short_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to `ARROW_ROWS`, unless it has a setting of its own. For the queries; operators leave the session alone."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
-        spark.conf.set(key, ARROW_ROWS)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; a folder of our own only where it is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{_own_folder()}"
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it again.
-
-    Cuts lineage in a way that outlives lost executors, and is computed once
-    (a reliable `checkpoint()` computes its input twice).
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/polynet-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def remainder(key: str | Column, modulus: int) -> Column:
@@ -139,19 +120,28 @@ def squeezed(texts: list[str], letters: LetterTable) -> tuple[np.ndarray, np.nda
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 100, weight: np.ndarray | None = None) -> np.ndarray:
-    """Weights and intercept (last) of a logistic regression on a few dense columns, by Newton's method."""
-    spread = np.maximum(x.std(axis=0), 1e-12)
-    x = np.column_stack([x / spread, np.ones(len(x))])
+    """Weights and intercept (last) of a logistic regression on a few dense columns, by Newton's method, steps halved until the loss falls."""
+    middle, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-12)
+    x = np.column_stack([(x - middle) / spread, np.ones(len(x))])
     weight = np.ones(len(x)) if weight is None else weight
     total, w = weight.sum(), np.zeros(x.shape[1])
-    ridge = np.diag([penalty * total] * (x.shape[1] - 1) + [1e-9 * total])
+    ridge = np.array([penalty * total] * (x.shape[1] - 1) + [1e-9 * total])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(weight @ (np.logaddexp(0, z) - y * z) + ridge @ w**2 / 2)
+
     for _ in range(rounds):
         p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (y - p)) - ridge @ w)
-        w += np.clip(step, -2, 2)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (weight * (y - p)) - ridge * w)
+        before = loss(w)
+        while loss(w + step) > before and np.abs(step).max() > 1e-12:
+            step /= 2
+        w += step
         if np.abs(step).max() < 1e-9:
             break
-    return np.append(w[:-1] / spread, w[-1])
+    slopes = w[:-1] / spread
+    return np.append(slopes, w[-1] - slopes @ middle)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -1,4 +1,9 @@
-"""The operators' queries over whole tables, and SQL for those that SQL can express."""
+"""The operators' queries over whole tables, and SQL for those that SQL can express.
+
+Each query hands its table to its operator; nulls, empty and long texts, ties,
+repeated rows, empty tables and further columns are treated as the operator's
+docstring says.
+"""
 
 from __future__ import annotations
 
@@ -8,19 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, caps, chat, langid, minhash, mixing, packing, quality, sharding, toxicity
-from .common import table
+from .common import short_batches, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return langid.identify_documents(table(spark, sf_dir, "documents"))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.planted(spark))
+    short_batches(spark)
     return chat.digest(chat.formatted(chat.from_table(rows)), "conv_id")
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     vectors = table(spark, sf_dir, "embeddings")
     found = ann.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -35,22 +43,27 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return caps.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
-from polynet.llm import ann, caps, chat, components, langid, minhash, mixing, packing, quality, queries, sharding, toxicity
+from polynet.llm import ann, caps, chat, langid, minhash, mixing, packing, quality, queries, sharding, toxicity
 from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -30,13 +30,6 @@ def odd_docs(spark):
     return docs_frame(spark, texts, ["s1", None, "s2"])
 
 
-def test_components_of_a_chain(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (7, 7)], "a long, b long")
-    got = {r.id: r.component for r in components.components(links).collect()}
-    assert got == {i: 0 for i in range(1, 41)} | {100: 90}
-    assert components.components(links.limit(0)).count() == 0
-
-
 def jaccard_classes(texts, percent=85):
     sets = []
     for t in texts:
@@ -99,7 +92,7 @@ def exact_cosines(df):
 
 def test_near_vectors_equal_all_pairs(spark, odd_vectors):
     ids, cosine = exact_cosines(odd_vectors)
-    got = {r.vec_id: r for r in caps.near_vectors(odd_vectors, filters=200).collect()}
+    got = {r.vec_id: r for r in caps.near_vectors(odd_vectors).collect()}
     linked = cosine >= 0.9
     np.fill_diagonal(linked, False)
     assert [got[i].n_links for i in ids] == linked.sum(axis=1).tolist()
@@ -132,12 +125,63 @@ def test_search_recall_and_ties(spark, odd_vectors):
     assert ann.search(odd_vectors.limit(0), odd_vectors.limit(0), 5).count() == 0
 
 
+def test_pairs_just_above_the_least_cosine_are_linked(spark):
+    """Pairs planted at 0.90 to 0.93, with the shipped default; at most one in a thousand may be missed."""
+    rng = np.random.default_rng(7)
+    x, z = rng.normal(size=(2, 1200, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = np.linspace(0.9005, 0.93, len(x))[:, None]
+    frame = vectors_frame(spark, list(enumerate(np.concatenate([x, c * x + np.sqrt(1 - c * c) * z]))))
+    ids, cosine = exact_cosines_of(frame, 64)
+    np.fill_diagonal(cosine, 0)
+    got = {r.vec_id: r.n_links for r in caps.near_vectors(frame).collect()}
+    want = (cosine >= 0.9).sum(axis=1)
+    lost = sum(want) - sum(got.values())
+    assert want.sum() >= 2400 and all(got[i] <= n for i, n in zip(ids, want)) and lost <= 4
+    exact = {r.vec_id: r.n_links for r in caps.near_vectors(frame, exact=True).collect()}
+    assert [exact[i] for i in ids] == want.tolist()
+
+
+def test_a_hot_group_of_near_vectors_counts_each_pair_once(spark):
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=64)
+    rows = list(enumerate(np.concatenate([middle + 0.1 * rng.normal(size=(700, 64)), rng.normal(size=(100, 64))])))
+    frame = vectors_frame(spark, rows)
+    ids, cosine = exact_cosines_of(frame, 64)
+    np.fill_diagonal(cosine, 0)
+    got = {r.vec_id: r.n_links for r in caps.near_vectors(frame).collect()}
+    assert [got[i] for i in ids] == (cosine >= 0.9).sum(axis=1).tolist() and max(got.values()) == 699
+
+
+def exact_cosines_of(df, dim):
+    rows = {r.vec_id: np.array(r.embedding, np.float64) for r in df.collect()}
+    ids = sorted(rows)
+    x = np.array([rows[i] for i in ids])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return ids, x @ x.T
+
+
 def test_pigeonhole_finds_all_within_radius():
     rng = np.random.default_rng(2)
-    codes = rng.integers(0, 256, (500, 4)).astype(np.uint8)
-    index = ann.ShardIndex(np.arange(500), np.zeros((500, 1)), codes, 11)
-    want = np.unpackbits(codes[:50, None] ^ codes[None], axis=2).sum(axis=2) <= 11
-    assert (index.candidates(codes[:50]) == want).all()
+    codes = rng.integers(0, 256, (500, 8)).astype(np.uint8)
+    index = ann.ShardIndex(codes)
+    want = np.unpackbits(codes[:50, None] ^ codes[None], axis=2).sum(axis=2) <= 22
+    got = np.zeros_like(want)
+    for q, c in index.candidates(codes[:50], 22):
+        got[q, c] = True
+    assert (got == want).all() and 0 < want.sum() < want.size
+    index.lists = [np.zeros_like(x) for x in index.lists]  # what no list holds is not found
+    assert not sum(len(q) for q, _ in index.candidates(codes[:50], 22))
+
+
+def test_search_widens_the_radius_for_lonely_queries(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=32) + 3) for i in range(200)] + [(1000 + i, -(rng.normal(size=32) + 3)) for i in range(2)]
+    frame = vectors_frame(spark, rows)
+    got = ann.search(frame, frame.where("vec_id >= 1000"), 5, radius=0.1).toPandas()
+    assert got.groupby("query_id").size().tolist() == [5, 5] and got.sort_values("rank").vec_id.iloc[0] in (1000, 1001)
 
 
 def test_mix_meets_targets(spark):
@@ -158,7 +202,28 @@ def test_mix_meets_targets(spark):
     pieces = mixing.mix(docs).toPandas()
     words = pieces.text.str.split().str.len()
     assert words.groupby(pieces.doc_id).sum().to_dict() == got[got.taken > 0].set_index("doc_id").taken.to_dict()
-    assert mixing.mix_documents(docs.limit(0)).count() == 0
+    assert mixing.mix_documents(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_mix_keeps_columns_and_repeated_rows(spark):
+    rows = [(i // 2, "a b c d e", "s", i, i, i, i, i) for i in range(40)] + [(None, None, None, 1, 1, 1, 1, 1), (None, "", None, 1, 1, 1, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, target int, draws int, shard int, n_chars int")
+    out = mixing.mix(docs, block=7)
+    assert out.columns == ["doc_id", "text", "source", "size", "target", "draws", "n_chars", "shard"]
+    got = out.collect()
+    assert sum(len(r.text.split()) for r in got) == 300 and all(r.n_chars == len(r.text) and r.size == r.target == r.draws for r in got)
+    assert mixing.mix_documents(docs).groupBy().sum("taken").first()[0] == 300 and mixing.mix_documents(docs).count() == 42
+
+
+def test_hypergeometric_draws_at_any_size():
+    rng = np.random.default_rng(0)
+    for good, bad, n in ((50, 70, 40), (3, 1000, 100), (5, 0, 3), (0, 9, 4), (7, 7, 14)):
+        drawn = np.array([mixing._hypergeometric(rng, good, bad, n) for _ in range(3000)])
+        mean = n * good / max(good + bad, 1)
+        assert drawn.min() >= max(0, n - bad) and drawn.max() <= min(n, good) and abs(drawn.mean() - mean) < 0.3
+    large = mixing._hypergeometric(rng, 3 * 10**12, 7 * 10**12, 5 * 10**12)
+    assert 0 < abs(large - 1_500_000_000_000) < 10 * 725_000
+    assert sum(map(sum, mixing.split_tree([4 * 10**12, 10**12], 4, 1))) == 5 * 10**12
 
 
 def test_splitting_tree_is_exact():
@@ -238,9 +303,28 @@ def test_chat_escape_layouts_and_digest(spark):
     assert formats[0].count("</s>") == formats[0].count("[INST]") == len(odd)
     records = [{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, {"instruction": "q", "input": "", "output": "a"}, {"prompt": "q", "completion": "a"}, {"other": 1}]
     texts = [json.dumps(r) for r in records] + [None, "no json"]
-    out = chat.canonical_turns(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, json string")).orderBy("i").collect()
+    out = chat.canonical_turns(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, json string"), unknown="null").orderBy("i").collect()
     assert [r.layout for r in out] == ["messages", "share", "instruction", "prompt", None, None, None]
     assert all([tuple(t) for t in r.turns] == [("user", "q"), ("assistant", "a")] for r in out[:4])
+    with pytest.raises(Exception, match="no chat layout fits"):
+        chat.canonical_turns(spark.createDataFrame([(1, '{"other": 1}')], "i int, json string")).collect()
+    assert chat.formatted(out_frame := chat.canonical_turns(spark.createDataFrame([(1, None)], "i int, json string"), unknown="null")).first().formatted is None
+    assert out_frame.first().turns is None
+
+
+def test_fingerprints_see_every_nested_path(spark):
+    turns = [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a", "meta": {"a": {"b": [1]}}}]
+    records = [{"prompt": "q", "completion": "a"}, {"a-b": 1, "prompt": "q", "completion": "a"}, {"messages": turns}, {"messages": turns[:1]}, {"messages": turns, "id": 1}, {"messages": []}, {"a.b": 1, "prompt": "q", "completion": "a"}, {"a": {"b": 1}, "prompt": "q", "completion": "a"}]
+    frame = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "i int, json string")
+    out = chat.canonical_turns(frame).orderBy("i").collect()
+    assert len({r.print for r in out}) == len(records)
+    assert [r.layout for r in out] == ["prompt", "prompt", "messages", "messages", "messages", "messages", "prompt", "prompt"]
+    assert [len(r.turns) for r in out] == [2, 2, 2, 1, 2, 0, 2, 2]
+    assert chat.field_paths({"messages": turns}) == {"messages[].role", "messages[].content", "messages[].meta.a.b[]"}
+    typed = spark.createDataFrame([("q", "a", 1), ("q", None, 2)], "prompt string, completion string, extra int")
+    assert [[tuple(t) for t in r.turns] for r in chat.from_table(typed).orderBy("extra").collect()] == [[("user", "q"), ("assistant", "a")], [("user", "q"), ("assistant", "")]]
+    with pytest.raises(ValueError):
+        chat.from_table(typed.select("extra"))
 
 
 def test_language_id(spark, odd_docs):
@@ -260,8 +344,14 @@ def test_classifiers_on_held_out_rows(spark, odd_docs, operator, label):
     held = got[got.held_out]
     assert (held.predicted == held[label]).mean() > 0.85 and got.score.between(0, 1).all()
     assert held.score[held[label] == 1].mean() > held.score[held[label] == 0].mean() + 0.3
-    odd = operator.score_documents(odd_docs, labels.limit(0))
-    assert odd.count() == 12
+    odd = operator.score_documents(odd_docs, labels.limit(0)).collect()
+    assert len(odd) == 12 and len({r.score for r in odd}) == 1
+    model = operator.learn(docs, labels)
+    rows = odd_docs.unionByName(odd_docs).withColumns({"score": odd_docs.n_chars, "predicted": odd_docs.n_chars})
+    seen = {}
+    for r in operator.score(rows, model).collect():
+        assert 0 <= r.score <= 1 and r.predicted in (0, 1) and seen.setdefault(r.text or "", r.score) == r.score
+    assert len(seen) == 10 and sorted(operator.score(rows, model).columns) == sorted(rows.columns)
     assert operator.score_documents(docs.limit(0), labels).count() == 0
 
 

@@ -31,3 +31,24 @@ def test_near_duplicates_stage_keeps_one_row_of_an_id(spark):
     rows += [(3, "", None, "a", None, None)] * 2 + [(None, "h i j", None, "a", None, None)] * 2
     got = corpus_pipeline.near_duplicates_stage(spark, spark.createDataFrame(rows, DOCS), SF).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "h i j"), (0, "h i j"), (1, "a b c d e f g"), (2, "other words stand in here"), (3, "")]
+
+
+def test_stages_take_odd_documents(spark):
+    """Null, empty and long texts, null ids and sources, repeated rows and further columns with clashing names; and none at all."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "words without an id stand here now", None, "a", None), (3, "long " * 50_000, "en", "b", 1), (4, "a b c d e f g", "en", "a", 1), (4, "a b c d e f g", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(7) for c in ("score", "predicted", "size", "target", "shard", "row", "kept", "component_id")})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert name == "packing" or out.columns == list(corpus_pipeline.COLUMNS)
+        ids = sorted(r.doc_id or 0 for r in out.select("doc_id").collect())
+        assert set(ids) <= {0, 1, 2, 3, 4}
+        if name == "near_duplicates":
+            assert ids == [0, 1, 2, 3, 4]
+        if name == "mixing":
+            assert set(ids) <= {0, 3, 4}
+        if name == "packing":
+            assert set(ids) == {0, 1, 2, 3, 4} and ids.count(4) == 2
+        assert stage(spark, docs.limit(0), SF).count() == 0
