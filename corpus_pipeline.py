@@ -1,7 +1,12 @@
 """A corpus pipeline: quality, toxicity, near-duplicates, mixture, packing.
 
 Each stage takes the documents that its predecessor kept and returns
-documents; the last one returns packed pieces.
+documents; the last one returns packed pieces. Columns beyond `COLUMNS` are
+left out, whatever their names. Null and empty texts go through every stage as
+empty texts: the classifiers score them by their intercepts, they are nobody's
+duplicate, the mixture takes nothing of them. Texts count whole at any length.
+Rows that repeat an id are scored each, and are one document from the
+near-duplicates stage on; ties go to smaller ids. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polynet.llm import minhash, mixing, packing, quality, toxicity
-from polynet.llm.common import keep, remainder, table
+from polynet.llm.common import keep, remainder, short_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near-duplicates share 80 of 100 shingles; 32 bands of 6 miss one pair in 17,000 at that similarity.
@@ -23,12 +28,14 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier takes for good."""
+    short_batches(spark)
     model = quality.learn(docs, _labels(spark, sf_dir))
     return quality.score(docs, model).where("predicted = 1").select(*COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the n-gram classifier takes for not toxic."""
+    short_batches(spark)
     model = toxicity.learn(docs, _labels(spark, sf_dir))
     return toxicity.score(docs, model).where("predicted = 0").select(*COLUMNS)
 
@@ -39,6 +46,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     An id is one document: of rows that repeat it the largest by text, then the
     other columns, stays. Rows with a null id are documents of their own.
     """
+    short_batches(spark)
     docs = docs.select(*COLUMNS)
     repeated = keep(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if not repeated.isEmpty():
@@ -51,11 +59,13 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents so that sources have their target weights; some come twice."""
+    short_batches(spark)
     return mixing.mix(docs).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of one window."""
+    short_batches(spark)
     return packing.pack(docs)
 
 
