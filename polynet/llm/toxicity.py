@@ -27,6 +27,8 @@ NONE = 1 << HASH_BITS
 #: Labelled texts of each class that the classifier is fitted on, and texts added to smooth the counts.
 TRAIN_ROWS, SMOOTHING = 2000, 200
 BATCH_POINTS = 300_000
+#: Features of training texts that are worked on at once.
+PRESENCES = 500_000
 THRESHOLD = 0.5
 
 
@@ -105,22 +107,25 @@ def log_count_ratios(toxic: np.ndarray, other: np.ndarray, texts: tuple[int, int
     return np.log(toxic / texts[1] + added) - np.log(other / texts[0] + added)
 
 
-def _fit(owner: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, rounds: int = 60) -> tuple[np.ndarray, float]:
+def _fit(begins: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Logistic regression on presence features scaled by `value`, by Adam on all rows; weights start at 0.
 
-    `owner`, `column`: text and feature of each presence, by text. Each text and each feature has one.
+    `column` holds the features of all texts, text by text from `begins` on (and to the last of them).
     """
     scale = value / max(np.abs(value).max(), 1e-12)
-    texts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    order = np.argsort(column, kind="stable")
-    by_column, columns = owner[order], np.searchsorted(column[order], np.arange(len(value)))
+    sizes = np.diff(begins)
+    some = blocks(sizes, PRESENCES)
     w, b, total = np.zeros(len(value)), float(np.log(weight[y == 1].sum() / weight[y == 0].sum())), weight.sum()
     m, v = np.zeros(len(value) + 1), np.zeros(len(value) + 1)
     for t in range(1, rounds + 1):
-        product = np.full(len(y), b)
-        product[owner[texts]] += np.add.reduceat((w * scale).astype(np.float32)[column], texts)
-        error = (sigmoid(product) - y) * weight / total
-        grad = np.append(scale * np.add.reduceat(error[by_column], columns) + penalty * w, error.sum())
+        grad, table, slope = np.zeros(len(value)), (w * scale).astype(np.float32), 0.0
+        for i, j in some:
+            own = column[begins[i] : begins[j]]
+            owner = np.repeat(np.arange(j - i), sizes[i:j])
+            error = (sigmoid(np.bincount(owner, table[own], j - i) + b) - y[i:j]) * weight[i:j] / total
+            grad += np.bincount(own, error[owner], len(value))
+            slope += error.sum()
+        grad = np.append(scale * grad + penalty * w, slope)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -130,27 +135,34 @@ def _fit(owner: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, seed: int = 0) -> Linear:
     """Fit on a bounded sample of about `rows` texts of each class, weighted back to the classes' shares.
 
-    The sample's features pass through the driver: about 4 KB for a text of
-    2,000 letters, 16 MB in all. Without texts of both classes the score is the
+    The sample's features pass through the driver, as many 4-byte numbers as its
+    texts have different n-grams (53 MB on the check tables). Without texts of both classes the score is the
     share of label 1 alone.
     """
-    seen = _present(labelled_texts(docs, labels, label, rows, seed)).toPandas().sort_values("id", kind="stable")
+    seen = _present(labelled_texts(docs, labels, label, rows, seed)).toArrow()
+    texts = [(i.as_py(), y.as_py(), x.values.to_numpy()) for part in seen.to_batches() for i, y, x in zip(*part.columns, strict=True)]
+    texts.sort(key=lambda t: t[0])
     known = {r["label"]: r["count"] for r in labels.groupBy(F.col(label).cast("int").alias("label")).count().collect() if r["label"] in (0, 1)}
-    y = seen.label.to_numpy(float)
+    y = np.array([t[1] for t in texts], float)
     totals = int((y == 0).sum()), int((y == 1).sum())
     weights = np.zeros(NONE + 1)
-    owner = np.repeat(np.arange(len(seen), dtype=np.int32), [len(x) for x in seen.present])
-    if not all(totals) or not len(owner):
+    begins = np.cumsum([0, *(len(t[2]) for t in texts)], dtype=np.int64)
+    if not all(totals) or not begins[-1]:
         share = known.get(1, 0) / max(sum(known.values()), 1)
         return Linear(weights, float(np.log((share + 0.01) / (1.01 - share))))
-    feature = np.concatenate(seen.present.tolist())
-    toxic, other = (np.bincount(feature[(y == c)[owner]], minlength=NONE) for c in (1, 0))
-    known_features = np.flatnonzero(toxic + other)
+    column = np.concatenate([t[2] for t in texts])
+    del seen, texts
+    toxic, other = np.zeros(NONE, np.int64), np.zeros(NONE, np.int64)
+    for i, j in blocks(np.diff(begins), PRESENCES):
+        is_toxic = np.repeat(y[i:j] == 1, np.diff(begins[i : j + 1]))
+        toxic += np.bincount(column[begins[i] : begins[j]][is_toxic], minlength=NONE)
+        other += np.bincount(column[begins[i] : begins[j]][~is_toxic], minlength=NONE)
+    held = np.flatnonzero(toxic + other)
     rank = np.zeros(NONE, np.int32)
-    rank[known_features] = np.arange(len(known_features))
-    value = log_count_ratios(toxic[known_features], other[known_features], totals)
+    rank[held] = np.arange(len(held))
+    value = log_count_ratios(toxic[held], other[held], totals)
     weight = np.where(y == 1, known[1] / totals[1], known[0] / totals[0])
-    weights[known_features], intercept = _fit(owner, rank[feature], value, y, weight)
+    weights[held], intercept = _fit(begins, rank[column], value, y, weight)
     return Linear(weights, intercept)
 
 
