@@ -48,11 +48,12 @@ def _features(net: Network, *families: str) -> DataFrame:
 #: The mesh, its cells' edges and measures, its neighbouring pairs and labels.
 _MESH = """
 WITH RECURSIVE sizes AS (SELECT (SELECT count(*) FROM customer) AS nc, (SELECT count(*) FROM part) AS np),
-grid AS (SELECT n_nationkey::BIGINT AS s, v::BIGINT AS v FROM nation, (SELECT unnest(range(117)) AS v)),
+snapshots AS (SELECT DISTINCT (c_custkey // 60)::BIGINT AS s FROM customer),
+grid AS (SELECT s, v::BIGINT AS v FROM snapshots, (SELECT unnest(range(117)) AS v)),
 vertices AS (
   SELECT s, v, 10 * (v % 13) + 4 * (c_acctbal::DOUBLE - floor(c_acctbal::DOUBLE)) - 2 AS x, 10 * (v // 13) + 4 * (p_retailprice::DOUBLE - floor(p_retailprice::DOUBLE)) - 2 AS y
   FROM grid CROSS JOIN sizes JOIN customer ON c_custkey = (131 * s + v) % nc JOIN part ON p_partkey = (97 * s + 7 * v) % np),
-polygons AS (SELECT n_nationkey::BIGINT AS s, p::BIGINT AS p, p // 5 AS r, (p // 5) % 2 + 2 * (p % 5) AS c FROM nation, (SELECT unnest(range(40)) AS p)),
+polygons AS (SELECT s, p::BIGINT AS p, p // 5 AS r, (p // 5) % 2 + 2 * (p % 5) AS c FROM snapshots, (SELECT unnest(range(40)) AS p)),
 ring AS (
   SELECT s, p, i, 13 * (r + CASE WHEN i > 2 THEN 1 ELSE 0 END) + c + CASE i WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 1 ELSE 0 END AS v
   FROM polygons, (SELECT unnest(range(6)) AS i)),
@@ -193,7 +194,7 @@ def estimate_unconstrained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(""", ranked AS (SELECT s, a, b, row_number() OVER (PARTITION BY s ORDER BY mean DESC, a, b) AS k FROM junction WHERE mean >= 145),
 taken AS (
-  SELECT n_nationkey::BIGINT AS s, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS a, NULL::BIGINT AS b FROM nation
+  SELECT s, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS a, NULL::BIGINT AS b FROM snapshots
   UNION ALL
   SELECT t.s, t.k + 1, CASE WHEN list_contains(used, r.a) OR list_contains(used, r.b) THEN used ELSE used || [r.a, r.b] END,
     CASE WHEN list_contains(used, r.a) OR list_contains(used, r.b) THEN NULL ELSE r.a END, r.b

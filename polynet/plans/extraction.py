@@ -35,7 +35,7 @@ jc AS (SELECT s, u AS id, min(v) AS c FROM jr GROUP BY s, u),
 jm AS (SELECT s, c, round_even(avg(x), 0)::INT AS vx, round_even(avg(y), 0)::INT AS vy FROM jc JOIN jn USING (s, id) GROUP BY s, c),
 jv AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY vy, vx, c) - 1 AS vertex_id FROM jm),
 cl AS MATERIALIZED (SELECT s, x, y, vertex_id, vx, vy FROM jc JOIN jn USING (s, id) JOIN jv USING (s, c))"""
-_POINTS = """SELECT c_nationkey::BIGINT AS s, c_custkey AS point_id, c_acctbal::DOUBLE - 120 * floor(c_acctbal::DOUBLE / 120) AS x, 7 * c_acctbal::DOUBLE - 80 * floor(7 * c_acctbal::DOUBLE / 80) AS y FROM customer"""
+_POINTS = """SELECT (c_custkey // 60)::BIGINT AS s, c_custkey AS point_id, c_acctbal::DOUBLE - 120 * floor(c_acctbal::DOUBLE / 120) AS x, 7 * c_acctbal::DOUBLE - 80 * floor(7 * c_acctbal::DOUBLE / 80) AS y FROM customer"""
 
 
 def _pruned(rounds: int) -> str:
@@ -48,7 +48,7 @@ def _pruned(rounds: int) -> str:
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.col("c_acctbal").cast("double")
     wrapped = lambda v, n: v - n * F.floor(v / n)
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").cast("long").alias("snapshot_id"), F.col("c_custkey").alias("point_id"), wrapped(b, 120).alias("x"), wrapped(7 * b, 80).alias("y"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.expr("c_custkey div 60").cast("long").alias("snapshot_id"), F.col("c_custkey").alias("point_id"), wrapped(b, 120).alias("x"), wrapped(7 * b, 80).alias("y"))
 
 
 @query(_PIXELS + " SELECT s AS snapshot_id, x, y, n AS neighbours FROM jn")

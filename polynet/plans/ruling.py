@@ -35,7 +35,7 @@ def rule_list_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(""", ranked AS (SELECT s, a, b, row_number() OVER (PARTITION BY s ORDER BY mean DESC, a, b) AS k FROM junction WHERE mean >= 145),
 taken AS (
-  SELECT n_nationkey::BIGINT AS s, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS a, NULL::BIGINT AS b FROM nation
+  SELECT s, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS a, NULL::BIGINT AS b FROM snapshots
   UNION ALL
   SELECT t.s, t.k + 1, CASE WHEN list_contains(used, r.a) OR list_contains(used, r.b) THEN used ELSE used || [r.a, r.b] END,
     CASE WHEN list_contains(used, r.a) OR list_contains(used, r.b) THEN NULL ELSE r.a END, r.b
@@ -96,7 +96,7 @@ _SWEPT = (130.0, 140.0, 150.0, 160.0)
 @query(f""", th AS (SELECT unnest({list(_SWEPT)})::DOUBLE AS th),
 ranked AS (SELECT th, s, a, b, row_number() OVER (PARTITION BY th, s ORDER BY mean DESC, a, b) AS k FROM junction CROSS JOIN th WHERE mean >= th),
 taken AS (
-  SELECT th, n_nationkey::BIGINT AS s, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS a, NULL::BIGINT AS b FROM nation CROSS JOIN th
+  SELECT th, s, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS a, NULL::BIGINT AS b FROM snapshots CROSS JOIN th
   UNION ALL
   SELECT t.th, t.s, t.k + 1, CASE WHEN list_contains(used, r.a) OR list_contains(used, r.b) THEN used ELSE used || [r.a, r.b] END,
     CASE WHEN list_contains(used, r.a) OR list_contains(used, r.b) THEN NULL ELSE r.a END, r.b

@@ -1,4 +1,4 @@
-"""Polygon networks derived from the star-schema tables: a brick wall of six-sided cells for each nation."""
+"""Polygon networks derived from the star-schema tables: a brick wall of six-sided cells for each block of customers."""
 
 from __future__ import annotations
 
@@ -24,17 +24,18 @@ def _fraction(c: str) -> F.Column:
 
 
 def mesh(spark: SparkSession, sf_dir: str) -> Network:
-    """9 by 13 grid points a snapshot, moved by customers' balances and parts' prices; 40 cells a snapshot."""
-    nations, customers, parts = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "customer", "part"))
+    """A snapshot for each 60 customers: 9 by 13 grid points, moved by customers' balances and parts' prices; 40 cells."""
+    customers, parts = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "part"))
+    snapshots = customers.select(F.expr("c_custkey div 60").cast("long").alias("snapshot_id")).distinct()
     sizes = customers.agg(F.count("*").alias("n_c")).crossJoin(parts.agg(F.count("*").alias("n_p")))  # one row
-    grid = nations.select(F.col("n_nationkey").cast("long").alias("snapshot_id"), F.explode(F.sequence(F.lit(0), F.lit(116))).alias("vertex_id")).crossJoin(F.broadcast(sizes))
+    grid = snapshots.select("snapshot_id", F.explode(F.sequence(F.lit(0), F.lit(116))).alias("vertex_id")).crossJoin(F.broadcast(sizes))
     grid = grid.withColumn("c_custkey", (131 * F.col("snapshot_id") + F.col("vertex_id")) % F.col("n_c"))
     grid = grid.withColumn("p_partkey", (97 * F.col("snapshot_id") + 7 * F.col("vertex_id")) % F.col("n_p"))
     g, h = F.floor(F.col("vertex_id") / 13), F.col("vertex_id") % 13
     moved = grid.join(customers.select("c_custkey", "c_acctbal"), "c_custkey").join(parts.select("p_partkey", "p_retailprice"), "p_partkey")
     vertices = moved.select("snapshot_id", "vertex_id", (10 * h + 4 * _fraction("c_acctbal") - 2).alias("x"), (10 * g + 4 * _fraction("p_retailprice") - 2).alias("y"))
 
-    polygons = _bricks(nations.select(F.col("n_nationkey").cast("long").alias("snapshot_id")))
+    polygons = _bricks(snapshots)
     return Network(vertices, _sides(polygons), polygons, labels(polygons))
 
 
