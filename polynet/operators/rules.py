@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import evaluate
-from .features import FAMILIES
+from .feature_names import LABELS
 from .matching import GLOBAL, GREEDY, UNCONSTRAINED, match, passes
 
 PAIR = ["snapshot_id", "first_id", "second_id"]
@@ -33,25 +33,24 @@ class Rule:
 
 
 def label_of(feature: str) -> str:
-    """A feature's name in words: `areaDiff` is "Area Difference", angles end in "(deg)"."""
-    words = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", feature).replace("Diff", "Difference").replace("Differenceerence", "Difference")
-    words = words[:1].upper() + words[1:]
-    return words.replace(" Degrees", " (deg)")
+    """A feature's published label; a column of the caller's own is its own label."""
+    return LABELS.get(feature, feature)
 
 
 def feature_names() -> list[str]:
-    return [name for family in FAMILIES.values() for name in family()]
+    return list(LABELS)
 
 
 def resolve(name: str | None, known: list[str] | None = None) -> str | None:
     """The feature that a name means, whatever its case, spaces and marks; with "degrees" or "deg" left out too. None if unknown."""
     plain = lambda s: re.sub(r"[^a-z0-9]+", "", (s or "").strip().lower())
+    bare = lambda s: re.sub("deg(rees?)?$", "", s)
     wanted = plain(name)
     if wanted in ALIASES:
         return ALIASES[wanted]
     for feature in known or feature_names():
         label = plain(label_of(feature))
-        if wanted and wanted in (plain(feature), label, re.sub("deg(rees?)?", "", label)):
+        if wanted and (wanted in (plain(feature), label) or bare(wanted) == bare(label)):
             return feature
     return None
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.rules import feature_names, label_of
+from ..operators.feature_names import PUBLISHED
 from .mesh import Network
 
 PAIR = ["snapshot_id", "first_id", "second_id"]
@@ -82,8 +82,8 @@ def metrics_table(metrics: DataFrame) -> DataFrame:
 
 
 def feature_catalogue(spark: SparkSession) -> DataFrame:
-    """`key`, `label` of every feature."""
-    return spark.createDataFrame([(n, label_of(n)) for n in feature_names()], "key string, label string")
+    """`key`, `label`, `description` of every published feature."""
+    return spark.createDataFrame(list(PUBLISHED), "key string, label string, description string")
 
 
 def write_csv(table: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:

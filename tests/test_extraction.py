@@ -198,7 +198,7 @@ def test_sinks_round_trip(spark, small, tmp_path):
     for name in ("vertices", "lines", "polygons"):
         columns = sorted(getattr(again, name).columns)
         assert collections.Counter(map(str, getattr(again, name).select(columns).collect())) == collections.Counter(map(str, getattr(small, name).select(columns).collect()))
-    assert sinks.feature_catalogue(spark).count() == 49
+    assert sinks.feature_catalogue(spark).columns == ["key", "label", "description"]
     with pytest.raises(ValueError):
         sinks.write_csv(small.vertices, str(tmp_path / "bad"))
         sinks.read_estimations(spark, str(tmp_path / "bad"))
