@@ -30,18 +30,36 @@ def category(est: Column, real: Column) -> Column:
     return F.when(est & real, "TP").when(est, "FP").when(real, "FN").otherwise("TN")
 
 
-def counts(flags: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs inferred, labelled and neighbouring, and the confusion counts, by `keys`."""
+def counts(flags: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """Pairs inferred, labelled and neighbouring, and the confusion counts, by `keys`; `more` aggregates beside them."""
     n = lambda c: F.sum(c.cast("long"))
     est, real, near = F.col("est"), F.col("real"), F.col("near")
     out = flags.groupBy(*keys).agg(
         n(est).alias("estimated_pairs"), n(real).alias("real_pairs"), n(near).alias("neighbor_pairs"),
-        n(est & real).alias("true_positive"), n(est & ~real).alias("false_positive"), n(~est & real).alias("false_negative"),
+        n(est & real).alias("true_positive"), n(est & ~real).alias("false_positive"), n(~est & real).alias("false_negative"), *more,
     )
     rest = F.col("neighbor_pairs") - F.col("true_positive") - F.col("false_positive") - F.col("false_negative")
     return out.withColumn("true_negative", F.greatest(F.lit(0), rest).cast("long"))
 
 
+def restricted_counts(flags: DataFrame, keys: list[str]) -> DataFrame:
+    """`counts` over neighbouring pairs alone, and how many inferred and labelled pairs were dropped as they are no neighbours."""
+    lost = [F.sum((~F.col("near") & F.col(f"_{c}")).cast("long")).alias(name) for c, name in (("est", "dropped_estimated"), ("real", "dropped_real"))]
+    kept = flags.withColumns({"_est": F.col("est"), "_real": F.col("real")}).withColumns({c: F.col(c) & F.col("near") for c in ("est", "real")})
+    return counts(kept, keys, *lost)
+
+
+def skipped(snapshots: DataFrame, polygons: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """`snapshot_id`, `code` of snapshots that are left out: no polygons, fewer than two, or (with `labels`) no labels; the first that holds."""
+    n = polygons.groupBy("snapshot_id").agg(F.count("*").alias("n"))
+    rows = snapshots.select("snapshot_id").distinct().join(n, "snapshot_id", "left")
+    code = F.when(F.col("n").isNull(), "no_polygons").when(F.col("n") < 2, "fewer_than_two_polygons")
+    if labels is not None:
+        rows = rows.join(labels.select("snapshot_id").distinct().withColumn("labelled", F.lit(True)), "snapshot_id", "left")
+        code = code.when(F.col("labelled").isNull(), "no_labels")
+    return rows.select("snapshot_id", code.alias("code")).where("code is not null")
+
+
 def with_ratios(table: DataFrame) -> DataFrame:
     """Precision, recall, F1, specificity and accuracy; -1 where undefined."""
     tp, fp, fn, tn = (F.col(c) for c in ("true_positive", "false_positive", "false_negative", "true_negative"))
@@ -77,3 +95,13 @@ def compare(first: DataFrame, second: DataFrame) -> DataFrame:
     other = second.select(*key, F.col("estimated").alias("_estimated"), F.col("value").alias("_value"))
     joined = first.join(other, key).where(F.col("estimated") != F.col("_estimated"))
     return joined.select(*key, (F.col("estimated") - F.col("_estimated")).alias("estimated_division_difference"), (F.col("value") - F.col("_value")).alias("feature_difference"))
+
+
+def compare_all(first: DataFrame, second: DataFrame) -> DataFrame:
+    """As `compare`, for results whose features are columns: a `<feature>_difference` for each feature that both have."""
+    key = [*PAIR, "observed"]
+    common = [c for c in first.columns if c in second.columns and c not in (*key, "estimated")]
+    other = second.select(*key, *[F.col(c).alias(f"_{c}") for c in ("estimated", *common)])
+    joined = first.select(*key, "estimated", *common).join(other, key).where(F.col("estimated") != F.col("_estimated"))
+    less = lambda c: F.col(c) - F.col(f"_{c}")
+    return joined.select(*key, less("estimated").alias("estimated_division_difference"), *[less(c).alias(f"{c}_difference") for c in common])

@@ -88,6 +88,46 @@ def ordered(rings: DataFrame) -> DataFrame:
     return rings.withColumn("_top", top).withColumn("polygon_id", F.row_number().over(window) - 1).drop("_top")
 
 
+def ordered_by_points(rings: DataFrame) -> DataFrame:
+    """Add `polygon_id` from 0 in each snapshot: by all points of the ring from the topmost on, a ring that another begins with first, then its ids."""
+    points = F.array_sort(F.transform("ring", lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x"))))
+    window = Window.partitionBy("snapshot_id").orderBy("_points", "vertex_ids")
+    return rings.withColumn("_points", points).withColumn("polygon_id", F.row_number().over(window) - 1).drop("_points")
+
+
+def id_list(text: Column) -> Column:
+    """Three or more different whole numbers parted by commas, semicolons or white space; null for any other text."""
+    parts = F.filter(F.split(text, r"[,;\s]+"), lambda p: p != "")
+    ids = F.transform(parts, lambda p: p.try_cast("int"))
+    good = (F.size(ids) >= 3) & ~F.exists(ids, lambda i: i.isNull()) & (F.size(F.array_distinct(ids)) == F.size(ids))
+    return F.when(good, ids)
+
+
+def polygons_of_vertices(polygons: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`wanted` (`snapshot_id`, `vertex_ids`) with the `polygon_id` of each polygon of just those vertices, in whatever order."""
+    key = lambda df: df.withColumn("_set", F.array_sort(F.array_distinct("vertex_ids")))
+    return key(wanted).join(key(polygons).select("snapshot_id", "polygon_id", "_set"), ["snapshot_id", "_set"]).drop("_set")
+
+
+def lines_between(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`wanted` (`snapshot_id`, `v1`, `v2`) with the `line_id` of each line between those vertices, in either direction."""
+    key = lambda df: df.withColumns({"_lo": F.least("v1", "v2"), "_hi": F.greatest("v1", "v2")})
+    return key(wanted).join(key(lines).select("snapshot_id", "line_id", "_lo", "_hi"), ["snapshot_id", "_lo", "_hi"]).drop("_lo", "_hi")
+
+
+def snapped(value: Column) -> Column:
+    """A coordinate to three decimals, halves away from zero."""
+    return F.signum(value) * F.floor(F.abs(value) * 1000 + 0.5) / 1000 + 0.0
+
+
+def snapped_vertices(points: DataFrame) -> DataFrame:
+    """Points with the `vertex_id` they share if they agree to three decimals: from 0 in each snapshot, by place; `x`, `y` snapped."""
+    at = points.withColumns({c: snapped(F.col(c)) for c in ("x", "y")})
+    places = at.select("snapshot_id", "x", "y").distinct()
+    number = F.row_number().over(Window.partitionBy("snapshot_id").orderBy("y", "x")) - 1
+    return at.drop("vertex_id").join(places.withColumn("vertex_id", number), ["snapshot_id", "x", "y"])
+
+
 def polygons_from_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """One polygon for each `snapshot_id` whose edges `v1`, `v2` form one simple cycle, counter-clockwise; others give none."""
     edges = edges.where("v1 <> v2").select("snapshot_id", F.least("v1", "v2").alias("v1"), F.greatest("v1", "v2").alias("v2")).distinct()

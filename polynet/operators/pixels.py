@@ -40,9 +40,10 @@ def binarised(pixels: DataFrame, threshold: float | None = None, invert: bool =
     return cut.where(~above if invert else above).select(*KEY)
 
 
-def _around(pixels: DataFrame) -> DataFrame:
-    """A row (`x`, `y`, `px`, `py`) for each pixel's eight neighbouring places."""
-    places = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in _NEAR])
+def _around(pixels: DataFrame, reach: int = 1) -> DataFrame:
+    """A row (`x`, `y`, `px`, `py`) for each of a pixel's neighbouring places: the eight around it, or all within `reach` along each axis."""
+    steps = _NEAR if reach == 1 else [(dx, dy) for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1) if dx or dy]
+    places = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in steps])
     return pixels.select("snapshot_id", F.col("x").alias("px"), F.col("y").alias("py"), F.explode(places).alias("p")).select("snapshot_id", "p.x", "p.y", "px", "py")
 
 
@@ -87,18 +88,18 @@ def without_spurs(pixels: DataFrame) -> DataFrame:
     return left
 
 
-def traced_lines(pixels: DataFrame, members: DataFrame) -> DataFrame:
+def traced_lines(pixels: DataFrame, members: DataFrame, tolerance: int = 1) -> DataFrame:
     """`snapshot_id`, `v1`, `v2`: vertices that a path of skeleton pixels connects. `members`: result of `clusters`.
 
     A path is an 8-connected run of pixels that are in no cluster, and it ends
-    at the clusters that it touches; one that touches more than two gives all
+    at the clusters that it touches, whose pixels are within `tolerance` of its own; one that touches more than two gives all
     their pairs.
     """
     free = keep(pixels.select(*KEY).distinct().join(members.select(*KEY), KEY, "left_anti"), "paths")
     here = free.select("snapshot_id", "x", "y", F.struct("y", "x").alias("v"))
     links = _around(free).join(here, KEY).select("snapshot_id", F.struct(F.col("py").alias("y"), F.col("px").alias("x")).alias("u"), "v")
     paths = components(free.select("snapshot_id", F.struct("y", "x").alias("id")), links).select("snapshot_id", "id.x", "id.y", F.col("component").alias("path"))
-    ends = _around(members.select(*KEY, "vertex_id")).join(members.select("snapshot_id", F.col("x").alias("px"), F.col("y").alias("py"), "vertex_id"), ["snapshot_id", "px", "py"])
+    ends = _around(members.select(*KEY, "vertex_id"), tolerance).join(members.select("snapshot_id", F.col("x").alias("px"), F.col("y").alias("py"), "vertex_id"), ["snapshot_id", "px", "py"])
     touched = keep(ends.join(paths, KEY).select("snapshot_id", "path", "vertex_id").distinct(), "ends")
     pairs = touched.withColumnRenamed("vertex_id", "v1").join(touched.withColumnRenamed("vertex_id", "v2"), ["snapshot_id", "path"])
     return pairs.where("v1 < v2").select("snapshot_id", "v1", "v2").distinct()

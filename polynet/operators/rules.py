@@ -57,8 +57,13 @@ def resolve(name: str | None, known: list[str] | None = None) -> str | None:
 
 def rules_of(table: DataFrame, mode: str = UNCONSTRAINED) -> tuple[list[Rule], list[str]]:
     """Rules of a rule table (a few rows that a person wrote), and what is wrong with the others."""
+    return rules_of_lines(table.collect(), mode)
+
+
+def rules_of_lines(lines: list, mode: str = UNCONSTRAINED) -> tuple[list[Rule], list[str]]:
+    """`rules_of` lines that are read already."""
     rules, errors = [], []
-    for r in table.collect():
+    for r in lines:
         feature = resolve(r["feature"])
         if feature is None:
             errors.append(f"unknown feature {r['feature']}")
@@ -69,6 +74,30 @@ def rules_of(table: DataFrame, mode: str = UNCONSTRAINED) -> tuple[list[Rule], l
     return rules, errors
 
 
+def rule_report(metrics: DataFrame, table: DataFrame, skipped: DataFrame | None = None, mode: str = UNCONSTRAINED) -> DataFrame:
+    """One row for each line of a rule table: `rule_metrics` of the good ones (in their order), `errors` of the others, with counts of 0 and ratios of -1.
+
+    `warnings` counts the snapshots left out, by reason (`evaluate.skipped`), so it does not grow with their number.
+    """
+    lines = table.collect()  # a few that a person wrote
+    rows, good = [], 0
+    for i, r in enumerate(lines):
+        rules, errors = rules_of_lines([r], mode)
+        rows.append((i, r["feature"], label_of(rules[0].feature) if rules else r["feature"], good if rules else None, r["threshold"], " | ".join(errors)))
+        good += len(rules)
+    spark = table.sparkSession
+    report = spark.createDataFrame(rows, "line int, feature string, label string, rule_id int, threshold double, errors string").join(metrics.drop("threshold"), "rule_id", "left").drop("rule_id")
+    ratios = ("precision", "recall", "f1", "specificity", "accuracy")
+    report = report.fillna(-1.0, list(ratios)).fillna(0, [c for c, t in metrics.dtypes if t == "bigint"])
+    if skipped is None:
+        return report.withColumn("warnings", F.lit(""))
+    reasons = skipped.groupBy("code").agg(F.count("*").alias("n"))
+    said = F.concat(F.col("n").cast("string"), F.lit(" snapshots left out: "), F.col("code"))
+    warnings = reasons.agg(F.array_join(F.array_sort(F.collect_list(said)), " | ").alias("warnings"))
+    # one row on either side of this join
+    return report.withColumn("_one", F.lit(1)).join(F.broadcast(warnings.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def without(pairs: DataFrame, exceptions: DataFrame) -> DataFrame:
     """Pairs that are no exception, whichever way round the exception names its cells."""
     gone = exceptions.select("snapshot_id", F.least("first_id", "second_id").alias("first_id"), F.greatest("first_id", "second_id").alias("second_id"))
@@ -78,12 +107,12 @@ def without(pairs: DataFrame, exceptions: DataFrame) -> DataFrame:
 def estimates(features: DataFrame, rules: list[Rule], exceptions: DataFrame | None = None) -> DataFrame:
     """`rule_id`, pair, `value`, `score` of the pairs that each rule infers.
 
-    Features are read once for all rules. Exceptions leave the result after
+    Features are read once for all rules; one that is no column is undefined. Exceptions leave the result after
     matching, so an excepted pair can keep another from being matched.
     """
 
     def tried(i: int, r: Rule) -> Column:
-        value = F.col(r.feature).cast("double")
+        value = F.col(r.feature).cast("double") if r.feature in features.columns else F.lit(float("nan"))
         score = value - r.threshold if r.above else r.threshold - value
         mode = r.mode if r.mode in (UNCONSTRAINED, GREEDY) else GLOBAL
         return F.struct(F.lit(i).alias("rule_id"), F.lit(mode).alias("mode"), value.alias("value"), score.alias("score"), passes(value, F.lit(r.threshold), r.above).alias("ok"))
@@ -163,6 +192,6 @@ def feature_histogram(features: DataFrame, labels: DataFrame, feature: str, widt
 
 
 def temporal_summary(features: DataFrame, labels: DataFrame, feature: str) -> DataFrame:
-    """A feature of the labelled pairs by the time of their division: `division_time`, `n`, `mean`, `least`, `most`."""
-    rows = features.join(labels.dropDuplicates(PAIR), PAIR)
+    """A feature of the labelled pairs by the time of their division (a repeated label's least one): `division_time`, `n`, `mean`, `least`, `most`."""
+    rows = features.join(labels.groupBy(*PAIR).agg(F.min("division_time").alias("division_time")), PAIR)
     return rows.groupBy("division_time").agg(F.count(feature).alias("n"), F.avg(feature).alias("mean"), F.min(feature).alias("least"), F.max(feature).alias("most"))

@@ -47,16 +47,23 @@ class AllData:
 
 
 def _pairs(docs: DataFrame, section: str, *more: Column) -> DataFrame:
-    each = docs.select("snapshot_id", F.explode(section).alias("p"))
+    each = docs.select("snapshot_id", F.posexplode(section).alias("at", "p"))
     first, second = F.col("p.firstPolygonId"), F.col("p.secondPolygonId")
-    return each.select("snapshot_id", F.least(first, second).alias("first_id"), F.greatest(first, second).alias("second_id"), *more).where(first.isNotNull() & second.isNotNull() & (first != second))
+    return each.select("snapshot_id", F.least(first, second).alias("first_id"), F.greatest(first, second).alias("second_id"), *more, "at").where(first.isNotNull() & second.isNotNull() & (first != second))
+
+
+def _first(pairs: DataFrame) -> DataFrame:
+    """Of rows of one pair that with the first place in its document."""
+    rest = [c for c in pairs.columns if c not in (*PAIR, "at")]
+    kept = pairs.groupBy(*PAIR).agg(F.min_by(F.struct("at", *rest), "at").alias("r"))
+    return kept.select(*PAIR, *[F.col("r")[c].alias(c) for c in rest])
 
 
 def all_data_of(docs: DataFrame) -> AllData:
     """Tables of documents read with `all_data_schema()`, one row each with its `snapshot_id`.
 
     A section that a document lacks gives no rows. Pairs of a polygon with
-    itself are left out; of repeated pairs one stays. A missing time is -1, an
+    itself are left out; of repeated pairs the first stays. A missing time is -1, an
     unknown matching mode means the global one, a missing side means above.
     """
     network, issues = networks_of(docs)
@@ -68,8 +75,8 @@ def all_data_of(docs: DataFrame) -> AllData:
         mode = F.when(rule["matchingMode"] == written, F.lit(name)).otherwise(mode)
     rules = docs.where(rule["featureKey"].isNotNull()).select("snapshot_id", rule["featureKey"].alias("feature"), rule["threshold"].alias("threshold"), F.coalesce(rule["requireAbove"], F.lit(True)).alias("require_above"), mode.alias("mode"))
     metrics = docs.where("performanceMetrics is not null").select("snapshot_id", *[F.col(f"performanceMetrics.{n}").alias(c) for c, n in METRICS.items()])
-    network = Network(network.vertices, network.lines, network.polygons, labels.dropDuplicates(PAIR), network.pairs)
-    return AllData(network, issues, geometry.dropDuplicates(PAIR), rules, _pairs(docs, "estimatedDivisions").distinct(), metrics)
+    network = Network(network.vertices, network.lines, network.polygons, _first(labels), network.pairs)
+    return AllData(network, issues, _first(geometry), rules, _first(_pairs(docs, "estimatedDivisions")), metrics)
 
 
 def read_all_data(spark: SparkSession, path: str) -> AllData:

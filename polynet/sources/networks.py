@@ -23,36 +23,56 @@ def snapshot_name() -> Column:
     return F.url_decode(_base_name(F.input_file_name()))
 
 
-def read_networks(spark: SparkSession, path: str) -> tuple[Network, DataFrame]:
+def read_networks(spark: SparkSession, path: str, tidy: bool = False) -> tuple[Network, DataFrame]:
     """All network files of a folder, one snapshot a file, and `issues`: what was left out and why.
 
     Lines with a missing end, and polygons with fewer than three or with
     missing vertices, are left out. The file name without its extension is the snapshot.
-    Stored pairs of polygons that stay are `pairs`; networks hold no labels.
+    A file without vertices is an error and gives nothing else; of a vertex id
+    that repeats the last counts. Stored pairs of polygons that stay are
+    `pairs`; networks hold no labels. `tidy` also leaves out lines of no
+    length, all but the first of lines between the same vertices, and rounds coordinates.
     """
     docs = spark.read.schema(NETWORK).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-    return networks_of(docs.withColumn("snapshot_id", snapshot_name()))
+    return networks_of(docs.withColumn("snapshot_id", snapshot_name()), tidy)
 
 
-def networks_of(docs: DataFrame) -> tuple[Network, DataFrame]:
+def networks_of(docs: DataFrame, tidy: bool = False) -> tuple[Network, DataFrame]:
     """`read_networks` of documents that are read already, with their `snapshot_id`."""
-    vertices = docs.select("snapshot_id", F.explode("vertices").alias("p")).select("snapshot_id", F.col("p.id").alias("vertex_id"), "p.x", "p.y")
-    known = vertices.select("snapshot_id", "vertex_id").distinct()
+    empty = F.coalesce(F.size("vertices"), F.lit(0)) <= 0
+    bare, docs = docs.where(empty), docs.where(~empty)
+    listed = docs.select("snapshot_id", F.posexplode("vertices").alias("at", "p")).groupBy("snapshot_id", F.col("p.id").alias("vertex_id"))
+    vertices = listed.agg(F.max_by("p", "at").alias("p"), F.count("*").alias("n")).select("snapshot_id", "vertex_id", "p.x", "p.y", "n")
+    again = vertices.where("n > 1")
+    vertices = vertices.drop("n")
+    if tidy:
+        vertices = vertices.withColumns({c: F.floor(F.col(c) + 0.5).cast("double") for c in ("x", "y")})
+    known = vertices.select("snapshot_id", "vertex_id")
     lines = docs.select("snapshot_id", F.explode("lines").alias("l")).select("snapshot_id", F.col("l.id").alias("line_id"), F.col("l.startVertexId").alias("v1"), F.col("l.endVertexId").alias("v2"))
     polygons = docs.select("snapshot_id", F.explode("polygons").alias("p")).select("snapshot_id", F.col("p.id").alias("polygon_id"), F.col("p.vertexIds").alias("vertex_ids"))
 
     good = lines
     for end in ("v1", "v2"):
         good = good.join(known.withColumnRenamed("vertex_id", end), ["snapshot_id", end], "left_semi")
+    ended = good
+    if tidy:
+        ends = [F.least("v1", "v2").alias("lo"), F.greatest("v1", "v2").alias("hi")]
+        first = good.where("v1 <> v2").groupBy("snapshot_id", *ends).agg(F.min_by(F.struct("line_id", "v1", "v2"), "line_id").alias("l"))
+        good = first.select("snapshot_id", "l.line_id", "l.v1", "l.v2")
     lost = polygons.select("snapshot_id", "polygon_id", F.explode("vertex_ids").alias("vertex_id")).join(known, ["snapshot_id", "vertex_id"], "left_anti").select("snapshot_id", "polygon_id").distinct()
     whole = polygons.where(F.size("vertex_ids") >= 3).join(lost, ["snapshot_id", "polygon_id"], "left_anti")
-    issue = lambda df, code, key: df.select("snapshot_id", F.lit("warning").alias("severity"), F.lit(code).alias("code"), F.col(key).cast("string").alias("detail"))
-    issues = issue(lines.join(good, ["snapshot_id", "line_id"], "left_anti"), "line_without_vertex", "line_id")
+    issue = lambda df, code, key, severity="warning": df.select("snapshot_id", F.lit(severity).alias("severity"), F.lit(code).alias("code"), (F.col(key) if isinstance(key, str) else key).cast("string").alias("detail"))
+    issues = issue(lines.join(ended, ["snapshot_id", "line_id"], "left_anti"), "line_without_vertex", "line_id")
+    if tidy:
+        issues = issues.union(issue(ended.join(good, ["snapshot_id", "line_id"], "left_anti"), "line_of_no_length_or_repeated", "line_id"))
     issues = issues.union(issue(lost, "polygon_without_vertex", "polygon_id")).union(issue(polygons.where(F.size("vertex_ids") < 3), "polygon_too_small", "polygon_id"))
     stored = docs.select("snapshot_id", F.explode("neighborPairs").alias("n")).select("snapshot_id", F.least("n.firstPolygonId", "n.secondPolygonId").alias("first_id"), F.greatest("n.firstPolygonId", "n.secondPolygonId").alias("second_id"))
-    pairs = stored.where("first_id <> second_id").distinct()
+    named = pairs = stored.where("first_id <> second_id").distinct()
     for end in ("first_id", "second_id"):
         pairs = pairs.join(whole.select("snapshot_id", F.col("polygon_id").alias(end)).distinct(), ["snapshot_id", end], "left_semi")
+    unknown = named.join(pairs, ["snapshot_id", "first_id", "second_id"], "left_anti")
+    issues = issues.union(issue(unknown, "pair_without_polygon", F.concat_ws(" ", "first_id", "second_id"))).union(issue(again, "vertex_repeated", "vertex_id"))
+    issues = issues.union(issue(bare, "no_vertices", F.lit(None), "error"))
     none = docs.where(F.lit(False)).select("snapshot_id", *[F.lit(None).cast("int").alias(c) for c in ("first_id", "second_id", "division_time")])
     return Network(vertices, good, whole, none, pairs.select("snapshot_id", "first_id", "second_id")), issues
 
@@ -131,22 +151,29 @@ def read_mixed_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def repaired_labels(labels: DataFrame, polygons: DataFrame) -> DataFrame:
-    """Labels with 1-based ids moved to 0-based, a snapshot at a time, if an id is out of range and fits after; bad ones left out."""
+    """Labels with 1-based ids moved to 0-based, a snapshot at a time, if an id is out of range and fits after; bad ones left out.
+
+    Of repeated pairs the first by `line` counts if labels have that column, else the one of the least time.
+    """
+    at = "line" if "line" in labels.columns else "division_time"
     n = polygons.groupBy("snapshot_id").agg(F.count("*").alias("n"))
     rows = labels.join(n, "snapshot_id")
     inside = lambda c, shift: (F.col(c) - shift >= 0) & (F.col(c) - shift < F.col("n"))
     off = (~(inside("first_id", 0) & inside("second_id", 0))) & inside("first_id", 1) & inside("second_id", 1)
     shifts = rows.groupBy("snapshot_id").agg(F.max(off.cast("int")).alias("shift"))
     rows = rows.join(shifts, "snapshot_id").withColumns({c: F.col(c) - F.col("shift") for c in ("first_id", "second_id")})
-    return rows.where(inside("first_id", 0) & inside("second_id", 0) & (F.col("first_id") != F.col("second_id"))).select("snapshot_id", "first_id", "second_id", "division_time").dropDuplicates(["snapshot_id", "first_id", "second_id"])
+    return rows.where(inside("first_id", 0) & inside("second_id", 0) & (F.col("first_id") != F.col("second_id"))).groupBy("snapshot_id", "first_id", "second_id").agg(F.min_by("division_time", at).alias("division_time"))
 
 
 def read_exceptions(spark: SparkSession, path: str) -> DataFrame:
-    """Pairs to leave out: lines of file or base name and two ids."""
+    """Pairs to leave out: lines of file or base name and two ids. A base name counts only where no line gives the file's full name."""
     f = F.split(F.trim("value"), r"[,;\s]+")
     a, b = F.try_element_at(f, F.lit(2)).try_cast("int"), F.try_element_at(f, F.lit(3)).try_cast("int")
-    rows = spark.read.text(path).select(_base_name(F.element_at(f, 1)).alias("snapshot_id"), F.least(a, b).alias("first_id"), F.greatest(a, b).alias("second_id"))
-    return rows.where("first_id is not null and second_id is not null").distinct()
+    name, extension = F.element_at(f, 1), r"(?i)\.json$"
+    rows = spark.read.text(path).select(F.regexp_replace(name, extension, "").alias("snapshot_id"), F.least(a, b).alias("first_id"), F.greatest(a, b).alias("second_id"), name.rlike(extension).alias("full"), (a.isNotNull() & b.isNotNull()).alias("good"))
+    rows = rows.where("good").drop("good").distinct()
+    full = rows.where("full").select("snapshot_id").distinct()
+    return rows.where("full").union(rows.where("not full").join(full, "snapshot_id", "left_anti").select(*rows.columns)).drop("full")
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:

@@ -55,20 +55,23 @@ def estimation_table(features: DataFrame, labels: DataFrame, estimated: DataFram
 
 
 def read_estimations(spark: SparkSession, path: str) -> DataFrame:
-    """An estimation result: pair, `observed`, `estimated`, the feature columns as numbers (`N/A`: null); of repeated pairs one stays.
+    """An estimation result: pair, `observed`, `estimated`, the feature columns as numbers (`N/A`: null); of repeated pairs the first stays.
 
     Headers count in any case; ValueError if one of the key columns is missing;
     rows without ids are left out.
     """
     rows = spark.read.csv(path, header=True, escape='"')
-    rows = rows.toDF(*[c.strip().lower() for c in rows.columns])
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("*", place.alias("_place")).toDF(*[c.strip().lower() for c in rows.columns], "_place")
     missing = {"filename", "cell_1_id", "cell_2_id", "observed_division", "estimated_division"} - set(rows.columns)
     if missing:
         raise ValueError(f"columns are missing: {sorted(missing)}")
     whole = lambda c: F.col(c).try_cast("double").cast("int")
     features = [h for h in ESTIMATION if h in rows.columns]
-    out = rows.select(F.col("filename").alias("snapshot_id"), F.least(whole("cell_1_id"), whole("cell_2_id")).alias("first_id"), F.greatest(whole("cell_1_id"), whole("cell_2_id")).alias("second_id"), whole("observed_division").alias("observed"), whole("estimated_division").alias("estimated"), *[F.col(h).try_cast("double").alias(h) for h in features])
-    return out.where("first_id is not null and second_id is not null").dropDuplicates([*PAIR, "observed"])
+    out = rows.select(F.col("filename").alias("snapshot_id"), F.least(whole("cell_1_id"), whole("cell_2_id")).alias("first_id"), F.greatest(whole("cell_1_id"), whole("cell_2_id")).alias("second_id"), whole("observed_division").alias("observed"), whole("estimated_division").alias("estimated"), *[F.col(h).try_cast("double").alias(h) for h in features], (whole("cell_1_id").isNotNull() & whole("cell_2_id").isNotNull()).alias("_good"), "_place")
+    rest = ["estimated", *features]
+    first = out.where("_good").groupBy(*PAIR, "observed").agg(F.min_by(F.struct(*rest), "_place").alias("r"))
+    return first.select(*PAIR, "observed", *[F.col("r")[c].alias(c) for c in rest])
 
 
 def estimated_pairs_table(estimated: DataFrame) -> DataFrame:
@@ -93,7 +96,7 @@ def write_csv(table: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:
 
 
 def network_json(net: Network, estimated: DataFrame | None = None) -> DataFrame:
-    """`snapshot_id`, `json`: each snapshot's vertices, lines, polygons and labelled (and estimated) pairs, sorted by id."""
+    """`snapshot_id`, `json`: each snapshot's vertices, lines, polygons and labelled (and stored, and estimated) pairs, sorted by id."""
 
     def listed(df: DataFrame, name: str, *fields: Column) -> DataFrame:
         return df.groupBy("snapshot_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
@@ -106,6 +109,9 @@ def network_json(net: Network, estimated: DataFrame | None = None) -> DataFrame:
         listed(net.labels, "realDivisions", *pair, F.col("division_time").alias("time")),
     ]
     names = ["vertices", "lines", "polygons", "realDivisions"]
+    if net.pairs is not None:
+        tables.append(listed(net.pairs, "neighborPairs", *pair))
+        names.append("neighborPairs")
     if estimated is not None:
         tables.append(listed(estimated, "estimatedDivisions", *pair))
         names.append("estimatedDivisions")
