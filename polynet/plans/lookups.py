@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, faces, rules
-from ..operators.adjacency import neighbours
+from ..operators import evaluate, faces, rules, topology
+from ..operators.adjacency import neighbours, relations
+from ..operators.cells import cell_geometry, rings
 from ..sources.mesh import mesh
 from ..sources.networks import networks_of
-from .catalogue import FEATURE, PAIR, _candidates, _features, _r, query
+from .catalogue import FEATURE, PAIR, _candidates, _cells, _features, _r, query
 
 MOST = "junctionAngleMaxDegrees"
 
@@ -137,3 +138,33 @@ def rule_list_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = rules.rule_metrics(_features(net, "junction"), neighbours(net.polygons), labels, good)
     report = rules.rule_report(metrics, table, evaluate.skipped(net.vertices, net.polygons, labels))
     return report.select("line", "feature", "errors", "files_processed", "estimated_pairs", "real_pairs", "true_positive", "false_negative", "warnings")
+
+
+@query(""", conn AS (
+  SELECT DISTINCT p.s, p.a, p.b, CASE WHEN m.v IS NULL THEN e.v1 ELSE e.v2 END AS v FROM pairs p JOIN edge e ON e.s = p.s AND (e.p = p.a OR e.p = p.b)
+  LEFT JOIN member m ON m.s = p.s AND m.a = p.a AND m.b = p.b AND m.v = e.v1 LEFT JOIN member n ON n.s = p.s AND n.a = p.a AND n.b = p.b AND n.v = e.v2 WHERE (m.v IS NULL) <> (n.v IS NULL)),
+rest AS (
+  SELECT p.s, p.a, p.b, r.v FROM pairs p JOIN ring r ON r.s = p.s AND (r.p = p.a OR r.p = p.b) EXCEPT SELECT * FROM conn EXCEPT SELECT * FROM member)
+SELECT s AS snapshot_id, a AS first_id, b AS second_id, coalesce(c.t, '') AS connecting, coalesce(o.t, '') AS other FROM pairs
+LEFT JOIN (SELECT s, a, b, string_agg(v, ':' ORDER BY v) AS t FROM conn GROUP BY ALL) c USING (s, a, b) LEFT JOIN (SELECT s, a, b, string_agg(v, ':' ORDER BY v) AS t FROM rest GROUP BY ALL) o USING (s, a, b)""")
+def pair_surroundings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = mesh(spark, sf_dir)
+    out = relations(neighbours(net.polygons).drop("n_shared"), _cells(net))
+    return out.select(*PAIR, F.array_join("connecting_vertices", ":").alias("connecting"), F.array_join("other_vertices", ":").alias("other"))
+
+
+@query(", x AS (SELECT 1) SELECT s AS snapshot_id, p AS polygon_id FROM polygons q WHERE NOT EXISTS (SELECT 1 FROM edge e WHERE e.s = q.s AND e.p = q.p AND (lo + hi) % 11 = 0)")
+def cascade_delete_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = mesh(spark, sf_dir)
+    return topology.without_lines(net.polygons, net.lines.where("(v1 + v2) % 11 = 0")).select("snapshot_id", "polygon_id")
+
+
+@query(", x AS (SELECT 1) SELECT s AS snapshot_id, p AS polygon_id, string_agg(v, ':' ORDER BY i) AS ring FROM ring GROUP BY s, p")
+def rings_counter_clockwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other ring is turned round first."""
+    net = mesh(spark, sf_dir)
+    ids = F.when(F.col("polygon_id") % 2 == 0, F.reverse("vertex_ids")).otherwise(F.col("vertex_ids"))
+    turned = net.polygons.withColumn("vertex_ids", ids)
+    area = cell_geometry(rings(net.vertices, turned)).select("snapshot_id", "polygon_id", "signed_area")
+    ring = faces.counter_clockwise(F.col("vertex_ids"), F.col("signed_area"))
+    return turned.join(area, ["snapshot_id", "polygon_id"]).select("snapshot_id", "polygon_id", F.array_join(ring, ":").alias("ring"))
