@@ -1,11 +1,12 @@
 """Chat formatting: layouts found by fingerprint, one template, a reversible escape and a loss mask.
 
 A record's fingerprint is the hash of its nested field paths, of any depth and
-with any names. It selects a declarative mapping that names where turns, roles
-and texts lie: the one with the most paths among those whose paths the record
-has, so that further fields do no harm. The mapping makes canonical turns
-`array<struct<role, text>>`. A record that no mapping fits is an error, unless
-the caller asks for nulls.
+with any names. A table of fingerprints selects a declarative mapping that
+names where turns, roles and texts lie. A fingerprint that isn't in the table
+is resolved once: the mapping with the most paths among those whose paths the
+record has, so that further fields do no harm. The mapping makes canonical
+turns `array<struct<role, text>>`. A record that no mapping fits is an error,
+unless the caller asks for nulls.
 
 Template, for each turn: `<s>` role `[INST]` text `</s>`. In roles and texts a
 backslash is put before every backslash and after the first character of every
@@ -88,28 +89,66 @@ def field_paths(value: object, at: str = "") -> set[str]:
     return {at}
 
 
+def kind_paths(kind: str) -> frozenset[str] | None:
+    """`field_paths` of a JSON object whose type is given as `schema_of_variant` writes it; None for what is no object."""
+    marks = re.findall(r"`(?:[^`]|``)*`|[^\s`<>:,()]+|[<>:,]|\([^)]*\)", kind)
+    at = 0
+
+    def walk(path: str) -> set[str]:
+        nonlocal at
+        word, at = marks[at], at + 1
+        if word == "ARRAY":
+            at += 2
+            found, at = walk(f"{path}[]"), at
+        elif word == "OBJECT":
+            at += 1
+            found: set[str] = set()
+            while marks[at] != ">":
+                if marks[at] == ",":
+                    at += 1
+                name, at = marks[at], at + 2
+                name = name[1:-1].replace("``", "`") if name.startswith("`") else name
+                found |= walk(f"{path}.{_step(name)}" if path else _step(name))
+            at += 1
+            return found or {path}
+        else:
+            at += at < len(marks) and marks[at].startswith("(")  # of a decimal
+            return {path}
+        at += 1
+        return found
+
+    return frozenset(walk("")) if marks and marks[0] == "OBJECT" else None
+
+
+#: The mapping of each fingerprint that is just a layout's own.
+PRINTS = {path_print(x.paths): x for x in LAYOUTS}
+
+
 @lru_cache(maxsize=10_000)
 def layout_of(paths: frozenset[str]) -> Layout | None:
-    """The mapping with the most paths among those whose fingerprint equals that of the same paths of the record; None if none fits.
+    """The mapping whose fingerprint the record has; else the one with the most paths among those that the record has; None if none fits.
 
-    An array of turns may be empty. Of mappings with as many paths the first in `LAYOUTS` counts.
+    Of mappings with as many paths the first in `LAYOUTS` counts. Only where
+    none of these fits, a layout of turns fits a record whose array of turns is empty.
     """
-    fits = [x for x in LAYOUTS if path_print(paths.intersection(x.paths)) == path_print(x.paths) or f"{x.turns}[]" in paths]
+    exact = PRINTS.get(path_print(paths))
+    if exact:
+        return exact
+    fits = [x for x in LAYOUTS if paths.issuperset(x.paths)] or [x for x in LAYOUTS if x.turns and f"{x.turns}[]" in paths][:1]
     return max(fits, key=lambda x: len(x.paths), default=None)
 
 
+@lru_cache(maxsize=10_000)
+def _recognised_kind(kind: str | None) -> tuple[str | None, str | None]:
+    """Fingerprint and layout of records of one type."""
+    paths = kind_paths(kind) if kind else None
+    found = layout_of(paths) if paths is not None else None
+    return None if paths is None else path_print(paths), found.name if found else None
+
+
 @F.pandas_udf(T.StructType().add("print", T.StringType()).add("layout", T.StringType()))
-def _recognised(column: pd.Series) -> pd.DataFrame:
-    out = []
-    for text in column:
-        try:
-            value = jsonlib.loads(text)
-        except (TypeError, ValueError):
-            value = None
-        paths = frozenset(field_paths(value)) if isinstance(value, dict) else None
-        found = layout_of(paths) if paths is not None else None
-        out.append((None if paths is None else path_print(paths), found.name if found else None))
-    return pd.DataFrame(out, columns=["print", "layout"])
+def _recognised(kinds: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_recognised_kind(k) for k in kinds], columns=["print", "layout"])
 
 
 def canonical_turns(records: DataFrame, json: str = "json", unknown: str = "raise") -> DataFrame:
@@ -120,8 +159,13 @@ def canonical_turns(records: DataFrame, json: str = "json", unknown: str = "rais
     a null layout and null turns. Further fields do no harm. An empty field of
     a layout of single fields (as `input`) gives no turn.
     """
-    rows = records.withColumn("_value", F.try_parse_json(F.col(json))).withColumn("_seen", _recognised(F.col(json)))
+    rows = records.withColumn("_value", F.try_parse_json(F.col(json)))
+    rows = rows.withColumn("_seen", _recognised(F.schema_of_variant("_value")))
     name = F.col("_seen.layout")
+    for layout in LAYOUTS:
+        if layout.turns:  # elements without any field are no turns
+            bare = F.exists(F.try_variant_get(F.col("_value"), f"$.{layout.turns}", "array<variant>"), lambda x: ~F.coalesce(F.schema_of_variant(x).startswith("OBJECT<"), F.lit(False)) | (F.schema_of_variant(x) == "OBJECT<>"))
+            name = F.when((F.col("_seen.layout") == layout.name) & F.coalesce(bare, F.lit(False)), F.lit(None)).otherwise(name)
     if unknown == "raise":
         name = F.coalesce(name, F.raise_error(F.concat(F.lit("no chat layout fits the fields of print "), F.coalesce("_seen.print", F.lit("null")))))
     rows = rows.withColumn("layout", name).withColumn("print", F.col("_seen.print"))
