@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import reachable
-from .common import blocks, forget, keep
+from .common import HOT_SHARE, blocks, forget, join_hot, keep, keep_observed
 
 WORDS, BANDS, ROWS = 5, 22, 6
 #: Bits of the bitmap of ids.
-SLOTS = 1 << 24
+SLOTS = 1 << 27
 #: Members of one block in step 4, comparisons with one copy of a set in step 3, and bytes of text that are worked on at once.
 BLOCK, STARS, BATCH_BYTES = 128, 128, 1_000_000
 
@@ -187,9 +187,12 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, print1 long, shingles binary")
 
 
-def _may_be_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of `docs` whose `id` has its bit set in a bitmap of `ids`: all that are among them, and few others."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("slot")
+def _may_be_in(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """Rows of `docs` whose `id` has its bit set in a bitmap of `ids`: all that are among them, and others: few, as long as `n` ids are few beside `SLOTS`.
+
+    The bitmap has eight bits for each id, but `SLOTS` at most.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(min(SLOTS, 1 << max(15, (8 * n).bit_length())))).alias("slot")
     bits = ids.select(slot).groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
     placed = docs.withColumn("slot", slot).withColumn("bucket", F.expr("bitmap_bucket_number(slot)")).join(F.broadcast(bits), "bucket")  # 4 KB for each 32,768 bits
     byte = "cast(conv(hex(substring(bits, cast(bitmap_bit_position(slot) div 8 as int) + 1, 1)), 16, 10) as int)"
@@ -292,17 +295,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     returned, with the size of its own set. Keys are integers; a null key
     stands alone. Extra columns are ignored. An empty table gives an empty result.
     """
-    sketch = keep(sketches(docs, key, text, words, bands, rows), "sketches")
+    sketch, (all_rows, _) = keep_observed(sketches(docs, key, text, words, bands, rows), "sketches")
     prints = ["n_shingles", "print1", "print2"]
-    classes = sketch.where("n_shingles > 0 and id is not null").groupBy(*prints).agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    classes = keep(classes, "classes")
+    classes = sketch.where("n_shingles > 0 and id is not null").groupBy(*prints).agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    classes, (n_classes, _) = keep_observed(classes, "classes")
+    band_limit = n_classes * bands / HOT_SHARE
 
     # `rep` and `print1` name a class: texts of one key have several.
     inside = classes.select("rep", "print1", F.posexplode("bands").alias("band", "hash"))
     one = F.struct("rep", "print1")
     buckets = inside.groupBy("band", "hash").agg(F.min(one).alias("pivot"), F.count("*").alias("n"), F.sum(F.xxhash64("rep", "print1").cast("decimal(20,0)")).alias("sum")).where("n > 1")
-    members = keep(inside.join(keep(buckets, "buckets"), ["band", "hash"]).select("rep", "print1", "pivot", "n", "sum", "band", "hash"), "members")
-    texts = _may_be_in(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), members.select(F.col("rep").alias("id")))
+    buckets = keep(buckets, "buckets")
+    members, (n_members, _) = keep_observed(join_hot(inside, buckets, ["band", "hash"], band_limit).select("rep", "print1", "pivot", "n", "sum", "band", "hash"), "members")
+    texts = _may_be_in(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), members.select(F.col("rep").alias("id")), n_members)
     sets = keep(shingle_sets(texts, words).dropDuplicates(["id", "print1"]), "sets")
     set_of = lambda name: sets.select(F.col("id").alias(name), F.col("print1").alias(f"p_{name}"), F.col("shingles").alias(f"set_{name}"))
 
@@ -317,7 +322,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     many = keep(members.where("n > 2").join(first.select(F.col("id").alias("rep"), "low"), "rep", "left").withColumn("component", F.coalesce("low", "rep")).drop("low", "pivot"), "many")
     several = many.groupBy("band", "hash").agg(F.first("n").alias("n"), F.first("sum").alias("sum"), F.min("component").alias("low"), F.max("component").alias("high"))
     several = several.where("low <> high").groupBy("n", "sum").agg(F.min(F.struct("band", "hash")).alias("one")).select("one.band", "one.hash", "n")
-    chosen = many.drop("n", "sum").join(keep(several, "several"), ["band", "hash"]).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    several = keep(several, "several")
+    chosen = join_hot(many.drop("n", "sum"), several, ["band", "hash"], band_limit).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int"))
     chosen = chosen.withColumn("chunk", F.pmod(F.xxhash64("rep", "print1"), F.col("chunks")).cast("int"))
     place = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("first"), F.greatest(c, F.col("chunk")).alias("second"))))
     placed = chosen.join(sets.withColumnRenamed("id", "rep"), ["rep", "print1"]).select(F.xxhash64("band", "hash").alias("bucket"), F.col("rep").alias("id"), "component", "shingles", place.alias("place"))
@@ -326,8 +332,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     forget(sets, star, members, many)
 
     found = reachable(link(confirmed.union(more))).withColumnRenamed("id", "rep")
-    named = classes.select("rep", *prints).join(found, "rep", "left").select(*prints, F.coalesce("low", "rep").alias("component_id"))
+    named = classes.select("rep", *prints, "copies").join(found, "rep", "left").select(*prints, "copies", F.coalesce("low", "rep").alias("component_id"))
     shingled = sketch.where("n_shingles > 0 and id is not null").select("id", *prints)
     alone = sketch.where("not (n_shingles > 0 and id is not null)").select("id", "n_shingles", F.col("id").alias("component_id"))
-    out = shingled.join(keep(named, "named"), prints).select("id", "n_shingles", "component_id").union(alone)
+    named = join_hot(shingled, keep(named, "named"), prints, all_rows / HOT_SHARE, rows="copies")
+    out = named.select("id", "n_shingles", "component_id").union(alone)
     return out.select(F.col("id").alias(key), F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
