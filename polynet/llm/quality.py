@@ -64,11 +64,11 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 def _dictionary(chunks: list[bytes]) -> bytes:
-    """Trained on all chunks, a tenth of their size but `DICTIONARY_BYTES` at most; the text itself if there is too little of it to train on."""
-    try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, chunks)) // 10), chunks, k=K, d=D).as_bytes()
-    except (zstandard.ZstdError, ValueError):  # a few hundred bytes
-        return b"".join(chunks)
+    """Trained on all chunks, gone through as often as makes ten times `DICTIONARY_BYTES`; empty without any text."""
+    there = sum(map(len, chunks))
+    if not there:
+        return b""
+    return zstandard.train_dictionary(DICTIONARY_BYTES, chunks * -(-10 * DICTIONARY_BYTES // there), k=K, d=D).as_bytes()
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: int) -> DataFrame:
