@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import keep
+from ..functions.tables import forget, keep, keep_observed
 from .graph import components
+from .heaviest import heaviest_matching
 
 UNCONSTRAINED, GREEDY, GLOBAL = "unconstrained", "local", "global"
 
@@ -67,230 +68,25 @@ def _heaviest(pairs: list[tuple[int, int, float]]) -> list[int]:
     at = {c: i for i, c in enumerate(cells)}
     ratios = [float(s).as_integer_ratio() for _, _, s in pairs]
     scale = max(d for _, d in ratios)  # powers of two
-    base = len(pairs) + 1
-    unit = base ** len(cells)
-    seen: dict[int, int] = {}
+    # What a pair costs is a digit at the place of its lower cell, so all costs together make a number that stays below `unit`.
+    digits = [0] * len(cells)
+    for a, b, _ in pairs:
+        digits[min(at[a], at[b])] += 1
+    places, unit = [1] * len(cells), 1
+    for u in range(len(cells) - 1, -1, -1):
+        places[u], unit = unit, unit * (digits[u] + 1)
+    seen = [0] * len(cells)
     edges: dict[tuple[int, int], tuple[int, int]] = {}
     for i, ((a, b, _), (n, d)) in enumerate(zip(pairs, ratios, strict=True)):
         u, v = sorted((at[a], at[b]))
-        seen[u] = seen.get(u, 0) + 1
-        weight = n * (scale // d) * unit - seen[u] * base ** (len(cells) - 1 - u)
+        seen[u] += 1
+        weight = n * (scale // d) * unit - seen[u] * places[u]
         if u != v and weight > edges.get((u, v), (0, 0))[0]:
             edges[u, v] = (weight, i)
     mate = heaviest_matching(len(cells), {k: w for k, (w, _) in edges.items()})
     return [edges[u, v][1] for u, v in enumerate(mate) if v > u]
 
 
-def heaviest_matching(n: int, weights: dict[tuple[int, int], int]) -> list[int]:
-    """Partner of each of `n` nodes (-1: none) in the matching of largest weight, by Edmonds' blossoms.
-
-    Weights are positive integers of any size, so labels stay whole. Work grows
-    with the cube of `n`, whatever the shape of the graph.
-    """
-    most = 2 * n + 2
-    # Nodes and blossoms are numbered from 1; g[x][y] is the edge (u, v) that stands for x and y, w its doubled weight.
-    w = [[0] * (n + 1) for _ in range(n + 1)]
-    for (a, b), x in weights.items():
-        w[a + 1][b + 1] = w[b + 1][a + 1] = 2 * x
-    g: list[list[tuple[int, int]]] = [[(x, y) if x <= n and y <= n else (0, 0) for y in range(most)] for x in range(most)]
-    label = [0] + [max(map(max, w)) // 2] * n + [0] * (most - n - 1)
-    mate, slack, top, parent, side = [0] * most, [0] * most, list(range(n + 1)) + [0] * (most - n - 1), [0] * most, [-1] * most
-    petals: list[list[int]] = [[] for _ in range(most)]
-    inside = [[x if x == y else 0 for y in range(n + 1)] for x in range(most)]
-    queue: list[int] = []
-    count = n
-
-    def gap(e: tuple[int, int]) -> int:
-        return label[e[0]] + label[e[1]] - w[e[0]][e[1]]
-
-    def has(e: tuple[int, int]) -> bool:
-        return w[e[0]][e[1]] > 0
-
-    def nearer(u: int, x: int) -> None:
-        if not slack[x] or gap(g[u][x]) < gap(g[slack[x]][x]):
-            slack[x] = u
-
-    def set_slack(x: int) -> None:
-        slack[x] = 0
-        for u in range(1, n + 1):
-            if has(g[u][x]) and top[u] != x and side[top[u]] == 0:
-                nearer(u, x)
-
-    def push(x: int) -> None:
-        if x <= n:
-            queue.append(x)
-        else:
-            for p in petals[x]:
-                push(p)
-
-    def set_top(x: int, b: int) -> None:
-        top[x] = b
-        if x > n:
-            for p in petals[x]:
-                set_top(p, b)
-
-    def turned(b: int, x: int) -> int:
-        place = petals[b].index(x)
-        if place % 2:
-            petals[b][1:] = petals[b][:0:-1]
-            return len(petals[b]) - place
-        return place
-
-    def set_mate(u: int, v: int) -> None:
-        e = g[u][v]
-        mate[u] = e[1]
-        if u > n:
-            x = inside[u][e[0]]
-            place = turned(u, x)
-            for i in range(place):
-                set_mate(petals[u][i], petals[u][i ^ 1])
-            set_mate(x, v)
-            petals[u] = petals[u][place:] + petals[u][:place]
-
-    def augment(u: int, v: int) -> None:
-        while True:
-            following = top[mate[u]]
-            set_mate(u, v)
-            if not following:
-                return
-            set_mate(following, top[parent[following]])
-            u, v = top[parent[following]], following
-
-    def meeting(u: int, v: int) -> int:
-        passed = set()
-        while u or v:
-            if u:
-                if u in passed:
-                    return u
-                passed.add(u)
-                u = top[mate[u]]
-                if u:
-                    u = top[parent[u]]
-            u, v = v, u
-        return 0
-
-    def contract(u: int, root: int, v: int) -> None:
-        nonlocal count
-        b = n + 1
-        while b <= count and top[b]:
-            b += 1
-        count = max(count, b)
-        label[b], side[b], mate[b] = 0, 0, mate[root]
-        ring = [root]
-        x = u
-        while x != root:
-            y = top[mate[x]]
-            ring += [x, y]
-            push(y)
-            x = top[parent[y]]
-        ring[1:] = ring[:0:-1]
-        x = v
-        while x != root:
-            y = top[mate[x]]
-            ring += [x, y]
-            push(y)
-            x = top[parent[y]]
-        petals[b] = ring
-        set_top(b, b)
-        for x in range(1, count + 1):
-            g[b][x] = g[x][b] = (0, 0)
-        inside[b] = [0] * (n + 1)
-        for p in ring:
-            for x in range(1, count + 1):
-                if has(g[p][x]) and (not has(g[b][x]) or gap(g[p][x]) < gap(g[b][x])):
-                    g[b][x], g[x][b] = g[p][x], g[x][p]
-            for x in range(1, n + 1):
-                if inside[p][x]:
-                    inside[b][x] = p
-        set_slack(b)
-
-    def expand(b: int) -> None:
-        for p in petals[b]:
-            set_top(p, p)
-        entry = inside[b][g[b][parent[b]][0]]
-        place = turned(b, entry)
-        for i in range(0, place, 2):
-            x, y = petals[b][i], petals[b][i + 1]
-            parent[x] = g[y][x][0]
-            side[x], side[y] = 1, 0
-            slack[x] = 0
-            set_slack(y)
-            push(y)
-        side[entry], parent[entry] = 1, parent[b]
-        for x in petals[b][place + 1 :]:
-            side[x] = -1
-            set_slack(x)
-        top[b] = 0
-
-    def tight(e: tuple[int, int]) -> bool:
-        u, v = top[e[0]], top[e[1]]
-        if side[v] == -1:
-            parent[v], side[v] = e[0], 1
-            other = top[mate[v]]
-            slack[v] = slack[other] = 0
-            side[other] = 0
-            push(other)
-        elif side[v] == 0:
-            root = meeting(u, v)
-            if not root:
-                augment(u, v)
-                augment(v, u)
-                return True
-            contract(u, root, v)
-        return False
-
-    def phase() -> bool:
-        for x in range(1, count + 1):
-            side[x], slack[x] = -1, 0
-        queue.clear()
-        for x in range(1, count + 1):
-            if top[x] == x and not mate[x]:
-                parent[x], side[x] = 0, 0
-                push(x)
-        if not queue:
-            return False
-        while True:
-            while queue:
-                u = queue.pop(0)
-                if side[top[u]] == 1:
-                    continue
-                for v in range(1, n + 1):
-                    if w[u][v] and top[u] != top[v]:
-                        if not gap((u, v)):
-                            if tight((u, v)):
-                                return True
-                        else:
-                            nearer(u, top[v])
-            steps = [label[b] // 2 for b in range(n + 1, count + 1) if top[b] == b and side[b] == 1]
-            for x in range(1, count + 1):
-                if top[x] == x and slack[x] and side[x] != 1:
-                    steps.append(gap(g[slack[x]][x]) // (1 if side[x] == -1 else 2))
-            steps += [label[u] for u in range(1, n + 1) if side[top[u]] == 0]
-            d = min(steps)
-            for u in range(1, n + 1):
-                if side[top[u]] == 0:
-                    if label[u] <= d:
-                        return False
-                    label[u] -= d
-                elif side[top[u]] == 1:
-                    label[u] += d
-            for b in range(n + 1, count + 1):
-                if top[b] == b and side[b] >= 0:
-                    label[b] += 2 * d if side[b] == 0 else -2 * d
-            queue.clear()
-            for x in range(1, count + 1):
-                if top[x] == x and slack[x] and top[slack[x]] != x and not gap(g[slack[x]][x]):
-                    if tight(g[slack[x]][x]):
-                        return True
-            for b in range(n + 1, count + 1):
-                if top[b] == b and side[b] == 1 and not label[b]:
-                    expand(b)
-
-    while phase():
-        pass
-    return [mate[x] - 1 for x in range(1, n + 1)]
-
-
 def global_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     """Maximum-weight matching by component, exact at every size."""
     pdf = pdf.sort_values(["first_id", "second_id"], kind="stable").reset_index(drop=True)
@@ -301,21 +97,136 @@ def global_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.loc[sorted(chosen)]
 
 
-def match(candidates: DataFrame, mode: str = GLOBAL, keys: tuple[str, ...] = ("snapshot_id",)) -> DataFrame:
+#: Pairs of a group up to which it is matched within one task; larger groups are matched by rounds of joins first.
+TASK_PAIRS = 50_000
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """A row for each end of a pair: `_group`, `cell`, and the pair as `one`, which sorts best first."""
+    one = F.struct((-F.col("score")).alias("least"), "first_id", "second_id", "_pair").alias("one")
+    return pairs.select("_group", one, F.explode(F.array_distinct(F.array("first_id", "second_id"))).alias("cell"))
+
+
+def _best_two(ends: DataFrame) -> DataFrame:
+    """`_group`, `cell`, its `best` and `second` best pair (null: none), by two sums before any shuffle."""
+    best = ends.groupBy("_group", "cell").agg(F.min("one").alias("best"))
+    other = ends.join(best, ["_group", "cell"]).where("one <> best").groupBy("_group", "cell").agg(F.min("one").alias("second"))
+    return best.join(other, ["_group", "cell"], "left")
+
+
+def _with_ranks(pairs: DataFrame) -> DataFrame:
+    """Add `a_best`, `a_second`, `b_best`, `b_second`: the best two pairs at each end, and `one`, the pair itself."""
+    two = keep(_best_two(_ends(pairs)), "best")
+    at = lambda cell, name: two.select("_group", F.col("cell").alias(cell), F.col("best").alias(f"{name}_best"), F.col("second").alias(f"{name}_second"))
+    one = F.struct((-F.col("score")).alias("least"), "first_id", "second_id", "_pair")
+    return pairs.withColumn("one", one).join(at("first_id", "a"), ["_group", "first_id"]).join(at("second_id", "b"), ["_group", "second_id"])
+
+
+def _without_cells(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Pairs that share no cell with the chosen ones."""
+    gone = chosen.select("_group", F.explode(F.array("first_id", "second_id")).alias("cell")).distinct()
+    for end in ("first_id", "second_id"):
+        pairs = pairs.join(gone.withColumnRenamed("cell", end), ["_group", end], "left_anti")
+    return pairs
+
+
+def _along_chains(ranked: DataFrame) -> DataFrame:
+    """`_group`, `_pair` of pairs that greedy matching chooses: the best at both ends, and those that a chain of single blockers leads to them.
+
+    A pair with one better neighbour alone is chosen just if that one isn't.
+    Pointers along such chains are doubled until they end, so a chain of
+    falling scores takes rounds that grow with the logarithm of its length.
+    """
+    is_best = lambda end: F.col("one") == F.col(f"{end}_best")
+    is_second = lambda end: F.coalesce(F.col("one") == F.col(f"{end}_second"), F.lit(False))
+    first = is_best("a") & is_best("b")
+    parent = F.when(is_best("a") & is_second("b"), F.col("b_best._pair")).when(is_best("b") & is_second("a"), F.col("a_best._pair"))
+    known = keep(ranked.select("_group", "_pair", first.alias("first"), F.when(first, F.lit(None)).otherwise(parent).alias("up"), F.lit(False).alias("odd")), "chains")
+    roots = known.where("first").select("_group", "_pair")
+    jumps = keep(known.where("up is not null").select("_group", "_pair", "up", F.lit(True).alias("odd")), "jumps")
+    while True:
+        further = jumps.select("_group", F.col("_pair").alias("up"), F.col("up").alias("next"), F.col("odd").alias("more"))
+        old = jumps
+        jumps = keep(jumps.join(further, ["_group", "up"], "left").select("_group", "_pair", F.coalesce("next", "up").alias("up"), (F.col("odd") != F.coalesce("more", F.lit(False))).alias("odd"), F.col("next").isNotNull().alias("moved")), "jumps")
+        forget(old)
+        if jumps.where("moved").isEmpty():
+            break
+    led = jumps.where("not odd").join(roots.withColumnRenamed("_pair", "up"), ["_group", "up"], "left_semi")
+    return keep(roots.union(led.select("_group", "_pair")), "chosen")
+
+
+def greedy_rounds(pairs: DataFrame) -> DataFrame:
+    """`_group`, `_pair` of the pairs that greedy matching keeps, of `_group`, `_pair`, `first_id`, `second_id`, `score`.
+
+    Each round takes all pairs that are the best at both their cells, and what
+    follows from them along chains, and drops the neighbours of what it took:
+    just what taking pairs one by one from the best down gives, without a
+    task that sees a whole group.
+    """
+    live, (n, _) = keep_observed(pairs.select("_group", "_pair", "first_id", "second_id", "score"), "live")
+    found = None
+    while n:
+        chosen = _along_chains(_with_ranks(live))
+        found = chosen if found is None else found.union(chosen)
+        old = live
+        left = _without_cells(live, live.join(chosen, ["_group", "_pair"], "left_semi"))
+        live, (n, _) = keep_observed(left, "live")
+        forget(old)
+    return found if found is not None else pairs.select("_group", "_pair").limit(0)
+
+
+def certain_rounds(pairs: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """Pairs (`_group`, `_pair`) that every heaviest matching holds, and the pairs that are left beside them.
+
+    A pair that weighs more than the best other pairs at its two ends together
+    is in all of them, as taking it for these gains; it goes with its
+    neighbours. Rounds end when they find less than a hundredth of what is left.
+    """
+    live, (n, _) = keep_observed(pairs.where("score > 0 and first_id <> second_id"), "live")
+    found = None
+    while n:
+        ranked = _with_ranks(live)
+        other = lambda end: F.coalesce(-F.when(F.col("one") == F.col(f"{end}_best"), F.col(f"{end}_second.least")).otherwise(F.col(f"{end}_best.least")), F.lit(0.0))
+        sure, (taken, _) = keep_observed(ranked.where(F.col("score") > (other("a") + other("b")) * (1 + 1e-12)).select("_group", "_pair"), "sure")
+        if taken:
+            found = sure if found is None else found.union(sure)
+            old = live
+            live, (n, _) = keep_observed(_without_cells(live, live.join(sure, ["_group", "_pair"], "left_semi")), "live")
+            forget(old)
+        if 100 * taken < n or not taken:
+            break
+    return found, live
+
+
+def match(candidates: DataFrame, mode: str = GLOBAL, keys: tuple[str, ...] = ("snapshot_id",), task_pairs: int = TASK_PAIRS) -> DataFrame:
     """Candidates that stay when a cell may be in one pair only; `unconstrained` keeps all.
 
-    One group is one connected component of a snapshot's candidates under one
-    rule; components are found by Spark jobs, and each is matched within a
-    task. Score 0 is never chosen by `global`. An unknown mode is `global`.
+    A group is a snapshot's candidates under one rule. One of at most
+    `task_pairs` is matched within a task. Larger ones are matched by
+    `greedy_rounds`; for `global` by `certain_rounds`, then by connected
+    component of what is left, found by Spark jobs, each within a task. All
+    ways give the same pairs. Score 0 is never chosen by `global`. An unknown
+    mode is `global`.
     """
     if mode == UNCONSTRAINED:
         return candidates
     run = greedy_pairs if mode == GREEDY else global_pairs
-    names = candidates.columns
-    schema = candidates.schema
-    candidates = keep(candidates, "candidates").withColumn("_group", F.struct(*keys))
-    links = candidates.select("_group", F.col("first_id").alias("u"), F.col("second_id").alias("v"))
+    names, schema = candidates.columns, candidates.schema
+    within = lambda df, *by: df.groupBy(*by).applyInPandas(lambda pdf: run(pdf)[names], schema)
+    candidates = keep(candidates, "candidates")
+    large = keep(candidates.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > task_pairs).select(F.struct(*keys).alias("_group")), "large")
+    if large.isEmpty():
+        return within(candidates, *keys)
+    grouped = candidates.withColumn("_group", F.struct(*keys))
+    small = within(grouped.join(large, "_group", "left_anti").select(*names), *keys)
+    many = keep(grouped.join(large, "_group", "left_semi").withColumn("_pair", F.monotonically_increasing_id()), "many")
+    by_pair = lambda chosen: many.join(chosen, ["_group", "_pair"], "left_semi").select(*names)
+    if mode == GREEDY:
+        return small.union(by_pair(greedy_rounds(many)))
+    sure, rest = certain_rounds(many)
+    links = rest.select("_group", F.col("first_id").alias("u"), F.col("second_id").alias("v"))
     found = components(links.select("_group", F.col("u").alias("id")), links, "_group")
     found = found.select("_group", F.col("id").alias("first_id"), F.col("component").alias("_component"))
-    grouped = candidates.join(found, ["_group", "first_id"]).select(*names, "_component").groupBy(*keys, "_component")
-    return grouped.applyInPandas(lambda pdf: run(pdf)[names], schema)
+    placed = rest.join(found, ["_group", "first_id"]).select(*names, "_component")
+    out = small.union(within(placed, *keys, "_component"))
+    return out if sure is None else out.union(by_pair(sure))
