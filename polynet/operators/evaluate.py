@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import quotient
+from ..functions.tables import keep, with_before
 from .adjacency import neighbours
 
 PAIR = ["snapshot_id", "first_id", "second_id"]
@@ -74,19 +75,49 @@ def totals(by_snapshot: DataFrame, keys: list[str]) -> DataFrame:
     return with_ratios(by_snapshot.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names]))
 
 
-def sweep(features: DataFrame, labels: DataFrame, feature: str, thresholds: list[float], above: bool = True) -> DataFrame:
-    """Metrics of the unconstrained rule at each threshold, features computed once.
+def passed(value: Column, thresholds: list[float], above: bool = True) -> Column:
+    """How many of the distinct thresholds a value passes (they are the lowest ones; for `above` False, the highest); 0 for undefined values.
 
-    Thresholds are a list of the caller's, joined as an array, so each pair is
-    read once and counted by threshold before any shuffle.
+    Found by bisection in the sorted thresholds.
     """
-    real = labels.select(*PAIR).distinct().withColumn("real", F.lit(True))
-    rows = features.select(*PAIR, F.col(feature).alias("value")).join(real, PAIR, "left").withColumn("real", F.coalesce("real", F.lit(False)))
-    each = rows.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     from .matching import passes
 
-    each = each.withColumn("est", F.coalesce(passes(F.col("value"), F.col("threshold"), above), F.lit(False))).withColumn("near", F.lit(True))
-    return with_ratios(counts(each, ["threshold"]))
+    cuts = sorted(set(thresholds)) if above else sorted({-t for t in thresholds})
+    steps = F.array(*[F.lit(1 << i) for i in range(len(cuts).bit_length() - 1, -1, -1)])
+    own, at = value if above else -value, F.array(*map(F.lit, map(float, cuts)))
+    found = F.aggregate(steps, F.lit(0), lambda done, step: F.when(F.get(at, done + step - 1) <= own, done + step).otherwise(done))
+    return F.when(passes(value, F.lit(float("-inf"))), found).otherwise(F.lit(0))
+
+
+def from_threshold_on(rows: DataFrame, level: str, thresholds: list[float], sums: list[str], above: bool = True) -> DataFrame:
+    """`threshold` and, for each distinct one, the sums of columns over the rows that pass it, those with a `level` (see `passed`) that reaches it.
+
+    Rows are added up once by level, then levels from the top down by a two-level scan.
+    """
+    cuts = sorted(set(thresholds), reverse=not above)
+    by_level = rows.groupBy(F.col(level).alias("_level")).agg(*[F.sum(c).alias(c) for c in sums])
+    known = rows.sparkSession.createDataFrame([(i + 1, float(t)) for i, t in enumerate(cuts)], "_level int, threshold double")
+    every = known.join(by_level, "_level", "left").fillna(0, sums).withColumn("_down", F.lit(len(cuts)) - F.col("_level"))
+    every = every.withColumn("_all", F.lit(0))
+    for c in sums:
+        every = with_before(every, ["_all"], "_down", c, f"_before_{c}").withColumn(f"_with_{c}", F.col(c) + F.col(f"_before_{c}"))
+    return every.select("threshold", *[F.col(f"_with_{c}").alias(c) for c in sums])
+
+
+def sweep(features: DataFrame, labels: DataFrame, feature: str, thresholds: list[float], above: bool = True) -> DataFrame:
+    """Metrics of the unconstrained rule at each of the distinct thresholds, features read once, however many thresholds there are."""
+    real = labels.select(*PAIR).distinct().withColumn("real", F.lit(1))
+    rows = features.select(*PAIR, F.col(feature).cast("double").alias("value")).join(real, PAIR, "left").select(F.coalesce("real", F.lit(0)).cast("long").alias("real"), "value")
+    rows = rows.groupBy(passed(F.col("value"), thresholds, above).alias("level"), "real").agg(F.count("*").alias("n"))
+    rows = keep(rows, "levels")  # at most two for each threshold
+    inferred = from_threshold_on(rows.withColumn("tp", F.col("n") * F.col("real")), "level", thresholds, ["n", "tp"], above)
+    whole = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("near"), F.coalesce(F.sum(F.col("n") * F.col("real")), F.lit(0)).alias("real"))
+    table = inferred.withColumn("_one", F.lit(1)).join(F.broadcast(whole.withColumn("_one", F.lit(1))), "_one")  # one row on that side
+    n, tp, near, real = (F.col(c) for c in ("n", "tp", "near", "real"))
+    return with_ratios(table.select(
+        "threshold", n.alias("estimated_pairs"), real.alias("real_pairs"), near.alias("neighbor_pairs"), tp.alias("true_positive"), (n - tp).alias("false_positive"),
+        (real - tp).alias("false_negative"), F.greatest(F.lit(0), near - n - real + tp).alias("true_negative"),
+    ))
 
 
 def compare(first: DataFrame, second: DataFrame) -> DataFrame:

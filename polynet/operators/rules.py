@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import keep
 from . import evaluate
 from .feature_names import LABELS
-from .matching import GLOBAL, GREEDY, UNCONSTRAINED, match, passes
+from .matching import GLOBAL, GREEDY, UNCONSTRAINED, candidates, match, passes
 
 PAIR = ["snapshot_id", "first_id", "second_id"]
 #: Other names of features, normalised. Fixed values.
@@ -179,11 +180,42 @@ def feature_summary(features: DataFrame, labels: DataFrame, feature: str) -> Dat
 
 
 def matched_sweep(features: DataFrame, pairs: DataFrame, labels: DataFrame, feature: str, thresholds: list[float], mode: str = GREEDY, above: bool = True) -> DataFrame:
-    """Metrics at each threshold with one-to-one matching, all thresholds in one job: `threshold`, counts, ratios."""
+    """Metrics at each threshold with one-to-one matching: `threshold`, counts, ratios.
+
+    Greedy matching takes pairs from the best down, so what it takes at a
+    threshold is what it takes at the most lenient one, as far as it passes:
+    one matching serves all. Other modes match anew for each threshold, in one job.
+    """
+    if mode == GREEDY:
+        return _greedy_sweep(features, pairs, labels, feature, thresholds, above)
     table = rule_metrics(features, pairs, labels, [Rule(feature, t, above, mode) for t in thresholds])
     return table.drop("rule_id", "feature_key", "comparison", "note", "files_processed", "files_with_results")
 
 
+def _greedy_sweep(features: DataFrame, pairs: DataFrame, labels: DataFrame, feature: str, thresholds: list[float], above: bool) -> DataFrame:
+    near, real = pairs.select(*PAIR).distinct(), labels.select(*PAIR).distinct()
+    sizes = near.groupBy("snapshot_id").agg(F.count("*").alias("near")).join(real.groupBy("snapshot_id").agg(F.count("*").alias("real")), "snapshot_id")
+    sizes = keep(sizes, "sizes")
+    taken = match(candidates(features, feature, min(thresholds) if above else max(thresholds), above), GREEDY)
+    taken = taken.join(real.withColumn("hit", F.lit(1)), PAIR, "left").join(sizes, "snapshot_id")
+    taken = taken.select("snapshot_id", "score", evaluate.passed(F.col("value"), thresholds, above).alias("level"), F.coalesce("hit", F.lit(0)).cast("long").alias("tp"), F.lit(1).cast("long").alias("n"), (F.col("near") - F.col("real")).alias("others"))
+    taken = keep(taken.withColumn("fp", F.col("n") - F.col("tp")), "taken")
+    # A snapshot's true negatives don't fall below 0: where it has more false positives than other pairs, only its best ones count.
+    over = taken.groupBy("snapshot_id", "others").agg(F.sum("fp").alias("all_fp")).where(F.col("all_fp") > F.greatest("others", F.lit(0))).select("snapshot_id")
+    place = F.row_number().over(Window.partitionBy("snapshot_id").orderBy(F.desc("score")))
+    few = taken.where("fp = 1").join(over, "snapshot_id", "left_semi").withColumn("place", place).where("place <= others").select("level", "fp")
+    counted = few.union(taken.join(over, "snapshot_id", "left_anti").select("level", "fp"))
+    rows = taken.select("level", "n", "tp", F.lit(0).cast("long").alias("lost")).union(counted.select("level", F.lit(0).cast("long"), F.lit(0).cast("long"), "fp"))
+    inferred = evaluate.from_threshold_on(rows, "level", thresholds, ["n", "tp", "lost"], above)
+    whole = sizes.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("near", "real")], F.coalesce(F.sum(F.greatest(F.lit(0), F.col("near") - F.col("real"))), F.lit(0)).alias("others"))
+    table = inferred.withColumn("_one", F.lit(1)).join(F.broadcast(whole.withColumn("_one", F.lit(1))), "_one")  # one row on that side
+    n, tp = F.col("n"), F.col("tp")
+    return evaluate.with_ratios(table.select(
+        "threshold", n.alias("estimated_pairs"), F.col("real").alias("real_pairs"), F.col("near").alias("neighbor_pairs"), tp.alias("true_positive"), (n - tp).alias("false_positive"),
+        (F.col("real") - tp).alias("false_negative"), (F.col("others") - F.col("lost")).alias("true_negative"),
+    ))
+
+
 def feature_histogram(features: DataFrame, labels: DataFrame, feature: str, width: float) -> DataFrame:
     """Pairs by whether they are labelled and by bins of `width`: `real`, `bin` (its lower end), `n`; undefined values don't count."""
     rows = features.where(F.col(feature).isNotNull() & ~F.isnan(feature))
