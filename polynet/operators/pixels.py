@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import forget, keep, keep_observed
-from .graph import components
+from .graph import reachable
 
 KEY = ["snapshot_id", "x", "y"]
+#: Side of a tile that one task connects, and a distance that holds the eight pixels around one alone.
+TILE, BESIDE = 256, 1.5
 _NEAR = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
 
 
@@ -60,32 +64,145 @@ def junctions(pixels: DataFrame, width: int, height: int, exactly: int | None =
     return neighbour_counts(pixels).where(inside & (n >= 3 if exactly is None else n == exactly))
 
 
+def _close_pairs(x: np.ndarray, y: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of points within `radius` of each other, enough of them to connect all that are connected.
+
+    Points go into squares whose points all are within the radius; those of a
+    square are linked one to the next, and met with those of squares near by.
+    """
+    side = radius / np.sqrt(2) * (1 - 1e-9)
+    bx, by = np.floor(x / side).astype(np.int64), np.floor(y / side).astype(np.int64)
+    bx, by = bx - bx.min(), by - by.min()
+    wide = int(bx.max()) + 5
+    square = by * wide + bx
+    order = np.argsort(square, kind="stable")
+    square = square[order]
+    same = np.flatnonzero(square[1:] == square[:-1])
+    first, second = [order[same]], [order[same + 1]]
+    for step in (1, 2, *(dy * wide + dx for dy in (1, 2) for dx in range(-2, 3))):
+        low, high = np.searchsorted(square, square + step), np.searchsorted(square, square + step, side="right")
+        n = high - low
+        a, b = np.repeat(np.arange(len(order)), n), np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        a, b = order[a], order[b]
+        ok = (x[a] - x[b]) ** 2 + (y[a] - y[b]) ** 2 <= radius * radius
+        first.append(a[ok])
+        second.append(b[ok])
+    return np.concatenate(first), np.concatenate(second)
+
+
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index that pairs (a, b) connect each of `n` points to."""
+    low = np.arange(n)
+    while True:
+        u, v = low[a], low[b]
+        if (u == v).all():
+            return low
+        np.minimum.at(low, np.maximum(u, v), np.minimum(u, v))
+        while (low[low] != low).any():
+            low = low[low]
+
+
+def connected(points: DataFrame, radius: float, side: int | None = None) -> DataFrame:
+    """`snapshot_id`, `x`, `y`, `component` (its first point, as `y`, `x`) and `tile` of distinct points: those within `radius` of each other, taken on.
+
+    Tiles of `side` (`TILE` if not given) by `side` are connected within a task each; only points
+    close to a tile's border meet those of other tiles, and only their parts
+    go through rounds of joins.
+    """
+    side = side or TILE
+    tile = lambda c: F.floor(F.col(c) / side)
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    schema = f"snapshot_id {kinds['snapshot_id']}, tile_x long, tile_y long, x {kinds['x']}, y {kinds['y']}, part_y {kinds['y']}, part_x {kinds['x']}"
+
+    def parts(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "x"], kind="stable").reset_index(drop=True)
+        low = _joined(len(pdf), *_close_pairs(pdf.x.to_numpy(float), pdf.y.to_numpy(float), radius))
+        pdf["part_y"], pdf["part_x"] = pdf.y.to_numpy()[low], pdf.x.to_numpy()[low]
+        return pdf
+
+    own = points.select("snapshot_id", "x", "y").where("x is not null and y is not null").distinct().withColumns({"tile_x": tile("x"), "tile_y": tile("y")})
+    local = own.select("snapshot_id", "tile_x", "tile_y", "x", "y").groupBy("snapshot_id", "tile_x", "tile_y").applyInPandas(parts, schema)
+    local = keep(local.withColumn("part", F.struct(F.col("part_y").alias("y"), F.col("part_x").alias("x"))).drop("part_y", "part_x"), "parts")
+
+    edge = lambda c: (F.col(c) - F.col(f"tile_{c}") * side < radius) | ((F.col(f"tile_{c}") + 1) * side - F.col(c) <= radius)
+    border = local.where(edge("x") | edge("y")).withColumns({"bx": F.floor(F.col("x") / radius), "by": F.floor(F.col("y") / radius)})
+    places = F.array(*[F.struct((F.col("bx") + dx).alias("bx"), (F.col("by") + dy).alias("by")) for dx, dy in [(0, 0), *_NEAR]])
+    wide = border.select("snapshot_id", "tile_x", "tile_y", "x", "y", F.col("part").alias("u"), F.explode(places).alias("b")).select("*", "b.bx", "b.by").drop("b")
+    other = border.select("snapshot_id", "bx", "by", *[F.col(c).alias(f"_{c}") for c in ("tile_x", "tile_y", "x", "y")], F.col("part").alias("v"))
+    dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
+    met = wide.join(other, ["snapshot_id", "bx", "by"]).where((F.struct("tile_x", "tile_y") < F.struct("_tile_x", "_tile_y")) & (dx * dx + dy * dy <= radius * radius))
+    low = reachable(met.select("snapshot_id", "u", "v").distinct(), ("snapshot_id",)).withColumnRenamed("id", "part")
+    out = local.join(low, ["snapshot_id", "part"], "left")
+    return out.select("snapshot_id", "x", "y", F.coalesce("low", "part").alias("component"), F.struct("tile_x", "tile_y").alias("tile"))
+
+
 def clusters(points: DataFrame, radius: float = 2.0) -> DataFrame:
     """Add `vertex_id` (from 0, by place), `vx`, `vy`: points within `radius` of each other, taken on, and their rounded mean."""
-    side = max(radius, 1e-9)
-    cell = lambda c: F.floor(F.col(c) / side)
-    point = F.struct("y", "x").alias("id")
-    own = points.select("snapshot_id", point, cell("x").alias("bx"), cell("y").alias("by"))
-    places = F.array(*[F.struct((F.col("bx") + dx).alias("bx"), (F.col("by") + dy).alias("by")) for dx, dy in [(0, 0), *_NEAR]])
-    wide = own.select("snapshot_id", F.col("id").alias("u"), F.explode(places).alias("b")).select("snapshot_id", "u", "b.bx", "b.by")
-    pairs = wide.join(own.withColumnRenamed("id", "v"), ["snapshot_id", "bx", "by"]).where("u < v")
-    dx, dy = F.col("u.x") - F.col("v.x"), F.col("u.y") - F.col("v.y")
-    found = components(own, pairs.where(dx * dx + dy * dy <= radius * radius))
-    middle = found.groupBy("snapshot_id", "component").agg(*[F.bround(F.avg(f"id.{c}")).cast("int").alias(f"v{c}") for c in ("x", "y")])
+    found = keep(connected(points, radius).drop("tile"), "found")
+    middle = found.groupBy("snapshot_id", "component").agg(*[F.bround(F.avg(c)).cast("int").alias(f"v{c}") for c in ("x", "y")])
     number = F.row_number().over(Window.partitionBy("snapshot_id").orderBy("vy", "vx", "component")) - 1
     named = middle.withColumn("vertex_id", number)
-    return found.join(named, ["snapshot_id", "component"]).select("snapshot_id", "id.x", "id.y", "vertex_id", "vx", "vy")
+    return found.join(named, ["snapshot_id", "component"]).select("snapshot_id", "x", "y", "vertex_id", "vx", "vy")
+
+
+def _peeled(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """True for pixels that stay when those with just one neighbour are dropped, all at once, until none has."""
+    at = {p: i for i, p in enumerate(zip(x.tolist(), y.tolist(), strict=True))}
+    near = [[at[q] for dx, dy in _NEAR if (q := (px + dx, py + dy)) in at] for px, py in at]
+    count, there = [len(n) for n in near], [True] * len(near)
+    ends = [i for i, n in enumerate(count) if n == 1]
+    while ends:
+        for i in ends:
+            there[i] = False
+        touched = {j for i in ends for j in near[i] if there[j]}
+        for i in ends:
+            for j in near[i]:
+                count[j] -= 1
+        ends = [j for j in touched if count[j] == 1]
+    return np.array(there, bool)
+
+
+def _in_cycles(pixels: DataFrame) -> DataFrame:
+    """Pixels left of components that have a cycle: each round takes all chains that end, from their ends to where they branch."""
+    left, (n, _) = keep_observed(pixels, "pixels")
+    while n:
+        counted = keep(neighbour_counts(left), "counted")
+        ends = counted.where("neighbours = 1").select(*KEY)
+        if ends.isEmpty():
+            break
+        chains = keep(connected(counted.where("neighbours <= 2"), BESIDE).select(*KEY, "component"), "chains")
+        gone = chains.join(ends, KEY, "left_semi").select("snapshot_id", "component").distinct()
+        old = left
+        left, (n, _) = keep_observed(left.join(chains.join(gone, ["snapshot_id", "component"], "left_semi"), KEY, "left_anti"), "pixels")
+        forget(old, counted, chains)
+    return left
 
 
 def without_spurs(pixels: DataFrame) -> DataFrame:
-    """Pixels that stay when those with just one neighbour are dropped, all at once, until none has."""
-    left, (n, _) = keep_observed(pixels.select(*KEY).distinct(), "pixels")
+    """Pixels that stay when those with just one neighbour are dropped, all at once, until none has.
+
+    Of a component with a cycle the pixels in cycles and between them stay:
+    rounds grow with the logarithm of the branches of its spurs, whatever their
+    lengths. Of one without a cycle the middle pixel stays, if there is one:
+    such components are worked on within a task if one tile holds them, others
+    by a round for each pixel of half their length.
+    """
+    found = keep(connected(pixels, BESIDE), "found")
+    degrees = found.select(*KEY, "component", "tile").join(neighbour_counts(found.select(*KEY)), KEY)
+    kinds = degrees.groupBy("snapshot_id", "component").agg((F.sum("neighbours") == 2 * (F.count("*") - 1)).alias("tree"), F.min("tile").alias("low"), F.max("tile").alias("high"))
+    kinds = keep(kinds.withColumn("within", F.col("low") == F.col("high")).drop("low", "high"), "kinds")
+    placed = keep(found.join(kinds, ["snapshot_id", "component"]), "placed")
+    forget(found, kinds)
+    out = _in_cycles(placed.where("not tree").select(*KEY))
+    kind = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
+    small = placed.where("tree and within").groupBy("snapshot_id", "tile").applyInPandas(lambda pdf: pdf.loc[_peeled(pdf.x.to_numpy(), pdf.y.to_numpy()), KEY], ", ".join(f"{c} {kind[c]}" for c in KEY))
+    left, (n, _) = keep_observed(placed.where("tree and not within").select(*KEY), "pixels")
     before = None
     while n != before:
         old, before = left, n
         left, (n, _) = keep_observed(neighbour_counts(left).where("neighbours <> 1").select(*KEY), "pixels")
         forget(old)
-    return left
+    return out.unionByName(small).unionByName(left)
 
 
 def traced_lines(pixels: DataFrame, members: DataFrame, tolerance: int = 1) -> DataFrame:
@@ -96,9 +213,7 @@ def traced_lines(pixels: DataFrame, members: DataFrame, tolerance: int = 1) -> D
     their pairs.
     """
     free = keep(pixels.select(*KEY).distinct().join(members.select(*KEY), KEY, "left_anti"), "paths")
-    here = free.select("snapshot_id", "x", "y", F.struct("y", "x").alias("v"))
-    links = _around(free).join(here, KEY).select("snapshot_id", F.struct(F.col("py").alias("y"), F.col("px").alias("x")).alias("u"), "v")
-    paths = components(free.select("snapshot_id", F.struct("y", "x").alias("id")), links).select("snapshot_id", "id.x", "id.y", F.col("component").alias("path"))
+    paths = connected(free, BESIDE).select(*KEY, F.col("component").alias("path"))
     ends = _around(members.select(*KEY, "vertex_id"), tolerance).join(members.select("snapshot_id", F.col("x").alias("px"), F.col("y").alias("py"), "vertex_id"), ["snapshot_id", "px", "py"])
     touched = keep(ends.join(paths, KEY).select("snapshot_id", "path", "vertex_id").distinct(), "ends")
     pairs = touched.withColumnRenamed("vertex_id", "v1").join(touched.withColumnRenamed("vertex_id", "v2"), ["snapshot_id", "path"])
