@@ -38,7 +38,7 @@ WORDS, BANDS, ROWS = 5, 22, 6
 #: Bits of the bitmap of ids.
 SLOTS = 1 << 27
 #: Members of one block in step 4, comparisons with one copy of a set in step 3, and bytes of text that are worked on at once.
-BLOCK, STARS, BATCH_BYTES = 128, 128, 1_000_000
+BLOCK, STARS, BATCH_BYTES = 128, 128, 400_000
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)

@@ -28,7 +28,7 @@ from .common import blocks, keep, keep_observed, parts, with_before
 
 WINDOW, END_ID, GROUP_PIECES = 2048, 1, 5000
 #: Characters of words whose ids a worker remembers, and bytes of text that it works on at once (one text at least).
-CACHE_CHARS, BATCH_BYTES = 6_000_000, 500_000
+CACHE_CHARS, BATCH_BYTES = 3_000_000, 500_000
 #: A space before a visible character always starts a token of its own with what follows, so texts may be cut there.
 _CUT = re.compile(r" (?=\S)")
 
