@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +29,23 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame, tolerance: float, key
     return best.select("snapshot_id", key, "best.vertex_id", F.sqrt("best.d").alias("distance"))
 
 
-def holding_polygons(points: DataFrame, rings: DataFrame, cell: float, key: str = "point_id") -> DataFrame:
+def holding_polygons(points: DataFrame, rings: DataFrame, cell: float | None = None, key: str = "point_id") -> DataFrame:
     """`snapshot_id`, `key`, `polygon_id` for each polygon that holds a point: an odd number of its edges lies to the point's right.
 
-    Points meet the polygons whose bounding boxes reach into their grid cell;
-    `cell` should be about as wide as a polygon.
+    Each polygon is laid into a grid whose cells are the power of two that its
+    bounding box just fits into, so it lies in four cells at most, whatever its
+    size; a point is looked up once in each grid in use. `cell` is the width of
+    the finest grid, for tables whose polygons are much alike.
     """
     (x0, x1), (y0, y1) = extent(F.col("ring"), "x"), extent(F.col("ring"), "y")
-    at = lambda v: F.floor(v / cell)
-    boxes = rings.withColumn("bx", F.explode(F.sequence(at(x0), at(x1)))).withColumn("by", F.explode(F.sequence(at(y0), at(y1))))
-    met = points.withColumns({"bx": at(F.col("x")), "by": at(F.col("y"))}).join(boxes, ["snapshot_id", "bx", "by"])
+    finest = math.ceil(math.log2(cell)) if cell else -20
+    level = F.greatest(F.lit(finest), F.ceil(F.log2(F.greatest(x1 - x0, y1 - y0, F.lit(2.0**finest)))).cast("int"))
+    at = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("level")))
+    laid = rings.withColumn("level", level)
+    levels = [r.level for r in laid.select("level").distinct().where("level is not null").collect()]  # exponents of numbers: at most some two thousand
+    boxes = laid.withColumn("bx", F.explode(F.sequence(at(x0), at(x1)))).withColumn("by", F.explode(F.sequence(at(y0), at(y1))))
+    looked_up = points.withColumn("level", F.explode(F.array(*map(F.lit, sorted(levels))).cast("array<int>")))
+    met = looked_up.withColumns({"bx": at(F.col("x")), "by": at(F.col("y"))}).join(boxes, ["snapshot_id", "level", "bx", "by"])
 
     def crosses(e):
         spans = (e["y1"] > F.col("y")) != (e["y2"] > F.col("y"))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
 from ..functions.tables import keep
 from . import evaluate
 from .feature_names import LABELS
@@ -173,10 +174,12 @@ def division_positions(pairs: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def feature_summary(features: DataFrame, labels: DataFrame, feature: str) -> DataFrame:
-    """Count, mean and quartiles of a feature for labelled and other pairs."""
-    rows = features.join(labels.select(*PAIR).distinct().withColumn("real", F.lit(True)), PAIR, "left").withColumn("real", F.coalesce("real", F.lit(False)))
-    quartile = lambda q: F.percentile(feature, F.lit(q))
-    return rows.groupBy("real").agg(F.count(feature).alias("n"), F.avg(feature).alias("mean"), *[quartile(q).alias(f"q{int(100 * q)}") for q in (0.25, 0.5, 0.75)])
+    """Count, mean and quartiles of a feature for labelled and other pairs; undefined values don't count."""
+    rows = features.join(labels.select(*PAIR).distinct().withColumn("real", F.lit(True)), PAIR, "left")
+    value = F.col(feature).cast("double")
+    rows = keep(rows.select(F.coalesce("real", F.lit(False)).alias("real"), F.when(~F.isnan(value), value).alias("value")), "values")
+    quartiles = quantiles(rows, ["real"], "value", (0.25, 0.5, 0.75))
+    return rows.groupBy("real").agg(F.count("value").alias("n"), F.avg("value").alias("mean")).join(quartiles, "real", "left")
 
 
 def matched_sweep(features: DataFrame, pairs: DataFrame, labels: DataFrame, feature: str, thresholds: list[float], mode: str = GREEDY, above: bool = True) -> DataFrame:

@@ -28,8 +28,9 @@ def read_networks(spark: SparkSession, path: str, tidy: bool = False) -> tuple[N
 
     Lines with a missing end, and polygons with fewer than three or with
     missing vertices, are left out. The file name without its extension is the snapshot.
-    A file without vertices is an error and gives nothing else; of a vertex id
-    that repeats the last counts. Stored pairs of polygons that stay are
+    A file without vertices is an error and gives nothing else; of a vertex or
+    polygon id that repeats the last counts, and a polygon whose list of
+    vertices is null has none. Stored pairs of polygons that stay are
     `pairs`; networks hold no labels. `tidy` also leaves out lines of no
     length, all but the first of lines between the same vertices, and rounds coordinates.
     """
@@ -49,7 +50,9 @@ def networks_of(docs: DataFrame, tidy: bool = False) -> tuple[Network, DataFrame
         vertices = vertices.withColumns({c: F.floor(F.col(c) + 0.5).cast("double") for c in ("x", "y")})
     known = vertices.select("snapshot_id", "vertex_id")
     lines = docs.select("snapshot_id", F.explode("lines").alias("l")).select("snapshot_id", F.col("l.id").alias("line_id"), F.col("l.startVertexId").alias("v1"), F.col("l.endVertexId").alias("v2"))
-    polygons = docs.select("snapshot_id", F.explode("polygons").alias("p")).select("snapshot_id", F.col("p.id").alias("polygon_id"), F.col("p.vertexIds").alias("vertex_ids"))
+    polygons = docs.select("snapshot_id", F.posexplode("polygons").alias("at", "p")).groupBy("snapshot_id", F.col("p.id").alias("polygon_id")).agg(F.max_by("p", "at").alias("p"), F.count("*").alias("n"))
+    twice = polygons.where("n > 1")
+    polygons = polygons.select("snapshot_id", "polygon_id", F.coalesce("p.vertexIds", F.array().cast("array<int>")).alias("vertex_ids"))
 
     good = lines
     for end in ("v1", "v2"):
@@ -72,6 +75,7 @@ def networks_of(docs: DataFrame, tidy: bool = False) -> tuple[Network, DataFrame
         pairs = pairs.join(whole.select("snapshot_id", F.col("polygon_id").alias(end)).distinct(), ["snapshot_id", end], "left_semi")
     unknown = named.join(pairs, ["snapshot_id", "first_id", "second_id"], "left_anti")
     issues = issues.union(issue(unknown, "pair_without_polygon", F.concat_ws(" ", "first_id", "second_id"))).union(issue(again, "vertex_repeated", "vertex_id"))
+    issues = issues.union(issue(twice, "polygon_repeated", "polygon_id"))
     issues = issues.union(issue(bare, "no_vertices", F.lit(None), "error"))
     none = docs.where(F.lit(False)).select("snapshot_id", *[F.lit(None).cast("int").alias(c) for c in ("first_id", "second_id", "division_time")])
     return Network(vertices, good, whole, none, pairs.select("snapshot_id", "first_id", "second_id")), issues
