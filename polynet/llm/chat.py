@@ -98,8 +98,8 @@ def kind_paths(kind: str) -> frozenset[str] | None:
         nonlocal at
         word, at = marks[at], at + 1
         if word == "ARRAY":
-            at += 2
-            found, at = walk(f"{path}[]"), at
+            at += 1
+            found = walk(f"{path}[]")
         elif word == "OBJECT":
             at += 1
             found: set[str] = set()

@@ -28,7 +28,7 @@ from .common import blocks, keep, keep_observed, parts, with_before
 
 WINDOW, END_ID, GROUP_PIECES = 2048, 1, 5000
 #: Characters of words whose ids a worker remembers, and bytes of text that it works on at once (one text at least).
-CACHE_CHARS, BATCH_BYTES = 3_000_000, 500_000
+CACHE_CHARS, BATCH_BYTES = 6_000_000, 500_000
 #: A space before a visible character always starts a token of its own with what follows, so texts may be cut there.
 _CUT = re.compile(r" (?=\S)")
 
@@ -49,8 +49,8 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {}
         self.chars = 0
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.chars > CACHE_CHARS:
+    def encode(self, texts: list[str], most: int = CACHE_CHARS) -> list[np.ndarray]:
+        if self.chars > most:
             self.forget()
         split = [t.split(" ") for t in texts]
         known = self.known  # by the word without the space that stands before it
@@ -134,7 +134,7 @@ def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int], int
     return windows, offsets, number
 
 
-def pieces(docs: DataFrame, key: str, text: str, path: str, window: int, end_id: int, with_ids: bool) -> DataFrame:
+def pieces(docs: DataFrame, key: str, text: str, path: str, window: int, end_id: int, with_ids: bool, cache_chars: int) -> DataFrame:
     """Documents as token pieces: full windows, then the rest. A null text is empty and has the end id alone."""
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, start long, length int, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
@@ -145,7 +145,7 @@ def pieces(docs: DataFrame, key: str, text: str, path: str, window: int, end_id:
             for a, b in blocks(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False) + 1, BATCH_BYTES):
                 part = batch.slice(a, b - a)
                 rows, columns = [], []
-                for i, ids in enumerate(known.encode([t or "" for t in part.column(1).to_pylist()])):
+                for i, ids in enumerate(known.encode([t or "" for t in part.column(1).to_pylist()], cache_chars)):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for start in range(0, len(ids), window):
                         piece = ids[start : start + window]
@@ -158,15 +158,16 @@ def pieces(docs: DataFrame, key: str, text: str, path: str, window: int, end_id:
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, path: str | None = None, group_pieces: int = GROUP_PIECES, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, path: str | None = None, group_pieces: int = GROUP_PIECES, with_ids: bool = False, cache_chars: int = CACHE_CHARS) -> DataFrame:
     """One row a piece: `key`, `start`, `length`, `ids_crc32`, `doc_tokens`, `sequence_id`, `offset` (and `ids`).
 
     Each document is its text's ids and the end id; each id lies in exactly
     one piece. Null and empty texts are the end id alone. Rows with equal keys
-    are documents of their own. Extra columns are ignored. Sequence numbers
+    are documents of their own. Extra columns are ignored. A worker remembers
+    the ids of words of `cache_chars` characters together. Sequence numbers
     are gapless over the whole table; an empty table gives an empty result.
     """
-    numbered = pieces(docs, key, text, path or public_tokenizers.path("byte_bpe_50k.json"), window, end_id, with_ids).withColumn("_piece", F.monotonically_increasing_id())
+    numbered = pieces(docs, key, text, path or public_tokenizers.path("byte_bpe_50k.json"), window, end_id, with_ids, cache_chars).withColumn("_piece", F.monotonically_increasing_id())
     cut, (n_pieces, _) = keep_observed(numbered, "pieces")
     groups = parts(n_pieces, group_pieces)
     grouped = cut.withColumn("pack", F.pmod(F.xxhash64("_piece"), F.lit(groups))).drop("_piece")
