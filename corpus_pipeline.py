@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polynet.llm import minhash, mixing, packing, quality, toxicity
-from polynet.llm.common import keep, remainder, short_batches, table
+from polynet.llm.common import forget, keep, remainder, short_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near-duplicates share 80 of 100 shingles; 32 bands of 6 miss one pair in 17,000 at that similarity.
 NEAR_PERCENT, NEAR_BANDS = 80, 32
+#: A worker that has run the stages before holds what they left, so the last one remembers half as many words.
+CACHE_CHARS = 3_000_000
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +68,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of one window."""
     short_batches(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, cache_chars=CACHE_CHARS)
 
 
 STAGES = [
@@ -85,5 +87,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, from `documents`; each stage's rows are written as a table and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        before, docs = docs, keep(stage(spark, docs, sf_dir), name)
+        forget(before)  # the tables of earlier stages; `documents` is no kept table and stays
     return STAGES[-1][1](spark, docs, sf_dir)
