@@ -204,7 +204,20 @@ def estimate_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match(_candidates(mesh(spark, sf_dir)), matching.GREEDY).select(*PAIR)
 
 
-@query()
+#: Every matching of each connected component, pair by pair; components of the walls are short rows of cells, so there are few.
+@query(""", cand AS MATERIALIZED (SELECT s, a, b, mean - 145 AS score FROM junction WHERE mean > 145),
+linked AS MATERIALIZED (SELECT s, a AS u, b AS v FROM cand UNION SELECT s, b, a FROM cand),
+reach AS (SELECT DISTINCT s, u, u AS v FROM linked UNION SELECT r.s, r.u, l.v FROM reach r JOIN linked l ON l.s = r.s AND l.u = r.v),
+part AS MATERIALIZED (SELECT s, u, min(v) AS c FROM reach GROUP BY s, u),
+placed AS MATERIALIZED (SELECT cand.*, c, row_number() OVER (PARTITION BY cand.s, c ORDER BY a, b) AS k FROM cand JOIN part ON part.s = cand.s AND part.u = a),
+tried AS (
+  SELECT DISTINCT s, c, 0::BIGINT AS k, []::BIGINT[] AS used, 0::DOUBLE AS total FROM placed
+  UNION ALL
+  SELECT t.s, t.c, t.k + 1, CASE WHEN take THEN used || [p.a::BIGINT, p.b::BIGINT] ELSE used END, CASE WHEN take THEN total + p.score ELSE total END
+  FROM tried t JOIN placed p ON p.s = t.s AND p.c = t.c AND p.k = t.k + 1 CROSS JOIN (SELECT unnest([true, false]) AS take)
+  WHERE NOT take OR NOT (list_contains(used, p.a) OR list_contains(used, p.b))),
+best AS (SELECT s, c, arg_max(used, (k, total)) AS used FROM tried GROUP BY s, c)
+SELECT s AS snapshot_id, used[2 * i + 1] AS first_id, used[2 * i + 2] AS second_id FROM (SELECT s, used, unnest(range(len(used) // 2)) AS i FROM best)""")
 def estimate_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match(_candidates(mesh(spark, sf_dir)), matching.GLOBAL).select(*PAIR)
 

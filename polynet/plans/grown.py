@@ -58,7 +58,7 @@ def grown_estimate_unconstrained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*PAIR, _r("value").alias("value"), _r("score").alias("score"))
 
 
-@query()
+@query(_sql("estimate_global"))
 def grown_estimate_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match(_candidates(customer_mesh(spark, sf_dir)), matching.GLOBAL).select(*PAIR)
 

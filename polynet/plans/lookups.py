@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, faces, rules, topology
+from ..operators import evaluate, faces, places, rules, topology
 from ..operators.adjacency import neighbours, relations
 from ..operators.cells import cell_geometry, rings
 from ..sources.mesh import mesh
-from ..sources.networks import networks_of
+from ..sources.networks import networks_of, plain_label_lines
 from .catalogue import FEATURE, PAIR, _candidates, _cells, _features, _r, query
 
 MOST = "junctionAngleMaxDegrees"
@@ -168,3 +168,33 @@ def rings_counter_clockwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     area = cell_geometry(rings(net.vertices, turned)).select("snapshot_id", "polygon_id", "signed_area")
     ring = faces.counter_clockwise(F.col("vertex_ids"), F.col("signed_area"))
     return turned.join(area, ["snapshot_id", "polygon_id"]).select("snapshot_id", "polygon_id", F.array_join(ring, ":").alias("ring"))
+
+
+@query(""", numbered AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY a, b) AS k FROM labels)
+SELECT s AS snapshot_id, k AS line, CASE WHEN k % 6 NOT IN (3, 5) THEN a END AS first_id, CASE WHEN k % 6 NOT IN (3, 5) THEN b END AS second_id,
+ CASE k % 6 WHEN 0 THEN t WHEN 1 THEN -1 WHEN 2 THEN -1 END AS division_time, CASE k % 6 WHEN 2 THEN 'label_time_unreadable' WHEN 3 THEN 'label_without_ids' WHEN 5 THEN 'label_without_ids' END AS problem
+FROM numbered WHERE k % 6 <> 4""")
+def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of label files, some without ids, without a readable time, or blank: the labels and what is wrong with the others."""
+    labels = mesh(spark, sf_dir).labels
+    k = F.row_number().over(Window.partitionBy("snapshot_id").orderBy("first_id", "second_id"))
+    a, b, t = (F.col(c).cast("string") for c in ("first_id", "second_id", "division_time"))
+    kind, said = F.col("k") % 6, lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    text = F.when(kind == 0, said(a, ",", b, ",", t)).when(kind == 1, said(" ", b, "; ", a)).when(kind == 2, said(a, " ", b, "\tsoon")).when(kind == 3, said(a, " only")).when(kind == 4, said("  ")).otherwise(said("x,", b, ",", t))
+    lines = labels.withColumn("k", k).select("snapshot_id", F.col("k").cast("long").alias("line"), text.alias("text"))
+    header = labels.select("snapshot_id").distinct().select("snapshot_id", F.lit(0).cast("long").alias("line"), F.lit("first,second,time").alias("text"))
+    found = plain_label_lines(header.union(lines))
+    return found.select("snapshot_id", "line", *[F.col(c).cast("long").alias(c) for c in ("first_id", "second_id", "division_time")], "problem")
+
+
+@query(""", est AS (SELECT s, a, b FROM junction WHERE mean >= 145), every AS (
+  SELECT s, a, b, bool_or(e) AS e, bool_or(r) AS r FROM (SELECT s, a, b, true AS e, false AS r FROM est UNION ALL SELECT s, a, b, false, true FROM labels UNION ALL SELECT s, a, b, false, false FROM pairs) GROUP BY s, a, b)
+SELECT p.s AS snapshot_id, (SELECT count(*) FROM vertices v WHERE v.s = p.s) AS vertices, (SELECT count(*) FROM (SELECT DISTINCT e.s, lo, hi FROM edge e) e WHERE e.s = p.s) AS lines,
+ (SELECT count(*) FROM polygons q WHERE q.s = p.s) AS polygons, count(*) FILTER (r) AS real_pairs, count(*) FILTER (e) AS estimated_pairs, count(*) FILTER (e AND r) AS true_positive,
+ count(*) FILTER (e AND NOT r) AS false_positive, count(*) FILTER (r AND NOT e) AS false_negative, count(*) FILTER (NOT r AND NOT e) AS true_negative FROM every p GROUP BY p.s""")
+def snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nine counts of a snapshot: its elements, pairs labelled and inferred, and how they agree."""
+    net = mesh(spark, sf_dir)
+    flags = evaluate.flagged(neighbours(net.polygons), _candidates(net), net.labels)
+    elements = places.element_counts(vertices=net.vertices, lines=net.lines, polygons=net.polygons)
+    return elements.join(evaluate.counts(flags, ["snapshot_id"]).drop("neighbor_pairs"), "snapshot_id")

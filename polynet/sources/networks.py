@@ -93,48 +93,49 @@ def _label_lines(spark: SparkSession, path: str) -> DataFrame:
     return chosen.select("snapshot_id", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Label files `<snapshot>_real_division_pairs.csv|txt`: `snapshot_id`, `first_id`, `second_id`, `division_time`.
+#: What is wrong with a line of a label file: it gives no pair, or a pair whose time can't be read.
+NO_IDS, NO_TIME = "label_without_ids", "label_time_unreadable"
+
+
+def plain_label_lines(lines: DataFrame) -> DataFrame:
+    """`snapshot_id`, `line`, `first_id`, `second_id`, `division_time`, `problem` of lines (`snapshot_id`, `line`, `text`) of label files.
 
     A first line that starts with neither digit nor minus is a header; fields
     are parted by commas, semicolons or white space; a time that is no number is
-    -1, a missing one too; lines without two ids are left out; of repeated
-    pairs the last counts. Of a snapshot's files one is read: `.csv` before
-    `.txt` before a file named as the snapshot alone.
+    -1, a missing one too. Without two ids a line gives null ids; blank lines and headers are left out.
     """
-    lines = _label_lines(spark, path)
-    fields = lines.withColumn("f", F.filter(F.split(F.trim("text"), r"[,;\s]+"), lambda x: x != ""))
-    number = lambda i: F.try_element_at("f", F.lit(i)).try_cast("int")
-    a, b = number(1), number(2)
-    rows = fields.where(a.isNotNull() & b.isNotNull()).select("snapshot_id", "line", F.least(a, b).alias("first_id"), F.greatest(a, b).alias("second_id"), F.coalesce(number(3), F.lit(-1)).alias("division_time"))
-    return rows.groupBy("snapshot_id", "first_id", "second_id").agg(F.max_by("division_time", "line").alias("division_time"))
+    lines = lines.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))).where("text <> ''").where((F.col("line") > 0) | F.col("text").rlike("^[-0-9]"))
+    fields = lines.withColumn("f", F.filter(F.split("text", r"[,;\s]+"), lambda x: x != ""))
+    field = lambda i: F.try_element_at("f", F.lit(i))
+    a, b, time = (field(i).try_cast("int") for i in (1, 2, 3))
+    problem = F.when(a.isNull() | b.isNull(), NO_IDS).when(time.isNull() & field(3).isNotNull(), NO_TIME)
+    return _ordered_pair(fields, a, b, F.coalesce(time, F.lit(-1)), problem)
 
 
-def read_strict_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Label files whose fields are parted by white space alone: `snapshot_id`, `first_id`, `second_id`, `division_time`.
+def strict_label_lines(lines: DataFrame) -> DataFrame:
+    """As `plain_label_lines`, for fields parted by white space alone.
 
     A first line that doesn't start with a digit is a header, so one that
     starts with a minus too. A line with a field of its first three that is no
-    whole number is left out; a missing time is -1; of repeated pairs the last counts.
+    whole number gives null ids; a missing time is -1.
     """
-    lines = _label_lines(spark, path).withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
+    lines = lines.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
     lines = lines.where("text <> ''").where((F.col("line") > 0) | F.col("text").rlike("^[0-9]"))
-    number = lambda i: F.try_element_at(F.split("text", " "), F.lit(i))
-    a, b, time = (number(i).try_cast("int") for i in (1, 2, 3))
-    good = lines.where(a.isNotNull() & b.isNotNull() & (time.isNotNull() | number(3).isNull()))
-    rows = good.select("snapshot_id", "line", F.least(a, b).alias("first_id"), F.greatest(a, b).alias("second_id"), F.coalesce(time, F.lit(-1)).alias("division_time"))
-    return rows.groupBy("snapshot_id", "first_id", "second_id").agg(F.max_by("division_time", "line").alias("division_time"))
+    field = lambda i: F.try_element_at(F.split("text", " "), F.lit(i))
+    a, b, time = (field(i).try_cast("int") for i in (1, 2, 3))
+    unread = time.isNull() & field(3).isNotNull()
+    problem = F.when(a.isNull() | b.isNull(), NO_IDS).when(unread, NO_TIME)
+    return _ordered_pair(lines, F.when(~unread, a), b, F.coalesce(time, F.lit(-1)), problem)
 
 
-def read_mixed_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Label files whose lines may be in three layouts: ids and time; file name, ids and time; rows of a pair-geometry table.
+def mixed_label_lines(lines: DataFrame) -> DataFrame:
+    """As `plain_label_lines`, for lines in three layouts: ids and time; file name, ids and time; rows of a pair-geometry table.
 
     Of a pair-geometry row (file, number, ids, observed, time) only observed
-    pairs count. Fields may be quoted, whole numbers written as `37.0`. Lines
-    that begin with `#` and lines without two ids are left out; a missing time
-    is -1; of repeated pairs the first counts.
+    pairs count; others are no problem. Fields may be quoted, whole numbers
+    written as `37.0`. Lines that begin with `#` are left out; a first line without ids is a header; a missing time is -1.
     """
-    lines = _label_lines(spark, path).withColumn("text", F.trim("text")).where("text <> '' and not startswith(text, '#')")
+    lines = lines.withColumn("text", F.trim("text")).where("text <> '' and not startswith(text, '#')")
     fields = F.when(F.contains(F.col("text"), F.lit(",")), F.split("text", ",")).otherwise(F.split("text", r"\s+"))
     rows = lines.withColumn("f", F.transform(fields, lambda x: F.trim(F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"))))
 
@@ -144,14 +145,54 @@ def read_mixed_labels(spark: SparkSession, path: str) -> DataFrame:
 
     def layout(first: int, time: int) -> Column:
         known = whole(first).isNotNull() & whole(first + 1).isNotNull()
-        when = F.try_element_at("f", F.lit(time)).try_cast("double").cast("int")
-        return F.when(known, F.struct(whole(first).alias("a"), whole(first + 1).alias("b"), F.coalesce(when, F.lit(-1)).alias("t")))
+        text = F.try_element_at("f", F.lit(time))
+        when = text.try_cast("double").cast("int")
+        return F.when(known, F.struct(whole(first).alias("a"), whole(first + 1).alias("b"), F.coalesce(when, F.lit(-1)).alias("t"), (when.isNull() & (text != "")).alias("unread")))
 
     geometry = (F.size("f") >= 6) & whole(3).isNotNull() & whole(4).isNotNull() & whole(5).isNotNull()
     found = F.when(geometry, F.when(whole(5) != 0, layout(3, 6))).otherwise(F.coalesce(layout(1, 3), layout(2, 4)))
-    rows = rows.withColumn("p", found).where(F.col("p").isNotNull())
-    pairs = rows.select("snapshot_id", "line", F.least("p.a", "p.b").alias("first_id"), F.greatest("p.a", "p.b").alias("second_id"), F.col("p.t").alias("division_time"))
-    return pairs.groupBy("snapshot_id", "first_id", "second_id").agg(F.min_by("division_time", "line").alias("division_time"))
+    rows = rows.withColumn("p", found).withColumn("geometry", geometry).where("p is not null or line > 0")
+    problem = F.when(F.col("p").isNull(), F.when(~F.col("geometry"), NO_IDS)).when(F.col("p.unread"), NO_TIME)
+    return _ordered_pair(rows, F.col("p.a"), F.col("p.b"), F.col("p.t"), problem)
+
+
+def _ordered_pair(rows: DataFrame, a: Column, b: Column, time: Column, problem: Column) -> DataFrame:
+    both = a.isNotNull() & b.isNotNull()
+    return rows.select("snapshot_id", "line", F.when(both, F.least(a, b)).alias("first_id"), F.when(both, F.greatest(a, b)).alias("second_id"), F.when(both, time).alias("division_time"), problem.alias("problem"))
+
+
+def label_issues_of(parsed: DataFrame) -> DataFrame:
+    """`snapshot_id`, `severity`, `code`, `detail` (the number of the line, from 1): lines that gave no label, or one without its time."""
+    return parsed.where("problem is not null").select("snapshot_id", F.lit("warning").alias("severity"), F.col("problem").alias("code"), (F.col("line") + 1).cast("string").alias("detail"))
+
+
+def _labels_of(parsed: DataFrame, which) -> DataFrame:
+    return parsed.where("first_id is not null").groupBy("snapshot_id", "first_id", "second_id").agg(which("division_time", "line").alias("division_time"))
+
+
+def label_issues(spark: SparkSession, path: str, layout=plain_label_lines) -> DataFrame:
+    """`label_issues_of` the files of a folder, read as `layout` (one of the three functions above) reads them."""
+    return label_issues_of(layout(_label_lines(spark, path)))
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Label files `<snapshot>_real_division_pairs.csv|txt`: `snapshot_id`, `first_id`, `second_id`, `division_time`.
+
+    Lines are read as `plain_label_lines` says; of repeated pairs the last
+    counts. Of a snapshot's files one is read: `.csv` before `.txt` before a
+    file named as the snapshot alone. `label_issues` tells what was left out.
+    """
+    return _labels_of(plain_label_lines(_label_lines(spark, path)), F.max_by)
+
+
+def read_strict_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Label files as `strict_label_lines` reads them; of repeated pairs the last counts."""
+    return _labels_of(strict_label_lines(_label_lines(spark, path)), F.max_by)
+
+
+def read_mixed_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Label files as `mixed_label_lines` reads them; of repeated pairs the first counts."""
+    return _labels_of(mixed_label_lines(_label_lines(spark, path)), F.min_by)
 
 
 def repaired_labels(labels: DataFrame, polygons: DataFrame) -> DataFrame:

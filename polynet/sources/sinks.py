@@ -33,8 +33,10 @@ def number(value: Column) -> Column:
 
 
 def _observed(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Add `observed_division` and `division_timing` (-1: none), the largest time if a label is repeated."""
-    real = labels.groupBy(*PAIR).agg(F.max(F.coalesce("division_time", F.lit(-1))).alias("division_timing")).withColumn("observed_division", F.lit(1))
+    """Add `observed_division` and `division_timing` (-1: none): of a repeated label the last one's by `line`, if labels have that column, else the largest."""
+    time = F.coalesce("division_time", F.lit(-1))
+    when = F.max_by(time, "line") if "line" in labels.columns else F.max(time)
+    real = labels.groupBy(*PAIR).agg(when.alias("division_timing")).withColumn("observed_division", F.lit(1))
     return pairs.join(real, PAIR, "left").fillna({"observed_division": 0, "division_timing": -1})
 
 

@@ -11,7 +11,7 @@ from polynet.sources import alldata, networks, sinks
 from .test_networks import SF, TABLES, rows_of
 
 
-@pytest.mark.parametrize("name", ["compare_all_features", "polygons_by_vertices", "snapped_points", "polygon_order_by_points", "snapshots_skipped", "network_issues", "rule_list_report", "pair_surroundings", "cascade_delete_lines", "rings_counter_clockwise"])
+@pytest.mark.parametrize("name", ["compare_all_features", "polygons_by_vertices", "snapped_points", "polygon_order_by_points", "snapshots_skipped", "snapshot_counts", "network_issues", "rule_list_report", "pair_surroundings", "cascade_delete_lines", "rings_counter_clockwise"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
