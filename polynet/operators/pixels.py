@@ -7,31 +7,45 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import forget, keep, keep_observed
+from ..functions.tables import HOT_SHARE, forget, join_hot, keep, keep_observed
 from .graph import reachable
 
 KEY = ["snapshot_id", "x", "y"]
 #: Side of a tile that one task connects, and a distance that holds the eight pixels around one alone.
 TILE, BESIDE = 256, 1.5
+#: Slices that the values of a group are cut into.
+SLICES = 256
 _NEAR = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
 
 
-def otsu(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """`keys`, `threshold`: the value that parts each group's histogram with the largest variance between the parts.
+def otsu(values: DataFrame, keys: list[str], value: str, slices: int = SLICES) -> DataFrame:
+    """`keys`, `threshold`: the value that parts each group's values with the largest variance between the parts.
 
     Values up to the threshold are the lower part; ties go to the smallest
-    value. Nulls are left out. Works on a count for each distinct value, so
-    values should be quantised.
+    value. Nulls are left out. Different values are counted, cut into `slices`
+    of about as many by estimated quantiles, and added up within slices and
+    then over them, so no task sees all values of a group.
     """
-    histogram = values.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    below = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    sums = histogram.select(*keys, "v", *[F.sum(c).over(w).alias(name) for c, w, name in (("n", below, "n0"), (F.col("n") * F.col("v"), below, "s0"), ("n", whole, "n1"), (F.col("n") * F.col("v"), whole, "s1"))])
+    counted = values.where(F.col(value).isNotNull()).groupBy(F.struct(*keys).alias("_g"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    counted, (rows, _) = keep_observed(counted, "counted")
+    cuts = F.percentile_approx("v", F.array(*[F.lit(i / slices) for i in range(1, slices)]), F.lit(10 * slices)).alias("_cuts")
+    bounds = keep(counted.groupBy("_g").agg(cuts, F.count("*").alias("_rows")), "bounds")
+    steps = F.array(*[F.lit(1 << i) for i in range(slices.bit_length() - 1, -1, -1)])
+    part = F.aggregate(steps, F.lit(0), lambda done, step: F.when(F.get(F.col("_cuts"), done + step - 1) < F.col("v"), done + step).otherwise(done))
+    sliced = keep(join_hot(counted, bounds, ["_g"], rows / HOT_SHARE, rows="_rows").select("_g", "v", "n", (F.col("n") * F.col("v")).alias("s"), part.alias("_slice")), "sliced")
+    sums = sliced.groupBy("_g", "_slice").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    whole = Window.partitionBy("_g")
+    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    sums = sums.select("_g", "_slice", before("n").alias("_n"), before("s").alias("_s"), F.sum("n").over(whole).alias("n1"), F.sum("s").over(whole).alias("s1"))
+    below = Window.partitionBy("_g", "_slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    scanned = sliced.select("_g", "_slice", "v", F.sum("n").over(below).alias("n0"), F.sum("s").over(below).alias("s0")).join(sums, ["_g", "_slice"])
+    scanned = scanned.withColumns({"n0": F.col("n0") + F.col("_n"), "s0": F.col("s0") + F.col("_s")})
     rest = F.col("n1") - F.col("n0")
     apart = F.col("s0") / F.col("n0") - (F.col("s1") - F.col("s0")) / F.when(rest > 0, rest)
-    scored = sums.withColumn("score", F.coalesce(F.col("n0").cast("double") * rest * apart * apart, F.lit(0.0)))
+    scored = scanned.withColumn("score", F.coalesce(F.col("n0").cast("double") * rest * apart * apart, F.lit(0.0)))
     best = F.max_by("v", F.struct("score", -F.col("v")))
-    return scored.groupBy(*keys).agg(best.alias("threshold"))
+    return scored.groupBy("_g").agg(best.alias("threshold")).select("_g.*", "threshold")
 
 
 def binarised(pixels: DataFrame, threshold: float | None = None, invert: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import faces, pixels, places
 from ..operators.cells import rings
 from ..sources.mesh import mesh
-from .catalogue import _r, query
+from .catalogue import FEATURE, _features, _r, query
 
 WIDTH, HEIGHT = 100, 60
 
@@ -86,6 +86,16 @@ def otsu_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.otsu(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.floor("value").alias("level")), ["event_type"], "level")
 
 
+@query(""", h AS (SELECT s, mean AS v, count(*) AS n FROM junction WHERE mean IS NOT NULL GROUP BY ALL),
+c AS (SELECT s, v, sum(n) OVER w AS n0, sum(n * v) OVER w AS s0, sum(n) OVER a AS n1, sum(n * v) OVER a AS s1 FROM h WINDOW w AS (PARTITION BY s ORDER BY v), a AS (PARTITION BY s)),
+d AS (SELECT *, n0::DOUBLE * (n1 - n0)::DOUBLE * (s0 / n0 - (s1 - s0) / nullif(n1 - n0, 0)) ** 2 AS score FROM c)
+SELECT s AS snapshot_id, round(v, 4) AS threshold FROM d QUALIFY row_number() OVER (PARTITION BY s ORDER BY coalesce(score, 0) DESC, v) = 1""")
+def otsu_junction_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean junction angle that parts each snapshot's pairs best."""
+    found = pixels.otsu(_features(mesh(spark, sf_dir), "junction"), ["snapshot_id"], FEATURE)
+    return found.select("snapshot_id", _r("threshold").alias("threshold"))
+
+
 @query(""", half AS (SELECT DISTINCT s, unnest([lo, hi]) AS o, unnest([hi, lo]) AS d FROM edge WHERE (lo + hi) % 7 <> 0),
 ang AS (SELECT h.s, o, d, atan2(b.y - a.y, b.x - a.x) AS t FROM half h JOIN vertices a ON a.s = h.s AND a.v = o JOIN vertices b ON b.s = h.s AND b.v = d),
 star AS (SELECT s, o, d, coalesce(lag(d) OVER w, last_value(d) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS before
