@@ -10,7 +10,7 @@ NAMES = [n for n in catalogue.QUERIES if n.startswith("grown_") and n in catalog
 
 
 def test_snapshots_grow_with_the_table(spark):
-    assert grown.__name__ and len(NAMES) == 9
+    assert grown.__name__ and len(NAMES) == 10
     for sf, customers in (("sf0.001", 150), ("sf0.01", 1500)):
         net = customer_mesh(spark, f"/root/testdata/{sf}")
         assert net.vertices.count() == customers
