@@ -1,8 +1,10 @@
 """Geometric features of neighbouring polygons: 49 columns, each an expression on the two cells.
 
 Missing ratios are -1 and pass a "below" rule, as other missing values (null) do
-not. Two neighbours have disjoint insides and share a chain of edges, so the
-union's area, outline, centroid and boundary follow from the two rings.
+not. Two neighbours have disjoint insides. Where they share one chain of edges,
+the union's area, outline, centroid and boundary follow from the two rings; where
+they meet along several, its rings are walked, and each hole between the cells is a
+ring of its own. Rings count by their own areas, holes too, as the published tables have it.
 """
 
 from __future__ import annotations
@@ -74,10 +76,12 @@ def shared_edge() -> dict[str, Column]:
 
 def union_shape() -> dict[str, Column]:
     """Shape of both cells taken together, and how it lies to the longest shared edge."""
-    e = F.col("longest")
-    area = F.col("a.area") + F.col("b.area")
+    e, several = F.col("longest"), F.col("several")
+    size = lambda r: F.abs(r["signed"])
+    area = F.when(several, geo.total(F.col("outlines"), size)).otherwise(F.col("a.area") + F.col("b.area"))
     around = F.col("a.perimeter") + F.col("b.perimeter") - 2 * F.coalesce("sharedEdgeLength", F.lit(0.0))
-    cx, cy = ((F.col("a.area") * F.col(f"a.{c}") + F.col("b.area") * F.col(f"b.{c}")) / F.when(area > 0, area) for c in ("cx", "cy"))
+    weighted = {c: F.when(several, geo.total(F.col("outlines"), lambda r, c=c: r[f"m{c}"] * F.signum(r["signed"]) / 6)).otherwise(F.col("a.area") * F.col(f"a.c{c}") + F.col("b.area") * F.col(f"b.c{c}")) for c in ("x", "y")}
+    cx, cy = (weighted[c] / F.when(area > 0, area) for c in ("x", "y"))
     wide = lambda c: F.greatest(f"a.{c}1", f"b.{c}1") - F.least(f"a.{c}0", f"b.{c}0")
     hull = geo.hull_area(F.concat("a.ring", "b.ring"))
     dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
@@ -94,11 +98,63 @@ def union_shape() -> dict[str, Column]:
     }
 
 
+def with_outlines(pairs: DataFrame) -> DataFrame:
+    """Add `border`: the edges of one cell alone, each with its `cell`, in counter-clockwise direction; `several`: the cells meet at more than one place; and then `outlines`.
+
+    `outlines` has (`signed`, `around`, `mx`, `my`) of each ring of the union, anticlockwise ones with positive areas: area, length and
+    sums that make the centroid. It is null unless `several`. From an edge the walk goes on at its end, to the other cell's edge
+    where both cells have one there, so that a hole which touches the outline at a vertex is still a ring of its own.
+    Rings are told apart by pointer doubling over the row's border. Cells that overlap give rings of no meaning, without an error.
+    """
+
+    def turned(side: str, cell: int) -> Column:
+        fields = lambda e, i, j: F.struct(F.lit(cell).alias("cell"), *[e[f"{c}{k}"].alias(f"{c}{n}") for k, n in ((i, 1), (j, 2)) for c in ("v", "x", "y")])
+        edges, back = F.col(f"{side}.edges"), F.col(f"{side}.signed_area") < 0
+        return F.when(back, F.transform(edges, lambda e: fields(e, 2, 1))).otherwise(F.transform(edges, lambda e: fields(e, 1, 2)))
+
+    ids = lambda side: F.transform(f"{side}.ring", lambda p: p["v"])
+    places = F.size(F.array_intersect(ids("a"), ids("b"))) - F.size("shared")  # a chain has one vertex more than edges
+    out = pairs.withColumn("border", F.filter(F.concat(turned("a", 0), turned("b", 1)), lambda f: ~F.exists("shared", lambda g: _same(f, g))))
+    out = out.withColumn("several", (places > 1) & (F.size("border") > 0))
+    border, every = F.col("border"), F.sequence(F.lit(0), F.size("border") - 1)
+
+    def follower(e: Column, i: Column) -> Column:
+        after = F.filter(every, lambda j: F.get(border, j)["v1"] == e["v2"])
+        across = F.filter(after, lambda j: F.get(border, j)["cell"] != e["cell"])
+        return F.coalesce(F.get(across, 0), F.get(after, 0), i)
+
+    doubled = lambda s, _: F.struct(
+        F.transform(s["jump"], lambda j: F.get(s["jump"], j)).alias("jump"),
+        F.transform(s["low"], lambda low, i: F.least(low, F.get(s["low"], F.get(s["jump"], i)))).alias("low"),
+    )
+    out = out.withColumn("_next", F.when(F.col("several"), F.transform(border, follower)))
+    rounds = F.sequence(F.lit(1), F.length(F.bin(F.size("border"))))
+    low = F.aggregate(rounds, F.struct(F.col("_next").alias("jump"), every.alias("low")), doubled, lambda s: s["low"])
+    out = out.withColumn("_low", F.when(F.col("several"), low))
+
+    def outline(r: Column) -> Column:
+        own = F.filter(border, lambda _, i: F.get("_low", i) == r)
+        moment = lambda c: geo.total(own, lambda e: (e[f"{c}1"] + e[f"{c}2"]) * geo.cross(e))
+        return F.struct((geo.total(own, geo.cross) / 2).alias("signed"), geo.total(own, geo.length).alias("around"), moment("x").alias("mx"), moment("y").alias("my"))
+
+    return out.withColumn("outlines", F.transform(F.array_distinct("_low"), outline)).drop("_next", "_low")
+
+
+def union_rings(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """`snapshot_id`, `first_id`, `second_id`, `ring` (from 1), `area`, `perimeter`, `is_hole` of the rings of pairs that meet at more than one place, largest first.
+
+    Two cells that touch at one vertex, or share one chain of edges, have a single ring; they give no rows. An empty table gives none.
+    """
+    found = with_outlines(joined_pairs(pairs, cells)).where("several")
+    ring = F.transform("outlines", lambda r: F.struct(F.abs(r["signed"]).alias("area"), r["around"].alias("perimeter"), (r["signed"] < 0).alias("is_hole")))
+    each = found.select("snapshot_id", "first_id", "second_id", F.posexplode(F.reverse(F.array_sort(ring))).alias("ring", "r"))
+    return each.select("snapshot_id", "first_id", "second_id", (F.col("ring") + 1).alias("ring"), "r.*")
+
+
 def with_moments(pairs: DataFrame) -> DataFrame:
-    """Add `moments`: second central moments of the points on the union's border, each counted once."""
-    border = F.filter(F.concat("a.edges", "b.edges"), lambda f: ~F.exists("shared", lambda g: _same(f, g)))
-    ends = lambda f: F.array(*[F.struct(f[f"v{i}"].alias("v"), f[f"x{i}"].alias("x"), f[f"y{i}"].alias("y")) for i in (1, 2)])
-    out = pairs.withColumn("points", F.array_distinct(F.flatten(F.transform(border, ends))))
+    """Add `with_outlines`' columns and `moments`: second central moments of the points on the union's rings; a point where two rings touch counts in both."""
+    out = with_outlines(pairs)
+    out = out.withColumn("points", F.transform("border", lambda f: F.struct(f["x1"].alias("x"), f["y1"].alias("y"))))
     n = F.when(F.size("points") > 0, F.size("points"))
     out = out.withColumns({f"mean_{c}": geo.total(F.col("points"), lambda p, c=c: p[c]) / n for c in ("x", "y")})
     moment = lambda u, v: geo.total(F.col("points"), lambda p: (p[u] - F.col(f"mean_{u}")) * (p[v] - F.col(f"mean_{v}")))
