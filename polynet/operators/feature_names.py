@@ -59,3 +59,26 @@ FURTHER = (
 )
 FEATURES = PUBLISHED + FURTHER
 LABELS = {key: label for key, label, _ in FEATURES}
+
+
+def _settings() -> dict[str, tuple[str, ...]]:
+    """Each setting of published documents and the features it governs, in published order of features.
+
+    A feature's setting is its own name after "compute", without the unit, but for two kinds: statistics of
+    both cells share one setting a family, and the distance of centroids shares its with the scaled one.
+    The shared edge's own length has none.
+    """
+    families = {"area": "Area", "perimeter": "Perimeter", "aspect": "AspectRatio", "circularity": "Circularity", "solidity": "Solidity", "vertexCount": "VertexCount"}
+    shared = {f"{f}{stat}": f"compute{name}Stats" for f, name in families.items() for stat in ("Mean", "Min", "Max", "Diff")} | {"centroidDistanceNormalized": "computeCentroidDistance"}
+    out: dict[str, tuple[str, ...]] = {}
+    for key in LABELS:
+        if key == "sharedEdgeLength":
+            continue
+        bare = key.removesuffix("Degrees")
+        setting = shared.get(key, f"compute{bare[0].upper()}{bare[1:]}")
+        out[setting] = (*out.get(setting, ()), key)
+    return out
+
+
+#: Settings and their features.
+SETTINGS = _settings()

@@ -79,16 +79,20 @@ def rules_of_lines(lines: list, mode: str = UNCONSTRAINED) -> tuple[list[Rule],
 def rule_report(metrics: DataFrame, table: DataFrame, skipped: DataFrame | None = None, mode: str = UNCONSTRAINED) -> DataFrame:
     """One row for each line of a rule table: `rule_metrics` of the good ones (in their order), `errors` of the others, with counts of 0 and ratios of -1.
 
-    `warnings` counts the snapshots left out, by reason (`evaluate.skipped`), so it does not grow with their number.
+    `feature_key`, `comparison`, `direction` (as written, if the table has it) and `note` are the line's, for bad ones too. `warnings` counts the snapshots left out, by reason (`evaluate.skipped`), so it does not grow with their number.
     """
     lines = table.collect()  # a few that a person wrote
     rows, good = [], 0
     for i, r in enumerate(lines):
         rules, errors = rules_of_lines([r], mode)
-        rows.append((i, r["feature"], label_of(rules[0].feature) if rules else r["feature"], good if rules else None, r["threshold"], " | ".join(errors)))
+        key = resolve(r["feature"])
+        said = ">= cutoff" if r["require_above"] else "<= cutoff"
+        direction = r["direction"] if "direction" in table.columns else None
+        rows.append((i, r["feature"], label_of(key) if key else r["feature"], key, good if rules else None, r["threshold"], said, direction, r["note"], " | ".join(errors)))
         good += len(rules)
     spark = table.sparkSession
-    report = spark.createDataFrame(rows, "line int, feature string, label string, rule_id int, threshold double, errors string").join(metrics.drop("threshold"), "rule_id", "left").drop("rule_id")
+    known = spark.createDataFrame(rows, "line int, feature string, label string, feature_key string, rule_id int, threshold double, comparison string, direction string, note string, errors string")
+    report = known.join(metrics.drop("threshold", "feature_key", "comparison", "note"), "rule_id", "left").drop("rule_id")
     ratios = ("precision", "recall", "f1", "specificity", "accuracy")
     report = report.fillna(-1.0, list(ratios)).fillna(0, [c for c, t in metrics.dtypes if t == "bigint"])
     if skipped is None:

@@ -221,10 +221,10 @@ def read_exceptions(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("full").union(rows.where("not full").join(full, "snapshot_id", "left_anti").select(*rows.columns)).drop("full")
 
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rule list: `feature`, `threshold` (null if it is no number), `require_above`, `note`."""
+def read_rules(spark: SparkSession, path: str, direction: bool = False) -> DataFrame:
+    """Rule list: `feature`, `threshold` (null if it is no number), `require_above`, `note`, and `direction` as written if wanted."""
     rows = spark.read.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     rows = rows.toDF(*[c.strip().lower().replace(" ", "_") for c in rows.columns])
     side = F.lower(F.coalesce(*[F.col(c) for c in ("direction", "below_or_above") if c in rows.columns], F.lit("")))
-    note = F.col("note") if "note" in rows.columns else F.lit(None).cast("string")
-    return rows.select("feature", F.col("cutoff_value").try_cast("double").alias("threshold"), (~side.contains("below")).alias("require_above"), note.alias("note"))
+    given = lambda c: (F.col(c) if c in rows.columns else F.lit(None).cast("string")).alias(c)
+    return rows.select("feature", F.col("cutoff_value").try_cast("double").alias("threshold"), (~side.contains("below")).alias("require_above"), given("note"), *([given("direction")] if direction else []))

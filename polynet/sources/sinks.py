@@ -32,26 +32,31 @@ def number(value: Column) -> Column:
     return F.when(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")), F.format_string("%.6f", value)).otherwise(F.lit("N/A"))
 
 
-def _observed(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Add `observed_division` and `division_timing` (-1: none): of a repeated label the last one's by `line`, if labels have that column, else the largest."""
-    time = F.coalesce("division_time", F.lit(-1))
-    when = F.max_by(time, "line") if "line" in labels.columns else F.max(time)
+def _observed(pairs: DataFrame, labels: DataFrame, repeats: str = "last") -> DataFrame:
+    """Add `observed_division` and `division_timing` (-1: none).
+
+    Of a repeated label the `first` or `last` one's time by `line` counts, as `repeats` says, if labels have that column, else the largest.
+    """
+    if repeats not in ("first", "last"):
+        raise ValueError(f"repeats is first or last, not {repeats}")
+    time, by_line = F.coalesce("division_time", F.lit(-1)), F.min_by if repeats == "first" else F.max_by
+    when = by_line(time, "line") if "line" in labels.columns else F.max(time)
     real = labels.groupBy(*PAIR).agg(when.alias("division_timing")).withColumn("observed_division", F.lit(1))
     return pairs.join(real, PAIR, "left").fillna({"observed_division": 0, "division_timing": -1})
 
 
-def pair_geometry_table(features: DataFrame, labels: DataFrame) -> DataFrame:
+def pair_geometry_table(features: DataFrame, labels: DataFrame, repeats: str = "last") -> DataFrame:
     """Pairs by snapshot and number, whether they are labelled and when, and their features as text."""
-    rows = _observed(features, labels)
+    rows = _observed(features, labels, repeats)
     index = F.row_number().over(Window.partitionBy("snapshot_id").orderBy("first_id", "second_id"))
     names = [c for c in features.columns if c not in PAIR]
     return rows.select(F.col("snapshot_id").alias("fileName"), index.alias("pairIndex"), F.col("first_id").alias("firstPolygonId"), F.col("second_id").alias("secondPolygonId"), "observed_division", "division_timing", *[number(F.col(c)).alias(c) for c in names])
 
 
-def estimation_table(features: DataFrame, labels: DataFrame, estimated: DataFrame) -> DataFrame:
-    """The 55 columns of an estimation result; features that were not computed are `N/A`."""
+def estimation_table(features: DataFrame, labels: DataFrame, estimated: DataFrame, repeats: str = "last") -> DataFrame:
+    """The 55 columns of an estimation result; features that were not computed are `N/A`. `repeats` as in `pair_geometry_table`."""
     est = estimated.select(*PAIR).distinct().withColumn("estimated_division", F.lit(1))
-    rows = _observed(features, labels).join(est, PAIR, "left").fillna({"estimated_division": 0})
+    rows = _observed(features, labels, repeats).join(est, PAIR, "left").fillna({"estimated_division": 0})
     value = lambda c: number(F.col(c).cast("double")) if c in features.columns else F.lit("N/A")
     return rows.select(F.col("snapshot_id").alias("filename"), F.col("first_id").alias("cell_1_id"), F.col("second_id").alias("cell_2_id"), "division_timing", "observed_division", "estimated_division", *[value(c).alias(h) for h, c in ESTIMATION.items()])
 
@@ -86,6 +91,26 @@ def metrics_table(metrics: DataFrame) -> DataFrame:
     return metrics.withColumns({c: ratio(c) for c in ("precision", "recall", "f1", "specificity", "accuracy")})
 
 
+#: Columns of the rule-list metrics, in published order. Fixed values.
+RULE_METRICS = (
+    "feature", "feature_key", "threshold", "comparison", "files_processed", "files_with_results", "estimated_pairs", "real_pairs",
+    "true_positive", "false_positive", "false_negative", "true_negative", "precision", "recall", "f1", "specificity", "accuracy",
+    "direction", "note", "warnings", "errors",
+)
+
+
+def rule_metrics_table(report: DataFrame) -> DataFrame:
+    """`rules.rule_report` under the published header of 21 columns, in order of `line` if sorted by it, which comes last.
+
+    Numbers of a rule are text with six decimals; an undefined ratio is `N/A`. A rule that can't be read has
+    counts of 0, ratios of `N/A`, and an empty key or threshold as far as that is what is wrong with it.
+    """
+    out = metrics_table(report.withColumn("feature", F.col("label")))
+    blank = ("feature_key", "comparison", "note", "direction")
+    kept = {c: F.coalesce(F.col(c) if c in out.columns else F.lit(None), F.lit("")) for c in blank}
+    return out.withColumns(kept | {"threshold": F.when(F.col("threshold").isNull(), "").otherwise(F.format_string("%.6f", "threshold"))}).select(*RULE_METRICS, "line")
+
+
 def feature_catalogue(spark: SparkSession) -> DataFrame:
     """`key`, `label`, `description` of every published feature."""
     return spark.createDataFrame(list(PUBLISHED), "key string, label string, description string")
