@@ -10,6 +10,7 @@ from ..operators.adjacency import neighbours, relations
 from ..operators.cells import cell_geometry, rings
 from ..sources.mesh import mesh
 from ..sources.networks import networks_of, plain_label_lines
+from ..sources.sinks import rule_metrics_table
 from .catalogue import FEATURE, PAIR, _candidates, _cells, _features, _r, query
 
 MOST = "junctionAngleMaxDegrees"
@@ -140,6 +141,25 @@ def rule_list_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("line", "feature", "errors", "files_processed", "estimated_pairs", "real_pairs", "true_positive", "false_negative", "warnings")
 
 
+@query(""", said AS (SELECT * FROM (VALUES (0, 'Junction Angle Average (deg)', 'junctionAngleAverageDegrees', '145.000000', '>= cutoff', 'large angles', ''), (1, 'no such feature', '', '1.000000', '<= cutoff', '', 'unknown feature no such feature'),
+  (2, 'Junction Angle Max (deg)', 'junctionAngleMaxDegrees', '', '>= cutoff', '', 'invalid cutoff for junction angle max'), (3, 'Junction Angle Min (deg)', 'junctionAngleMinDegrees', '100.000000', '<= cutoff', '', '')) r(line, feature, feature_key, threshold, comparison, note, errors)),
+flags AS (SELECT line, j.s, CASE line WHEN 0 THEN mean >= 145 ELSE lo <= 100 END AS est, l.s IS NOT NULL AS lab FROM junction j CROSS JOIN said LEFT JOIN labels l ON l.s = j.s AND l.a = j.a AND l.b = j.b WHERE errors = '' AND j.s IN (SELECT s FROM labels)),
+n AS (SELECT line, count(DISTINCT s) AS files, count(DISTINCT s) FILTER (est) AS hits, count(*) FILTER (est) AS est, count(*) FILTER (lab) AS lab, count(*) FILTER (est AND lab) AS tp, count(*) FILTER (est AND NOT lab) AS fp, count(*) FILTER (NOT est AND lab) AS fn, count(*) FILTER (NOT est AND NOT lab) AS tn FROM flags GROUP BY line),
+m AS (SELECT said.*, coalesce(files, 0) AS files, coalesce(hits, 0) AS hits, coalesce(est, 0) AS est, coalesce(lab, 0) AS lab, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, coalesce(tn, 0) AS tn FROM said LEFT JOIN n USING (line))
+SELECT feature, feature_key, threshold, comparison, files AS files_processed, hits AS files_with_results, est AS estimated_pairs, lab AS real_pairs, tp AS true_positive, fp AS false_positive, fn AS false_negative, tn AS true_negative,
+ CASE WHEN tp + fp > 0 THEN printf('%.6f', tp::DOUBLE / (tp + fp)) ELSE 'N/A' END AS precision, CASE WHEN tp + fn > 0 THEN printf('%.6f', tp::DOUBLE / (tp + fn)) ELSE 'N/A' END AS recall, CASE WHEN tp > 0 THEN printf('%.6f', 2 * tp::DOUBLE / (2 * tp + fp + fn)) ELSE 'N/A' END AS f1,
+ CASE WHEN tn + fp > 0 THEN printf('%.6f', tn::DOUBLE / (tn + fp)) ELSE 'N/A' END AS specificity, CASE WHEN tp + fp + fn + tn > 0 THEN printf('%.6f', (tp + tn)::DOUBLE / (tp + fp + fn + tn)) ELSE 'N/A' END AS accuracy, '' AS direction, note,
+ CASE WHEN (SELECT count(*) FROM snapshots WHERE s NOT IN (SELECT s FROM labels)) > 0 THEN (SELECT count(*) FROM snapshots WHERE s NOT IN (SELECT s FROM labels)) || ' snapshots left out: no_labels' ELSE '' END AS warnings, errors, line FROM m""")
+def rule_list_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule list's metrics under the published header, bad lines too."""
+    net = mesh(spark, sf_dir)
+    lines = [("junction angle mean", 145.0, True, "large angles"), ("no such feature", 1.0, False, None), ("junction angle max", None, True, None), ("junctionAngleMinDegrees", 100.0, False, None)]
+    table = spark.createDataFrame(lines, "feature string, threshold double, require_above boolean, note string")
+    good, _ = rules.rules_of(table)
+    metrics = rules.rule_metrics(_features(net, "junction"), neighbours(net.polygons), net.labels, good)
+    return rule_metrics_table(rules.rule_report(metrics, table, evaluate.skipped(net.vertices, net.polygons, net.labels)))
+
+
 @query(""", conn AS (
   SELECT DISTINCT p.s, p.a, p.b, CASE WHEN m.v IS NULL THEN e.v1 ELSE e.v2 END AS v FROM pairs p JOIN edge e ON e.s = p.s AND (e.p = p.a OR e.p = p.b)
   LEFT JOIN member m ON m.s = p.s AND m.a = p.a AND m.b = p.b AND m.v = e.v1 LEFT JOIN member n ON n.s = p.s AND n.a = p.a AND n.b = p.b AND n.v = e.v2 WHERE (m.v IS NULL) <> (n.v IS NULL)),
