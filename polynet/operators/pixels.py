@@ -67,8 +67,8 @@ def _around(pixels: DataFrame, reach: int = 1) -> DataFrame:
 
 def neighbour_counts(pixels: DataFrame) -> DataFrame:
     """Add `neighbours`: foreground pixels among the eight around each."""
-    near = _around(pixels.select(*KEY)).groupBy(*KEY).agg(F.count("*").alias("neighbours"))
-    return pixels.join(near, KEY, "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)))
+    near = _around(pixels.select(*KEY)).repartition(*KEY).groupBy(*KEY).agg(F.count("*").alias("neighbours"))
+    return pixels.join(near.hint("merge"), KEY, "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)))
 
 
 def junctions(pixels: DataFrame, width: int, height: int, exactly: int | None = None) -> DataFrame:
@@ -144,9 +144,9 @@ def connected(points: DataFrame, radius: float, side: int | None = None) -> Data
     wide = border.select("snapshot_id", "tile_x", "tile_y", "x", "y", F.col("part").alias("u"), F.explode(places).alias("b")).select("*", "b.bx", "b.by").drop("b")
     other = border.select("snapshot_id", "bx", "by", *[F.col(c).alias(f"_{c}") for c in ("tile_x", "tile_y", "x", "y")], F.col("part").alias("v"))
     dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
-    met = wide.join(other, ["snapshot_id", "bx", "by"]).where((F.struct("tile_x", "tile_y") < F.struct("_tile_x", "_tile_y")) & (dx * dx + dy * dy <= radius * radius))
+    met = wide.join(other.hint("merge"), ["snapshot_id", "bx", "by"]).where((F.struct("tile_x", "tile_y") < F.struct("_tile_x", "_tile_y")) & (dx * dx + dy * dy <= radius * radius))
     low = reachable(met.select("snapshot_id", "u", "v").distinct(), ("snapshot_id",)).withColumnRenamed("id", "part")
-    out = local.join(low, ["snapshot_id", "part"], "left")
+    out = local.join(low.hint("merge"), ["snapshot_id", "part"], "left")
     return out.select("snapshot_id", "x", "y", F.coalesce("low", "part").alias("component"), F.struct("tile_x", "tile_y").alias("tile"))
 
 
@@ -156,7 +156,7 @@ def clusters(points: DataFrame, radius: float = 2.0) -> DataFrame:
     middle = found.groupBy("snapshot_id", "component").agg(*[F.bround(F.avg(c)).cast("int").alias(f"v{c}") for c in ("x", "y")])
     number = F.row_number().over(Window.partitionBy("snapshot_id").orderBy("vy", "vx", "component")) - 1
     named = middle.withColumn("vertex_id", number)
-    return found.join(named, ["snapshot_id", "component"]).select("snapshot_id", "x", "y", "vertex_id", "vx", "vy")
+    return found.join(named.hint("merge"), ["snapshot_id", "component"]).select("snapshot_id", "x", "y", "vertex_id", "vx", "vy")
 
 
 def _peeled(x: np.ndarray, y: np.ndarray) -> np.ndarray:
