@@ -226,9 +226,9 @@ def traced_lines(pixels: DataFrame, members: DataFrame, tolerance: int = 1) -> D
     at the clusters that it touches, whose pixels are within `tolerance` of its own; one that touches more than two gives all
     their pairs.
     """
-    free = keep(pixels.select(*KEY).distinct().join(members.select(*KEY), KEY, "left_anti"), "paths")
+    free = keep(pixels.select(*KEY).distinct().join(members.select(*KEY).hint("merge"), KEY, "left_anti"), "paths")
     paths = connected(free, BESIDE).select(*KEY, F.col("component").alias("path"))
-    ends = _around(members.select(*KEY, "vertex_id"), tolerance).join(members.select("snapshot_id", F.col("x").alias("px"), F.col("y").alias("py"), "vertex_id"), ["snapshot_id", "px", "py"])
-    touched = keep(ends.join(paths, KEY).select("snapshot_id", "path", "vertex_id").distinct(), "ends")
-    pairs = touched.withColumnRenamed("vertex_id", "v1").join(touched.withColumnRenamed("vertex_id", "v2"), ["snapshot_id", "path"])
+    ends = _around(members.select(*KEY, "vertex_id"), tolerance).join(members.select("snapshot_id", F.col("x").alias("px"), F.col("y").alias("py"), "vertex_id").hint("merge"), ["snapshot_id", "px", "py"])
+    touched = keep(ends.join(paths.hint("merge"), KEY).select("snapshot_id", "path", "vertex_id").distinct(), "ends")
+    pairs = touched.withColumnRenamed("vertex_id", "v1").join(touched.withColumnRenamed("vertex_id", "v2").hint("merge"), ["snapshot_id", "path"])
     return pairs.where("v1 < v2").select("snapshot_id", "v1", "v2").distinct()

@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "cluster_points",
     "pixel_junctions",
+    "trace_lines",
 ]
 #: Keys of joins whose smaller side has a row a rule or a flag, or one row.
 FEW = {"rule_id", "_one", "_level", "_all", "real"}
