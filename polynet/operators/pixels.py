@@ -185,9 +185,9 @@ def _in_cycles(pixels: DataFrame) -> DataFrame:
         if ends.isEmpty():
             break
         chains = keep(connected(counted.where("neighbours <= 2"), BESIDE).select(*KEY, "component"), "chains")
-        gone = chains.join(ends, KEY, "left_semi").select("snapshot_id", "component").distinct()
+        gone = chains.join(ends.hint("merge"), KEY, "left_semi").select("snapshot_id", "component").distinct()
         old = left
-        left, (n, _) = keep_observed(left.join(chains.join(gone, ["snapshot_id", "component"], "left_semi"), KEY, "left_anti"), "pixels")
+        left, (n, _) = keep_observed(left.join(chains.join(gone.hint("merge"), ["snapshot_id", "component"], "left_semi").hint("merge"), KEY, "left_anti"), "pixels")
         forget(old, counted, chains)
     return left
 
@@ -202,10 +202,10 @@ def without_spurs(pixels: DataFrame) -> DataFrame:
     by a round for each pixel of half their length.
     """
     found = keep(connected(pixels, BESIDE), "found")
-    degrees = found.select(*KEY, "component", "tile").join(neighbour_counts(found.select(*KEY)), KEY)
+    degrees = found.select(*KEY, "component", "tile").join(neighbour_counts(found.select(*KEY)).hint("merge"), KEY)
     kinds = degrees.groupBy("snapshot_id", "component").agg((F.sum("neighbours") == 2 * (F.count("*") - 1)).alias("tree"), F.min("tile").alias("low"), F.max("tile").alias("high"))
     kinds = keep(kinds.withColumn("within", F.col("low") == F.col("high")).drop("low", "high"), "kinds")
-    placed = keep(found.join(kinds, ["snapshot_id", "component"]), "placed")
+    placed = keep(found.join(kinds.hint("merge"), ["snapshot_id", "component"]), "placed")
     forget(found, kinds)
     out = _in_cycles(placed.where("not tree").select(*KEY))
     kind = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
