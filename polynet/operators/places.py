@@ -18,12 +18,12 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame, tolerance: float, key
     """
     other = vertices.select("snapshot_id", "vertex_id", F.col("x").alias("vx"), F.col("y").alias("vy"))
     if tolerance <= 0:
-        met = points.join(other.withColumns({"x": F.col("vx"), "y": F.col("vy")}), ["snapshot_id", "x", "y"])
+        met = points.join(other.withColumns({"x": F.col("vx"), "y": F.col("vy")}).hint("merge"), ["snapshot_id", "x", "y"])
     else:
         cell = lambda c: F.floor(F.col(c) / tolerance)
         near = F.array(*[F.struct((cell("x") + i).alias("bx"), (cell("y") + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         spread = points.select("snapshot_id", key, "x", "y", F.explode(near).alias("b")).select("snapshot_id", key, "x", "y", "b.bx", "b.by")
-        met = spread.join(other.withColumns({"bx": cell("vx"), "by": cell("vy")}), ["snapshot_id", "bx", "by"])
+        met = spread.join(other.withColumns({"bx": cell("vx"), "by": cell("vy")}).hint("merge"), ["snapshot_id", "bx", "by"])
     square = (F.col("vx") - F.col("x")) ** 2 + (F.col("vy") - F.col("y")) ** 2
     best = met.withColumn("d", square).where(F.col("d") <= max(tolerance, 0.0) ** 2).groupBy("snapshot_id", key).agg(F.min(F.struct("d", "vertex_id")).alias("best"))
     return best.select("snapshot_id", key, "best.vertex_id", F.sqrt("best.d").alias("distance"))
@@ -45,7 +45,7 @@ def holding_polygons(points: DataFrame, rings: DataFrame, cell: float | None = N
     levels = [r.level for r in laid.select("level").distinct().where("level is not null").collect()]  # exponents of numbers: at most some two thousand
     boxes = laid.withColumn("bx", F.explode(F.sequence(at(x0), at(x1)))).withColumn("by", F.explode(F.sequence(at(y0), at(y1))))
     looked_up = points.withColumn("level", F.explode(F.array(*map(F.lit, sorted(levels))).cast("array<int>")))
-    met = looked_up.withColumns({"bx": at(F.col("x")), "by": at(F.col("y"))}).join(boxes, ["snapshot_id", "level", "bx", "by"])
+    met = looked_up.withColumns({"bx": at(F.col("x")), "by": at(F.col("y"))}).join(boxes.hint("merge"), ["snapshot_id", "level", "bx", "by"])
 
     def crosses(e):
         spans = (e["y1"] > F.col("y")) != (e["y2"] > F.col("y"))

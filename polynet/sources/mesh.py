@@ -32,7 +32,7 @@ def mesh(spark: SparkSession, sf_dir: str) -> Network:
     grid = grid.withColumn("c_custkey", (131 * F.col("snapshot_id") + F.col("vertex_id")) % F.col("n_c"))
     grid = grid.withColumn("p_partkey", (97 * F.col("snapshot_id") + 7 * F.col("vertex_id")) % F.col("n_p"))
     g, h = F.floor(F.col("vertex_id") / 13), F.col("vertex_id") % 13
-    moved = grid.join(customers.select("c_custkey", "c_acctbal"), "c_custkey").join(parts.select("p_partkey", "p_retailprice"), "p_partkey")
+    moved = grid.join(customers.select("c_custkey", "c_acctbal").hint("merge"), "c_custkey").join(parts.select("p_partkey", "p_retailprice").hint("merge"), "p_partkey")
     vertices = moved.select("snapshot_id", "vertex_id", (10 * h + 4 * _fraction("c_acctbal") - 2).alias("x"), (10 * g + 4 * _fraction("p_retailprice") - 2).alias("y"))
 
     polygons = _bricks(snapshots)
@@ -51,8 +51,8 @@ def customer_mesh(spark: SparkSession, sf_dir: str) -> Network:
     vertices = placed.select("snapshot_id", "vertex_id", (10 * h + 4 * part(balance) - 2).alias("x"), (10 * g + 4 * part(balance / 7) - 2).alias("y"))
     every = _bricks(vertices.select("snapshot_id").distinct())
     corners = every.select("snapshot_id", "polygon_id", F.explode("vertex_ids").alias("vertex_id"))
-    short = corners.join(vertices, ["snapshot_id", "vertex_id"], "left_anti").select("snapshot_id", "polygon_id")
-    polygons = every.join(short, ["snapshot_id", "polygon_id"], "left_anti")
+    short = corners.join(vertices.hint("merge"), ["snapshot_id", "vertex_id"], "left_anti").select("snapshot_id", "polygon_id")
+    polygons = every.join(short.hint("merge"), ["snapshot_id", "polygon_id"], "left_anti")
     return Network(vertices, _sides(polygons), polygons, labels(polygons))
 
 
