@@ -36,7 +36,7 @@ def share_k_pairs(members: DataFrame, group: list[str], owner: str, member: str,
     """
     one = _memberships(members, group, owner, member)
     if k < 2:
-        return _at_least(_joined(one, one, group, owner, member).where("first_id < second_id"), group, k)
+        return _at_least(_joined(one, one.hint("merge"), group, owner, member).where("first_id < second_id"), group, k)
     large = one.groupBy(*group, owner).count().where(F.col("count") > LISTED).drop("count")
     small = one.join(large, [*group, owner], "left_anti")
     listed = small.groupBy(*group, owner).agg(F.sort_array(F.collect_list(member)).alias("_all"))
@@ -54,10 +54,13 @@ def share_k_pairs(members: DataFrame, group: list[str], owner: str, member: str,
 
 
 def neighbours(polygons: DataFrame, k: int = 2) -> DataFrame:
-    """Neighbouring polygons: those that share at least `k` vertices. A vertex has few polygons, so they meet by single vertices."""
-    members = polygons.select("snapshot_id", "polygon_id", F.explode("vertex_ids").alias("vertex_id"))
+    """Neighbouring polygons: those that share at least `k` vertices. A vertex has few polygons, so they meet by single vertices.
+
+    Listed vertices are dealt by place before any sum, as one task may have listed those of very many polygons.
+    """
+    members = polygons.select("snapshot_id", "polygon_id", F.explode("vertex_ids").alias("vertex_id")).repartition("snapshot_id", "vertex_id")
     one = _memberships(members, ["snapshot_id"], "polygon_id", "vertex_id")
-    return _at_least(_joined(one, one, ["snapshot_id"], "polygon_id", "vertex_id").where("first_id < second_id"), ["snapshot_id"], k)
+    return _at_least(_joined(one, one.hint("merge"), ["snapshot_id"], "polygon_id", "vertex_id").where("first_id < second_id"), ["snapshot_id"], k)
 
 
 def relations(pairs: DataFrame, cells: DataFrame) -> DataFrame:
@@ -80,4 +83,4 @@ def with_cells(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     whole = cells.select("snapshot_id", F.struct(*[c for c in cells.columns if c != "snapshot_id"]).alias("cell"))
     first = whole.select("snapshot_id", F.col("cell.polygon_id").alias("first_id"), F.col("cell").alias("a"))
     second = whole.select("snapshot_id", F.col("cell.polygon_id").alias("second_id"), F.col("cell").alias("b"))
-    return pairs.join(first, ["snapshot_id", "first_id"]).join(second, ["snapshot_id", "second_id"])
+    return pairs.join(first.hint("merge"), ["snapshot_id", "first_id"]).join(second.hint("merge"), ["snapshot_id", "second_id"])

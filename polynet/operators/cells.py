@@ -11,7 +11,7 @@ from ..functions import geometry as geo
 def rings(vertices: DataFrame, polygons: DataFrame) -> DataFrame:
     """`snapshot_id`, `polygon_id`, `ring` in ring order; polygons with a missing vertex or under three are left out."""
     flat = polygons.select("snapshot_id", "polygon_id", F.size("vertex_ids").alias("n"), F.posexplode("vertex_ids").alias("pos", "vertex_id"))
-    found = flat.join(vertices.select("snapshot_id", "vertex_id", "x", "y"), ["snapshot_id", "vertex_id"])
+    found = flat.join(vertices.select("snapshot_id", "vertex_id", "x", "y").hint("merge"), ["snapshot_id", "vertex_id"])
     one = F.struct("pos", F.col("vertex_id").alias("v"), "x", "y")
     whole = found.groupBy("snapshot_id", "polygon_id").agg(F.array_sort(F.collect_list(one)).alias("ring"), F.first("n").alias("n"))
     whole = whole.where((F.size("ring") == F.col("n")) & (F.col("n") >= 3))
@@ -38,5 +38,5 @@ def with_solidity(cells: DataFrame) -> DataFrame:
 def single_cell_table(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """Every cell's features and whether it is in a labelled pair."""
     ends = labels.select("snapshot_id", F.explode(F.array("first_id", "second_id")).alias("polygon_id")).distinct().withColumn("_in", F.lit(True))
-    joined = with_solidity(cells).join(ends, ["snapshot_id", "polygon_id"], "left")
+    joined = with_solidity(cells).join(ends.hint("merge"), ["snapshot_id", "polygon_id"], "left")
     return joined.select("snapshot_id", "polygon_id", F.coalesce("_in", F.lit(False)).alias("in_dividing_pair"), "area", "perimeter", "aspect_ratio", "circularity", "solidity", "vertex_count")

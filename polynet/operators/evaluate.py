@@ -17,13 +17,13 @@ def universe(polygons: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     near = neighbours(polygons).select(*PAIR)
     if stored is None:
         return near
-    return stored.select(*PAIR).distinct().union(near.join(stored.select("snapshot_id").distinct(), "snapshot_id", "left_anti"))
+    return stored.select(*PAIR).distinct().union(near.join(stored.select("snapshot_id").distinct().hint("merge"), "snapshot_id", "left_anti"))
 
 
 def flagged(pairs: DataFrame, estimated: DataFrame, labels: DataFrame) -> DataFrame:
     """Every neighbouring, inferred or labelled pair with flags `near`, `est`, `real`."""
     flag = lambda df, name: df.select(*PAIR).distinct().withColumn(name, F.lit(True))
-    out = flag(pairs, "near").join(flag(estimated, "est"), PAIR, "full").join(flag(labels, "real"), PAIR, "full")
+    out = flag(pairs, "near").join(flag(estimated, "est").hint("merge"), PAIR, "full").join(flag(labels, "real").hint("merge"), PAIR, "full")
     return out.select(*PAIR, *[F.coalesce(c, F.lit(False)).alias(c) for c in ("near", "est", "real")])
 
 
@@ -53,10 +53,10 @@ def restricted_counts(flags: DataFrame, keys: list[str]) -> DataFrame:
 def skipped(snapshots: DataFrame, polygons: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """`snapshot_id`, `code` of snapshots that are left out: no polygons, fewer than two, or (with `labels`) no labels; the first that holds."""
     n = polygons.groupBy("snapshot_id").agg(F.count("*").alias("n"))
-    rows = snapshots.select("snapshot_id").distinct().join(n, "snapshot_id", "left")
+    rows = snapshots.select("snapshot_id").distinct().join(n.hint("merge"), "snapshot_id", "left")
     code = F.when(F.col("n").isNull(), "no_polygons").when(F.col("n") < 2, "fewer_than_two_polygons")
     if labels is not None:
-        rows = rows.join(labels.select("snapshot_id").distinct().withColumn("labelled", F.lit(True)), "snapshot_id", "left")
+        rows = rows.join(labels.select("snapshot_id").distinct().withColumn("labelled", F.lit(True)).hint("merge"), "snapshot_id", "left")
         code = code.when(F.col("labelled").isNull(), "no_labels")
     return rows.select("snapshot_id", code.alias("code")).where("code is not null")
 
@@ -107,7 +107,7 @@ def from_threshold_on(rows: DataFrame, level: str, thresholds: list[float], sums
 def sweep(features: DataFrame, labels: DataFrame, feature: str, thresholds: list[float], above: bool = True) -> DataFrame:
     """Metrics of the unconstrained rule at each of the distinct thresholds, features read once, however many thresholds there are."""
     real = labels.select(*PAIR).distinct().withColumn("real", F.lit(1))
-    rows = features.select(*PAIR, F.col(feature).cast("double").alias("value")).join(real, PAIR, "left").select(F.coalesce("real", F.lit(0)).cast("long").alias("real"), "value")
+    rows = features.select(*PAIR, F.col(feature).cast("double").alias("value")).join(real.hint("merge"), PAIR, "left").select(F.coalesce("real", F.lit(0)).cast("long").alias("real"), "value")
     rows = rows.groupBy(passed(F.col("value"), thresholds, above).alias("level"), "real").agg(F.count("*").alias("n"))
     rows = keep(rows, "levels")  # at most two for each threshold
     inferred = from_threshold_on(rows.withColumn("tp", F.col("n") * F.col("real")), "level", thresholds, ["n", "tp"], above)
@@ -124,7 +124,7 @@ def compare(first: DataFrame, second: DataFrame) -> DataFrame:
     """Pairs that two results with `observed`, `estimated`, `value` judge differently, as first minus second."""
     key = [*PAIR, "observed"]
     other = second.select(*key, F.col("estimated").alias("_estimated"), F.col("value").alias("_value"))
-    joined = first.join(other, key).where(F.col("estimated") != F.col("_estimated"))
+    joined = first.join(other.hint("merge"), key).where(F.col("estimated") != F.col("_estimated"))
     return joined.select(*key, (F.col("estimated") - F.col("_estimated")).alias("estimated_division_difference"), (F.col("value") - F.col("_value")).alias("feature_difference"))
 
 
@@ -133,6 +133,6 @@ def compare_all(first: DataFrame, second: DataFrame) -> DataFrame:
     key = [*PAIR, "observed"]
     common = [c for c in first.columns if c in second.columns and c not in (*key, "estimated")]
     other = second.select(*key, *[F.col(c).alias(f"_{c}") for c in ("estimated", *common)])
-    joined = first.select(*key, "estimated", *common).join(other, key).where(F.col("estimated") != F.col("_estimated"))
+    joined = first.select(*key, "estimated", *common).join(other.hint("merge"), key).where(F.col("estimated") != F.col("_estimated"))
     less = lambda c: F.col(c) - F.col(f"_{c}")
     return joined.select(*key, less("estimated").alias("estimated_division_difference"), *[less(c).alias(f"{c}_difference") for c in common])

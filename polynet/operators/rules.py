@@ -107,7 +107,7 @@ def rule_report(metrics: DataFrame, table: DataFrame, skipped: DataFrame | None
 def without(pairs: DataFrame, exceptions: DataFrame) -> DataFrame:
     """Pairs that are no exception, whichever way round the exception names its cells."""
     gone = exceptions.select("snapshot_id", F.least("first_id", "second_id").alias("first_id"), F.greatest("first_id", "second_id").alias("second_id"))
-    return pairs.join(gone.distinct(), PAIR, "left_anti")
+    return pairs.join(gone.distinct().hint("merge"), PAIR, "left_anti")
 
 
 def estimates(features: DataFrame, rules: list[Rule], exceptions: DataFrame | None = None) -> DataFrame:
@@ -163,7 +163,7 @@ def rule_metrics(features: DataFrame, pairs: DataFrame, labels: DataFrame, rules
 
 def sweep_wide(features: DataFrame, labels: DataFrame, feature: str, thresholds: list[float], above: bool = True) -> DataFrame:
     """One row a pair: `<feature>_value`, `observed_division` and a flag `estimated_division_<t>` for each threshold, unconstrained."""
-    rows = features.join(labels.select(*PAIR).distinct().withColumn("_real", F.lit(1)), PAIR, "left")
+    rows = features.join(labels.select(*PAIR).distinct().withColumn("_real", F.lit(1)).hint("merge"), PAIR, "left")
     flags = [F.coalesce(passes(F.col(feature), F.lit(t), above), F.lit(False)).cast("int").alias(f"estimated_division_{t:g}") for t in thresholds]
     return rows.select(*PAIR, F.col(feature).alias(f"{feature}_value"), F.coalesce("_real", F.lit(0)).alias("observed_division"), *flags)
 
@@ -171,7 +171,7 @@ def sweep_wide(features: DataFrame, labels: DataFrame, feature: str, thresholds:
 def division_positions(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     """Pairs with both centroids, the point between them, and the angle between them: acute, and folded to 0-180."""
     at = lambda c: cells.select("snapshot_id", F.col("polygon_id").alias(f"{c}_id"), F.col("cx").alias(f"{c}_x"), F.col("cy").alias(f"{c}_y"))
-    out = pairs.select(*PAIR).join(at("first"), ["snapshot_id", "first_id"]).join(at("second"), ["snapshot_id", "second_id"])
+    out = pairs.select(*PAIR).join(at("first").hint("merge"), ["snapshot_id", "first_id"]).join(at("second").hint("merge"), ["snapshot_id", "second_id"])
     dx, dy = F.col("second_x") - F.col("first_x"), F.col("second_y") - F.col("first_y")
     middle = lambda c: (F.col(f"first_{c}") + F.col(f"second_{c}")) / 2
     return out.select(*PAIR, "first_x", "first_y", "second_x", "second_y", middle("x").alias("mid_x"), middle("y").alias("mid_y"), F.degrees(F.atan2(F.abs(dy), F.abs(dx))).alias("acute_angle"), F.degrees(F.abs(F.atan2(dy, dx))).alias("angle_180"))
@@ -179,7 +179,7 @@ def division_positions(pairs: DataFrame, cells: DataFrame) -> DataFrame:
 
 def feature_summary(features: DataFrame, labels: DataFrame, feature: str) -> DataFrame:
     """Count, mean and quartiles of a feature for labelled and other pairs; undefined values don't count."""
-    rows = features.join(labels.select(*PAIR).distinct().withColumn("real", F.lit(True)), PAIR, "left")
+    rows = features.join(labels.select(*PAIR).distinct().withColumn("real", F.lit(True)).hint("merge"), PAIR, "left")
     value = F.col(feature).cast("double")
     rows = keep(rows.select(F.coalesce("real", F.lit(False)).alias("real"), F.when(~F.isnan(value), value).alias("value")), "values")
     quartiles = quantiles(rows, ["real"], "value", (0.25, 0.5, 0.75))
@@ -226,11 +226,11 @@ def _greedy_sweep(features: DataFrame, pairs: DataFrame, labels: DataFrame, feat
 def feature_histogram(features: DataFrame, labels: DataFrame, feature: str, width: float) -> DataFrame:
     """Pairs by whether they are labelled and by bins of `width`: `real`, `bin` (its lower end), `n`; undefined values don't count."""
     rows = features.where(F.col(feature).isNotNull() & ~F.isnan(feature))
-    rows = rows.join(labels.select(*PAIR).distinct().withColumn("real", F.lit(True)), PAIR, "left").withColumn("real", F.coalesce("real", F.lit(False)))
+    rows = rows.join(labels.select(*PAIR).distinct().withColumn("real", F.lit(True)).hint("merge"), PAIR, "left").withColumn("real", F.coalesce("real", F.lit(False)))
     return rows.groupBy("real", (F.floor(F.col(feature) / width) * F.lit(float(width))).alias("bin")).agg(F.count("*").alias("n"))
 
 
 def temporal_summary(features: DataFrame, labels: DataFrame, feature: str) -> DataFrame:
     """A feature of the labelled pairs by the time of their division (a repeated label's least one): `division_time`, `n`, `mean`, `least`, `most`."""
-    rows = features.join(labels.groupBy(*PAIR).agg(F.min("division_time").alias("division_time")), PAIR)
+    rows = features.join(labels.groupBy(*PAIR).agg(F.min("division_time").alias("division_time")).hint("merge"), PAIR)
     return rows.groupBy("division_time").agg(F.count(feature).alias("n"), F.avg(feature).alias("mean"), F.min(feature).alias("least"), F.max(feature).alias("most"))

@@ -250,7 +250,7 @@ def metrics_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_FLAGS + "SELECT f.s AS snapshot_id, f.a AS first_id, f.b AS second_id, CASE WHEN est AND lab THEN 'TP' WHEN est THEN 'FP' WHEN lab THEN 'FN' ELSE 'TN' END AS category, coalesce(t, -1)::INT AS division_time FROM flags f LEFT JOIN labels l ON l.s = f.s AND l.a = f.a AND l.b = f.b")
 def pair_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = mesh(spark, sf_dir)
-    out = _flags(net).join(net.labels, PAIR, "left")
+    out = _flags(net).join(net.labels.hint("merge"), PAIR, "left")
     return out.select(*PAIR, evaluate.category(F.col("est"), F.col("real")).alias("category"), F.coalesce("division_time", F.lit(-1)).alias("division_time"))
 
 
@@ -264,7 +264,7 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compare_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = mesh(spark, sf_dir)
     real = net.labels.select(*PAIR, F.lit(1).alias("observed"))
-    rows = _features(net, "junction").join(real, PAIR, "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
+    rows = _features(net, "junction").join(real.hint("merge"), PAIR, "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
     result = lambda feature, t: rows.select(*PAIR, "observed", (F.col(feature) >= t).cast("int").alias("estimated"), F.col(feature).alias("value"))
     out = evaluate.compare(result(FEATURE, THRESHOLD), result("junctionAngleMaxDegrees", 160.0))
     return out.withColumn("feature_difference", _r("feature_difference"))

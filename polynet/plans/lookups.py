@@ -42,7 +42,7 @@ SELECT s AS snapshot_id, a AS first_id, b AS second_id, lab::INT AS observed, e1
 def compare_all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = mesh(spark, sf_dir)
     real = net.labels.select(*PAIR, F.lit(1).alias("observed"))
-    rows = _features(net, "junction").join(real, PAIR, "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
+    rows = _features(net, "junction").join(real.hint("merge"), PAIR, "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
     coarse = lambda c: (5 * F.floor(F.col(c) / 5)).cast("double")
     first = rows.select(*PAIR, "observed", (F.col(FEATURE) >= 145).cast("int").alias("estimated"), F.col(FEATURE).alias("mean"), F.col(MOST).alias("most"))
     second = rows.select(*PAIR, "observed", (F.col(MOST) >= 160).cast("int").alias("estimated"), coarse(MOST).alias("most"), coarse(FEATURE).alias("mean"), "junctionAngleMinDegrees")
@@ -187,7 +187,7 @@ def rings_counter_clockwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = net.polygons.withColumn("vertex_ids", ids)
     area = cell_geometry(rings(net.vertices, turned)).select("snapshot_id", "polygon_id", "signed_area")
     ring = faces.counter_clockwise(F.col("vertex_ids"), F.col("signed_area"))
-    return turned.join(area, ["snapshot_id", "polygon_id"]).select("snapshot_id", "polygon_id", F.array_join(ring, ":").alias("ring"))
+    return turned.join(area.hint("merge"), ["snapshot_id", "polygon_id"]).select("snapshot_id", "polygon_id", F.array_join(ring, ":").alias("ring"))
 
 
 @query(""", numbered AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY a, b) AS k FROM labels)
@@ -217,4 +217,4 @@ def snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = mesh(spark, sf_dir)
     flags = evaluate.flagged(neighbours(net.polygons), _candidates(net), net.labels)
     elements = places.element_counts(vertices=net.vertices, lines=net.lines, polygons=net.polygons)
-    return elements.join(evaluate.counts(flags, ["snapshot_id"]).drop("neighbor_pairs"), "snapshot_id")
+    return elements.join(evaluate.counts(flags, ["snapshot_id"]).drop("neighbor_pairs").hint("merge"), "snapshot_id")

@@ -14,6 +14,17 @@ NAMES = [
     "trace_lines",
     "spur_prune",
     "nearest_vertex",
+    "vertex_touch_pairs",
+    "best_candidates",
+    "compare_all_features",
+    "compare_results",
+    "confusion_by_snapshot",
+    "division_angles",
+    "estimate_unconstrained",
+    "feature_histogram",
+    "feature_summary",
+    "snapshot_counts",
+    "single_cells",
 ]
 #: Keys of joins whose smaller side has a row a rule or a flag, or one row.
 FEW = {"rule_id", "_one", "_level", "_all", "real"}
