@@ -282,7 +282,7 @@ def label_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = mesh(spark, sf_dir)
     shifted = net.labels.withColumns({"first_id": F.col("first_id") + 1, "second_id": F.col("second_id") + 1})
     last = shifted.groupBy("snapshot_id").agg(F.max("second_id").alias("m")).where("m >= 40").select("snapshot_id")
-    whole = shifted.join(last, "snapshot_id", "left_semi").union(net.labels.join(last, "snapshot_id", "left_anti"))
+    whole = shifted.join(last.hint("merge"), "snapshot_id", "left_semi").union(net.labels.join(last.hint("merge"), "snapshot_id", "left_anti"))
     return repaired_labels(whole, net.polygons)
 
 

@@ -202,11 +202,11 @@ def repaired_labels(labels: DataFrame, polygons: DataFrame) -> DataFrame:
     """
     at = "line" if "line" in labels.columns else "division_time"
     n = polygons.groupBy("snapshot_id").agg(F.count("*").alias("n"))
-    rows = labels.join(n, "snapshot_id")
+    rows = labels.join(n.hint("merge"), "snapshot_id")
     inside = lambda c, shift: (F.col(c) - shift >= 0) & (F.col(c) - shift < F.col("n"))
     off = (~(inside("first_id", 0) & inside("second_id", 0))) & inside("first_id", 1) & inside("second_id", 1)
     shifts = rows.groupBy("snapshot_id").agg(F.max(off.cast("int")).alias("shift"))
-    rows = rows.join(shifts, "snapshot_id").withColumns({c: F.col(c) - F.col("shift") for c in ("first_id", "second_id")})
+    rows = rows.join(shifts.hint("merge"), "snapshot_id").withColumns({c: F.col(c) - F.col("shift") for c in ("first_id", "second_id")})
     return rows.where(inside("first_id", 0) & inside("second_id", 0) & (F.col("first_id") != F.col("second_id"))).groupBy("snapshot_id", "first_id", "second_id").agg(F.min_by("division_time", at).alias("division_time"))
 
 
