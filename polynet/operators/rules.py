@@ -142,14 +142,14 @@ def rule_metrics(features: DataFrame, pairs: DataFrame, labels: DataFrame, rules
     if exceptions is not None:
         near, real = without(near, exceptions), without(real, exceptions)
     labelled = labels.select("snapshot_id").distinct()
-    found = estimates(features, rules, exceptions).join(labelled, "snapshot_id", "left_semi")
-    hit = found.join(real.withColumn("real", F.lit(1)), PAIR, "left")
+    found = estimates(features, rules, exceptions).join(labelled.hint("merge"), "snapshot_id", "left_semi")
+    hit = found.join(real.withColumn("real", F.lit(1)).hint("merge"), PAIR, "left")
     hit = hit.groupBy("rule_id", "snapshot_id").agg(F.count("*").alias("est"), F.count("real").alias("tp"))
-    sizes = near.groupBy("snapshot_id").agg(F.count("*").alias("near")).join(labelled, "snapshot_id", "left_semi")
-    sizes = sizes.join(real.groupBy("snapshot_id").agg(F.count("*").alias("real")), "snapshot_id", "left")
+    sizes = near.groupBy("snapshot_id").agg(F.count("*").alias("near")).join(labelled.hint("merge"), "snapshot_id", "left_semi")
+    sizes = sizes.join(real.groupBy("snapshot_id").agg(F.count("*").alias("real")).hint("merge"), "snapshot_id", "left")
     every = sizes.withColumn("rule_id", F.explode(F.array(*map(F.lit, range(len(rules))))))
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    counts = every.join(hit, ["rule_id", "snapshot_id"], "left").select(
+    counts = every.join(hit.hint("merge"), ["rule_id", "snapshot_id"], "left").select(
         "rule_id", "snapshot_id", n("est").alias("estimated_pairs"), n("real").alias("real_pairs"), F.col("near").alias("neighbor_pairs"), n("tp").alias("true_positive"),
         (n("est") - n("tp")).alias("false_positive"), (n("real") - n("tp")).alias("false_negative"),
         F.greatest(F.lit(0), F.col("near") - n("est") - n("real") + n("tp")).alias("true_negative"),
