@@ -46,7 +46,7 @@ def holed_mesh(spark: SparkSession, sf_dir: str) -> Network:
     corner = 13 * row + row % 2 + 2 * k + 2
     joints = net.polygons.where(k.isin(0, 2)).select("snapshot_id", F.col("polygon_id").alias("p"), corner.alias("v1"), (corner + 13).alias("v2"))
     end = lambda n: net.vertices.select("snapshot_id", F.col("vertex_id").cast("int").alias(f"v{n}"), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
-    joints = joints.join(end(1), ["snapshot_id", "v1"]).join(end(2), ["snapshot_id", "v2"])
+    joints = joints.join(end(1).hint("merge"), ["snapshot_id", "v1"]).join(end(2).hint("merge"), ["snapshot_id", "v2"])
     point = lambda n, part, aside: F.struct(F.lit(n).alias("n"), (F.col("x1") + part * (F.col("x2") - F.col("x1")) + aside).alias("x"), (F.col("y1") + part * (F.col("y2") - F.col("y1"))).alias("y"))
     new = joints.select("snapshot_id", "p", F.explode(F.array(point(0, 0.3, 0.3), point(1, 0.6, -0.2), point(2, 0.45, -1.5), point(3, 0.45, 1.25))).alias("e")).where("p % 3 <> 0 OR e.n > 0")
     new = new.select("snapshot_id", (200 + 4 * F.col("p") + F.col("e.n")).cast("long").alias("vertex_id"), "e.x", "e.y")
