@@ -201,17 +201,17 @@ def matched_sweep(features: DataFrame, pairs: DataFrame, labels: DataFrame, feat
 
 def _greedy_sweep(features: DataFrame, pairs: DataFrame, labels: DataFrame, feature: str, thresholds: list[float], above: bool) -> DataFrame:
     near, real = pairs.select(*PAIR).distinct(), labels.select(*PAIR).distinct()
-    sizes = near.groupBy("snapshot_id").agg(F.count("*").alias("near")).join(real.groupBy("snapshot_id").agg(F.count("*").alias("real")), "snapshot_id")
+    sizes = near.groupBy("snapshot_id").agg(F.count("*").alias("near")).join(real.groupBy("snapshot_id").agg(F.count("*").alias("real")).hint("merge"), "snapshot_id")
     sizes = keep(sizes, "sizes")
     taken = match(candidates(features, feature, min(thresholds) if above else max(thresholds), above), GREEDY)
-    taken = taken.join(real.withColumn("hit", F.lit(1)), PAIR, "left").join(sizes, "snapshot_id")
+    taken = taken.join(real.withColumn("hit", F.lit(1)).hint("merge"), PAIR, "left").join(sizes.hint("merge"), "snapshot_id")
     taken = taken.select("snapshot_id", "score", evaluate.passed(F.col("value"), thresholds, above).alias("level"), F.coalesce("hit", F.lit(0)).cast("long").alias("tp"), F.lit(1).cast("long").alias("n"), (F.col("near") - F.col("real")).alias("others"))
     taken = keep(taken.withColumn("fp", F.col("n") - F.col("tp")), "taken")
     # A snapshot's true negatives don't fall below 0: where it has more false positives than other pairs, only its best ones count.
     over = taken.groupBy("snapshot_id", "others").agg(F.sum("fp").alias("all_fp")).where(F.col("all_fp") > F.greatest("others", F.lit(0))).select("snapshot_id")
     place = F.row_number().over(Window.partitionBy("snapshot_id").orderBy(F.desc("score")))
-    few = taken.where("fp = 1").join(over, "snapshot_id", "left_semi").withColumn("place", place).where("place <= others").select("level", "fp")
-    counted = few.union(taken.join(over, "snapshot_id", "left_anti").select("level", "fp"))
+    few = taken.where("fp = 1").join(over.hint("merge"), "snapshot_id", "left_semi").withColumn("place", place).where("place <= others").select("level", "fp")
+    counted = few.union(taken.join(over.hint("merge"), "snapshot_id", "left_anti").select("level", "fp"))
     rows = taken.select("level", "n", "tp", F.lit(0).cast("long").alias("lost")).union(counted.select("level", F.lit(0).cast("long"), F.lit(0).cast("long"), "fp"))
     inferred = evaluate.from_threshold_on(rows, "level", thresholds, ["n", "tp", "lost"], above)
     whole = sizes.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("near", "real")], F.coalesce(F.sum(F.greatest(F.lit(0), F.col("near") - F.col("real"))), F.lit(0)).alias("others"))
