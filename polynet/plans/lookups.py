@@ -119,7 +119,7 @@ def network_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed(net.polygons, "polygons", F.col("polygon_id").alias("id"), ring.alias("vertexIds")),
         listed(neighbours(net.polygons), "neighborPairs", F.col("second_id").alias("firstPolygonId"), F.col("first_id").alias("secondPolygonId")),
     ):
-        docs = docs.join(table, "snapshot_id")
+        docs = docs.join(table.hint("merge"), "snapshot_id")
     vertices = F.when(F.col("snapshot_id") % 6 != 5, F.concat("once", "again"))
     return networks_of(docs.select("snapshot_id", vertices.alias("vertices"), "lines", "polygons", "neighborPairs"))[1]
 

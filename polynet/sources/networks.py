@@ -56,24 +56,24 @@ def networks_of(docs: DataFrame, tidy: bool = False) -> tuple[Network, DataFrame
 
     good = lines
     for end in ("v1", "v2"):
-        good = good.join(known.withColumnRenamed("vertex_id", end), ["snapshot_id", end], "left_semi")
+        good = good.join(known.withColumnRenamed("vertex_id", end).hint("merge"), ["snapshot_id", end], "left_semi")
     ended = good
     if tidy:
         ends = [F.least("v1", "v2").alias("lo"), F.greatest("v1", "v2").alias("hi")]
         first = good.where("v1 <> v2").groupBy("snapshot_id", *ends).agg(F.min_by(F.struct("line_id", "v1", "v2"), "line_id").alias("l"))
         good = first.select("snapshot_id", "l.line_id", "l.v1", "l.v2")
-    lost = polygons.select("snapshot_id", "polygon_id", F.explode("vertex_ids").alias("vertex_id")).join(known, ["snapshot_id", "vertex_id"], "left_anti").select("snapshot_id", "polygon_id").distinct()
-    whole = polygons.where(F.size("vertex_ids") >= 3).join(lost, ["snapshot_id", "polygon_id"], "left_anti")
+    lost = polygons.select("snapshot_id", "polygon_id", F.explode("vertex_ids").alias("vertex_id")).join(known.hint("merge"), ["snapshot_id", "vertex_id"], "left_anti").select("snapshot_id", "polygon_id").distinct()
+    whole = polygons.where(F.size("vertex_ids") >= 3).join(lost.hint("merge"), ["snapshot_id", "polygon_id"], "left_anti")
     issue = lambda df, code, key, severity="warning": df.select("snapshot_id", F.lit(severity).alias("severity"), F.lit(code).alias("code"), (F.col(key) if isinstance(key, str) else key).cast("string").alias("detail"))
-    issues = issue(lines.join(ended, ["snapshot_id", "line_id"], "left_anti"), "line_without_vertex", "line_id")
+    issues = issue(lines.join(ended.hint("merge"), ["snapshot_id", "line_id"], "left_anti"), "line_without_vertex", "line_id")
     if tidy:
-        issues = issues.union(issue(ended.join(good, ["snapshot_id", "line_id"], "left_anti"), "line_of_no_length_or_repeated", "line_id"))
+        issues = issues.union(issue(ended.join(good.hint("merge"), ["snapshot_id", "line_id"], "left_anti"), "line_of_no_length_or_repeated", "line_id"))
     issues = issues.union(issue(lost, "polygon_without_vertex", "polygon_id")).union(issue(polygons.where(F.size("vertex_ids") < 3), "polygon_too_small", "polygon_id"))
     stored = docs.select("snapshot_id", F.explode("neighborPairs").alias("n")).select("snapshot_id", F.least("n.firstPolygonId", "n.secondPolygonId").alias("first_id"), F.greatest("n.firstPolygonId", "n.secondPolygonId").alias("second_id"))
     named = pairs = stored.where("first_id <> second_id").distinct()
     for end in ("first_id", "second_id"):
-        pairs = pairs.join(whole.select("snapshot_id", F.col("polygon_id").alias(end)).distinct(), ["snapshot_id", end], "left_semi")
-    unknown = named.join(pairs, ["snapshot_id", "first_id", "second_id"], "left_anti")
+        pairs = pairs.join(whole.select("snapshot_id", F.col("polygon_id").alias(end)).distinct().hint("merge"), ["snapshot_id", end], "left_semi")
+    unknown = named.join(pairs.hint("merge"), ["snapshot_id", "first_id", "second_id"], "left_anti")
     issues = issues.union(issue(unknown, "pair_without_polygon", F.concat_ws(" ", "first_id", "second_id"))).union(issue(again, "vertex_repeated", "vertex_id"))
     issues = issues.union(issue(twice, "polygon_repeated", "polygon_id"))
     issues = issues.union(issue(bare, "no_vertices", F.lit(None), "error"))
