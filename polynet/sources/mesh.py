@@ -67,7 +67,7 @@ def _bricks(snapshots: DataFrame) -> DataFrame:
 
 def _sides(polygons: DataFrame) -> DataFrame:
     ends = polygons.select("snapshot_id", F.explode(F.transform("vertex_ids", lambda v, i: F.struct(F.least(v, F.get("vertex_ids", (i + 1) % 6)).alias("v1"), F.greatest(v, F.get("vertex_ids", (i + 1) % 6)).alias("v2")))).alias("e"))
-    return ends.select("snapshot_id", "e.v1", "e.v2").distinct().withColumn("line_id", F.col("v1") * 1000 + F.col("v2"))
+    return ends.select("snapshot_id", "e.v1", "e.v2").repartition("snapshot_id", "v1", "v2").distinct().withColumn("line_id", F.col("v1") * 1000 + F.col("v2"))
 
 
 def labels(polygons: DataFrame) -> DataFrame:

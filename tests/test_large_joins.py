@@ -31,6 +31,7 @@ NAMES = [
     "holed_union_rings",
     "greedy_sweep",
     "network_issues",
+    "element_counts",
 ]
 #: Keys of joins whose smaller side has a row a rule or a flag, or one row.
 FEW = {"rule_id", "_one", "_level", "_all", "real"}
