@@ -103,11 +103,21 @@ def cell_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(mesh(spark, sf_dir)).select("snapshot_id", "polygon_id", *[_r(c).alias(c) for c in ("area", "perimeter", "cx", "cy", "aspect_ratio", "circularity")], "vertex_count")
 
 
-_HULL = """, point AS (SELECT DISTINCT s, p, v1 AS v, x1 AS x, y1 AS y FROM edge),
+def whole_sides(sql: str) -> str:
+    """The SQL with whole sides of hulls where three points or more lie on one: a point on a side leaves it a side, one on its line beyond its ends doesn't.
+
+    Points lie on steps of 0.0001 or more, so a cross product that is not 0 is far from 1e-9, and one that is 0 far below.
+    """
+    cross = "(b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)"
+    assert sql.count(f"{cross} <= 0") == 1
+    return sql.replace(f"{cross} <= 0", f"({cross} < -1e-9 OR ({cross} <= 1e-9 AND (a.x - c.x) * (b.x - c.x) + (a.y - c.y) * (b.y - c.y) > 0))")
+
+
+_HULL = whole_sides(""", point AS (SELECT DISTINCT s, p, v1 AS v, x1 AS x, y1 AS y FROM edge),
 side AS (
   SELECT a.s, a.p, a.x * b.y - b.x * a.y AS part FROM point a JOIN point b ON a.s = b.s AND a.p = b.p AND a.v <> b.v
   WHERE NOT EXISTS (SELECT 1 FROM point c WHERE c.s = a.s AND c.p = a.p AND c.v NOT IN (a.v, b.v) AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) <= 0)),
-hull AS (SELECT s, p, sum(part) / 2 AS hull FROM side GROUP BY s, p)"""
+hull AS (SELECT s, p, sum(part) / 2 AS hull FROM side GROUP BY s, p)""")
 
 
 @query(_HULL + """ SELECT c.s AS snapshot_id, c.p AS polygon_id, count(l.s) > 0 AS in_dividing_pair, round(any_value(area), 4) AS area, round(any_value(per), 4) AS perimeter,
