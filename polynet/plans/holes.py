@@ -9,7 +9,7 @@ from ..operators.adjacency import neighbours
 from ..operators.cells import cell_geometry, rings
 from ..operators.features import pair_features, union_rings
 from ..sources.mesh import Network, mesh
-from .catalogue import _MESH, PAIR, _r, query
+from .catalogue import _MESH, PAIR, _r, query, whole_sides
 
 #: The wall with a hole between the cells 5r and 5r + 1, 5r + 2 and 5r + 3 of each row; every third hole begins at the corner.
 _HOLED = (
@@ -61,7 +61,9 @@ def _pairs_and_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     return neighbours(net.polygons).select(*PAIR), cell_geometry(rings(net.vertices, net.polygons))
 
 
-@query(_HOLED + """, longest AS (SELECT s, a, b, sum(len) AS shared, arg_max({'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'len': len}, len) AS e FROM touch GROUP BY s, a, b),
+#: Of shared edges of equal length the first in the ring of the first cell counts.
+@query(whole_sides(_HOLED + """, longest AS (
+  SELECT t.s, t.a, t.b, sum(t.len) AS shared, arg_max({'x1': t.x1, 'y1': t.y1, 'x2': t.x2, 'y2': t.y2, 'len': t.len}, (t.len, -e.i)) AS e FROM touch t JOIN edge e ON e.s = t.s AND e.p = t.a AND e.v1 = t.v1 AND e.v2 = t.v2 GROUP BY t.s, t.a, t.b),
 point AS (SELECT DISTINCT q.s, q.a, q.b, e.v1 AS v, e.x1 AS x, e.y1 AS y FROM pairs q JOIN edge e ON e.s = q.s AND e.p IN (q.a, q.b)),
 side AS (
   SELECT a.s, a.a, a.b, a.x * b.y - b.x * a.y AS part FROM point a JOIN point b ON a.s = b.s AND a.a = b.a AND a.b = b.b AND a.v <> b.v
@@ -77,7 +79,7 @@ w AS (
   SELECT u.*, hull, abs((e.x2 - e.x1) * (e.y1 - my / area) - (e.y2 - e.y1) * (e.x1 - mx / area)) / e.len AS d, degrees(atan2(e.y2 - e.y1, e.x2 - e.x1)) - degrees(atan2(2 * sxy, sxx - syy) / 2) AS turn FROM u JOIN hull USING (s, a, b) JOIN mom USING (s, a, b)),
 z AS (SELECT *, turn - 180 * floor(turn / 180) AS half FROM w)
 SELECT s AS snapshot_id, a AS first_id, b AS second_id, round(greatest(w, h) / least(w, h), 4) AS unionAspectRatio, round(4 * pi() * area / per ** 2, 4) AS unionCircularity, round((hull - area) / area, 4) AS unionConvexDeficiency,
- round(d, 4) AS sharedEdgeUnionCentroidDistance, round(d / z, 4) AS sharedEdgeUnionCentroidDistanceNormalized, round(CASE WHEN half <= 90 THEN half ELSE 180 - half END, 4) AS sharedEdgeUnionAxisAngleDegrees FROM z""")
+ round(d, 4) AS sharedEdgeUnionCentroidDistance, round(d / z, 4) AS sharedEdgeUnionCentroidDistanceNormalized, round(CASE WHEN half <= 90 THEN half ELSE 180 - half END, 4) AS sharedEdgeUnionAxisAngleDegrees FROM z"""))
 def holed_pair_union_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pair_features(*_pairs_and_cells(spark, sf_dir), ("union",))
     return out.select(*PAIR, *[_r(c).alias(c) for c in out.columns if c not in PAIR])
