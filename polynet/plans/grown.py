@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import evaluate, matching
 from ..sources.mesh import customer_mesh
-from .catalogue import _MESH, FEATURE, ORACLE_SQL, PAIR, _candidates, _cells, _features, _flags, _r, _rounded, query
+from .catalogue import _MESH, FEATURE, ORACLE_SQL, PAIR, _candidates, _cells, _features, _flags, _r, _rounded, query, whole_sides
 
 _GROWN = """
 WITH RECURSIVE vertices AS (
@@ -42,7 +42,7 @@ def grown_pair_shared_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pair_features(spark, sf_dir, "shared_edge")
 
 
-@query(_sql("pair_union_shape"))
+@query(whole_sides(_sql("pair_union_shape")))
 def grown_pair_union_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pair_features(spark, sf_dir, "union")
 

@@ -6,7 +6,7 @@ import pytest
 from polynet.plans import catalogue, grown, holes  # noqa: F401
 from tests.test_networks import rows_of
 
-NAMES = ["single_cells", "pair_stats", "grown_pair_stats", "holed_pair_union_shape"]
+NAMES = ["single_cells", "pair_stats", "grown_pair_stats", "grown_pair_union_shape", "holed_pair_union_shape"]
 
 
 @pytest.fixture(scope="module")
