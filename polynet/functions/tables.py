@@ -64,6 +64,16 @@ def forget(*tables: DataFrame) -> None:
             at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt by `keys` (none: in turn) to as many tasks as `spark.sql.shuffle.partitions` says, however few bytes it takes.
+
+    Spark puts small partitions of other shuffles together by their bytes, though each row may list many
+    and ids that repeat take few bytes: one task may then hold most of a table. Distinct rows are dealt in
+    turn, as Spark drops a shuffle by the keys that they were made distinct by.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def join_hot(many: DataFrame, one: DataFrame, keys: list[str], limit: float, rows: str = "n") -> DataFrame:
     """`many` inner-joined with `one`, which has each key once and in `rows` how many rows of `many` have it.
 

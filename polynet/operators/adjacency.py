@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import dealt
 
 #: Members of an owner up to which its own pairs of members are listed.
 LISTED = 64
@@ -58,7 +59,7 @@ def neighbours(polygons: DataFrame, k: int = 2) -> DataFrame:
 
     Listed vertices are dealt by place before any sum, as one task may have listed those of very many polygons.
     """
-    members = polygons.select("snapshot_id", "polygon_id", F.explode("vertex_ids").alias("vertex_id")).repartition("snapshot_id", "vertex_id")
+    members = dealt(polygons.select("snapshot_id", "polygon_id", F.explode("vertex_ids").alias("vertex_id")), "snapshot_id", "vertex_id")
     one = _memberships(members, ["snapshot_id"], "polygon_id", "vertex_id")
     return _at_least(_joined(one, one.hint("merge"), ["snapshot_id"], "polygon_id", "vertex_id").where("first_id < second_id"), ["snapshot_id"], k)
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import dealt
 
 @dataclass(frozen=True)
 class Network:
@@ -26,7 +27,7 @@ def _fraction(c: str) -> F.Column:
 def mesh(spark: SparkSession, sf_dir: str) -> Network:
     """A snapshot for each 60 customers: 9 by 13 grid points, moved by customers' balances and parts' prices; 40 cells."""
     customers, parts = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "part"))
-    snapshots = customers.select(F.expr("c_custkey div 60").cast("long").alias("snapshot_id")).distinct()
+    snapshots = dealt(customers.select(F.expr("c_custkey div 60").cast("long").alias("snapshot_id")).distinct())
     sizes = customers.agg(F.count("*").alias("n_c")).crossJoin(parts.agg(F.count("*").alias("n_p")))  # one row
     grid = snapshots.select("snapshot_id", F.explode(F.sequence(F.lit(0), F.lit(116))).alias("vertex_id")).crossJoin(F.broadcast(sizes))
     grid = grid.withColumn("c_custkey", (131 * F.col("snapshot_id") + F.col("vertex_id")) % F.col("n_c"))
@@ -49,7 +50,7 @@ def customer_mesh(spark: SparkSession, sf_dir: str) -> Network:
     balance, g, h = F.col("c_acctbal").cast("double"), F.floor(F.col("vertex_id") / 13), F.col("vertex_id") % 13
     placed = customers.select(F.expr("c_custkey div 117").cast("long").alias("snapshot_id"), F.expr("c_custkey % 117").cast("int").alias("vertex_id"), "c_acctbal")
     vertices = placed.select("snapshot_id", "vertex_id", (10 * h + 4 * part(balance) - 2).alias("x"), (10 * g + 4 * part(balance / 7) - 2).alias("y"))
-    every = _bricks(vertices.select("snapshot_id").distinct())
+    every = _bricks(dealt(vertices.select("snapshot_id").distinct()))
     corners = every.select("snapshot_id", "polygon_id", F.explode("vertex_ids").alias("vertex_id"))
     short = corners.join(vertices.hint("merge"), ["snapshot_id", "vertex_id"], "left_anti").select("snapshot_id", "polygon_id")
     polygons = every.join(short.hint("merge"), ["snapshot_id", "polygon_id"], "left_anti")
