@@ -80,8 +80,12 @@ def relations(pairs: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def with_cells(pairs: DataFrame, cells: DataFrame) -> DataFrame:
-    """Both cells of each pair as structs `a` and `b`; pairs with a missing cell are left out."""
+    """Both cells of each pair as structs `a` and `b`; pairs with a missing cell are left out.
+
+    Pairs are dealt for either join, as rows with whole cells take far more memory than the bytes that Spark would put tasks together by.
+    """
     whole = cells.select("snapshot_id", F.struct(*[c for c in cells.columns if c != "snapshot_id"]).alias("cell"))
     first = whole.select("snapshot_id", F.col("cell.polygon_id").alias("first_id"), F.col("cell").alias("a"))
     second = whole.select("snapshot_id", F.col("cell.polygon_id").alias("second_id"), F.col("cell").alias("b"))
-    return pairs.join(first.hint("merge"), ["snapshot_id", "first_id"]).join(second.hint("merge"), ["snapshot_id", "second_id"])
+    with_first = dealt(pairs, "snapshot_id", "first_id").join(first.hint("merge"), ["snapshot_id", "first_id"])
+    return dealt(with_first, "snapshot_id", "second_id").join(second.hint("merge"), ["snapshot_id", "second_id"])

@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from ..functions.tables import dealt
 
 
 def rings(vertices: DataFrame, polygons: DataFrame) -> DataFrame:
-    """`snapshot_id`, `polygon_id`, `ring` in ring order; polygons with a missing vertex or under three are left out."""
+    """`snapshot_id`, `polygon_id`, `ring` in ring order; polygons with a missing vertex or under three are left out.
+
+    Listed vertices are dealt, as those of very many polygons take few bytes.
+    """
     flat = polygons.select("snapshot_id", "polygon_id", F.size("vertex_ids").alias("n"), F.posexplode("vertex_ids").alias("pos", "vertex_id"))
-    found = flat.join(vertices.select("snapshot_id", "vertex_id", "x", "y").hint("merge"), ["snapshot_id", "vertex_id"])
+    found = dealt(flat, "snapshot_id", "vertex_id").join(vertices.select("snapshot_id", "vertex_id", "x", "y").hint("merge"), ["snapshot_id", "vertex_id"])
     one = F.struct("pos", F.col("vertex_id").alias("v"), "x", "y")
     whole = found.groupBy("snapshot_id", "polygon_id").agg(F.array_sort(F.collect_list(one)).alias("ring"), F.first("n").alias("n"))
     whole = whole.where((F.size("ring") == F.col("n")) & (F.col("n") >= 3))

@@ -33,7 +33,8 @@ def mesh(spark: SparkSession, sf_dir: str) -> Network:
     grid = grid.withColumn("c_custkey", (131 * F.col("snapshot_id") + F.col("vertex_id")) % F.col("n_c"))
     grid = grid.withColumn("p_partkey", (97 * F.col("snapshot_id") + 7 * F.col("vertex_id")) % F.col("n_p"))
     g, h = F.floor(F.col("vertex_id") / 13), F.col("vertex_id") % 13
-    moved = grid.join(customers.select("c_custkey", "c_acctbal").hint("merge"), "c_custkey").join(parts.select("p_partkey", "p_retailprice").hint("merge"), "p_partkey")
+    moved = dealt(grid, "c_custkey").join(customers.select("c_custkey", "c_acctbal").hint("merge"), "c_custkey")
+    moved = dealt(moved, "p_partkey").join(parts.select("p_partkey", "p_retailprice").hint("merge"), "p_partkey")
     vertices = moved.select("snapshot_id", "vertex_id", (10 * h + 4 * _fraction("c_acctbal") - 2).alias("x"), (10 * g + 4 * _fraction("p_retailprice") - 2).alias("y"))
 
     polygons = _bricks(snapshots)

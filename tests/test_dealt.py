@@ -1,8 +1,11 @@
 """What lists many rows from few is dealt to all tasks, though it takes so few bytes that Spark would put it into one."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from polynet.operators.adjacency import neighbours
+from polynet.operators.adjacency import neighbours, with_cells
+from polynet.operators.cells import rings
 from polynet.sources.mesh import customer_mesh, mesh
 
 SF = "/root/testdata/sf0.01"
@@ -27,3 +30,26 @@ def test_members_stay_dealt_however_small(spark):
     assert "REPARTITION_BY_NUM" in plan(found)
     assert "REPARTITION_BY_COL" not in plan(found)
     assert sorted((r.snapshot_id, r.first_id, r.second_id, r.n_shared) for r in found.collect()) == [(s, p, p + 1, 2) for s in range(3) for p in range(3)]
+
+
+CELLS = "snapshot_id long, polygon_id int, vertex_ids array<int>"
+
+
+def test_pairs_are_dealt_before_they_meet_whole_cells(spark):
+    pairs = spark.createDataFrame([(s, p, p + 1) for s in range(3) for p in range(4)], "snapshot_id long, first_id int, second_id int")
+    cells = spark.createDataFrame([(s, p, [p, p + 1]) for s in range(3) for p in range(4)], CELLS)
+    found = with_cells(pairs, cells)
+    assert plan(found).count("REPARTITION_BY_NUM") == 2
+    assert sorted((r.snapshot_id, r.a.polygon_id, r.b.polygon_id) for r in found.collect()) == [(s, p, p + 1) for s in range(3) for p in range(3)]
+
+
+def test_listed_corners_are_dealt_before_they_meet_vertices(spark):
+    vertices = spark.createDataFrame([(s, v, float(v % 2), float(v // 2)) for s in range(3) for v in range(4)], "snapshot_id long, vertex_id int, x double, y double")
+    polygons = spark.createDataFrame([(s, 0, [0, 1, 3]) for s in range(3)] + [(0, 1, [0, 1, 9])], CELLS)
+    found = rings(vertices, polygons)
+    assert plan(found).count("REPARTITION_BY_NUM") == 1
+    assert sorted((r.snapshot_id, r.polygon_id, [p.v for p in r.ring]) for r in found.collect()) == [(s, 0, [0, 1, 3]) for s in range(3)]
+
+
+def test_grid_points_are_dealt_before_they_meet_customers_and_parts(spark):
+    assert len(re.findall(r"hashpartitioning\((?:c_custkey|p_partkey)#\d+L?, \d+\), REPARTITION_BY_NUM", plan(mesh(spark, SF).vertices))) == 2
