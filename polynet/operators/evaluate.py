@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import quotient
-from ..functions.tables import keep, with_before
+from ..functions.tables import dealt, keep, with_before
 from .adjacency import neighbours
 
 PAIR = ["snapshot_id", "first_id", "second_id"]
@@ -124,7 +124,7 @@ def compare(first: DataFrame, second: DataFrame) -> DataFrame:
     """Pairs that two results with `observed`, `estimated`, `value` judge differently, as first minus second."""
     key = [*PAIR, "observed"]
     other = second.select(*key, F.col("estimated").alias("_estimated"), F.col("value").alias("_value"))
-    joined = first.join(other.hint("merge"), key).where(F.col("estimated") != F.col("_estimated"))
+    joined = dealt(first, *key).join(other.hint("merge"), key).where(F.col("estimated") != F.col("_estimated"))
     return joined.select(*key, (F.col("estimated") - F.col("_estimated")).alias("estimated_division_difference"), (F.col("value") - F.col("_value")).alias("feature_difference"))
 
 

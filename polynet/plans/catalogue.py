@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import dealt
 from ..operators import evaluate, matching, topology
 from ..operators.adjacency import neighbours, relations, share_k_pairs
 from ..operators.cells import cell_geometry, rings, single_cell_table, with_solidity
@@ -274,7 +275,7 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compare_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = mesh(spark, sf_dir)
     real = net.labels.select(*PAIR, F.lit(1).alias("observed"))
-    rows = _features(net, "junction").join(real.hint("merge"), PAIR, "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
+    rows = dealt(_features(net, "junction"), *PAIR).join(real.hint("merge"), PAIR, "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
     result = lambda feature, t: rows.select(*PAIR, "observed", (F.col(feature) >= t).cast("int").alias("estimated"), F.col(feature).alias("value"))
     out = evaluate.compare(result(FEATURE, THRESHOLD), result("junctionAngleMaxDegrees", 160.0))
     return out.withColumn("feature_difference", _r("feature_difference"))

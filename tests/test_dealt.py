@@ -2,10 +2,12 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from polynet.operators.adjacency import neighbours, with_cells
 from polynet.operators.cells import rings
+from polynet.plans import catalogue, ruling  # noqa: F401 (the latter registers its queries with the first)
 from polynet.sources.mesh import customer_mesh, mesh
 
 SF = "/root/testdata/sf0.01"
@@ -53,3 +55,14 @@ def test_listed_corners_are_dealt_before_they_meet_vertices(spark):
 
 def test_grid_points_are_dealt_before_they_meet_customers_and_parts(spark):
     assert len(re.findall(r"hashpartitioning\((?:c_custkey|p_partkey)#\d+L?, \d+\), REPARTITION_BY_NUM", plan(mesh(spark, SF).vertices))) == 2
+
+
+@pytest.mark.parametrize(
+    ("name", "dealt_by_pair"), [("compare_results", 2)]
+)
+def test_pairs_stay_dealt_when_they_meet_labels_and_results(spark, name, dealt_by_pair):
+    text = plan(catalogue.QUERIES[name](spark, SF))
+    by_pair = re.findall(r"hashpartitioning\(snapshot_id#\w+, first_id#\w+, second_id#\w+(?:, observed#\w+)?, \d+\), REPARTITION_BY_NUM", text)
+    assert len(set(by_pair)) >= dealt_by_pair
+    if name == "division_angles":  # its second meeting with the cells, for their centroids, as the first one
+        assert len(re.findall(r"hashpartitioning\(snapshot_id#\w+, second_id#\w+, \d+\), REPARTITION_BY_NUM", text)) == 2
