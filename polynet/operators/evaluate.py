@@ -23,7 +23,7 @@ def universe(polygons: DataFrame, stored: DataFrame | None = None) -> DataFrame:
 def flagged(pairs: DataFrame, estimated: DataFrame, labels: DataFrame) -> DataFrame:
     """Every neighbouring, inferred or labelled pair with flags `near`, `est`, `real`."""
     flag = lambda df, name: df.select(*PAIR).distinct().withColumn(name, F.lit(True))
-    out = flag(pairs, "near").join(flag(estimated, "est").hint("merge"), PAIR, "full").join(flag(labels, "real").hint("merge"), PAIR, "full")
+    out = flag(pairs, "near").join(flag(dealt(estimated.select(*PAIR), *PAIR), "est").hint("merge"), PAIR, "full").join(flag(labels, "real").hint("merge"), PAIR, "full")
     return out.select(*PAIR, *[F.coalesce(c, F.lit(False)).alias(c) for c in ("near", "est", "real")])
 
 
