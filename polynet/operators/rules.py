@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
-from ..functions.tables import keep
+from ..functions.tables import dealt, keep
 from . import evaluate
 from .feature_names import LABELS
 from .matching import GLOBAL, GREEDY, UNCONSTRAINED, candidates, match, passes
@@ -171,7 +171,8 @@ def sweep_wide(features: DataFrame, labels: DataFrame, feature: str, thresholds:
 def division_positions(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     """Pairs with both centroids, the point between them, and the angle between them: acute, and folded to 0-180."""
     at = lambda c: cells.select("snapshot_id", F.col("polygon_id").alias(f"{c}_id"), F.col("cx").alias(f"{c}_x"), F.col("cy").alias(f"{c}_y"))
-    out = pairs.select(*PAIR).join(at("first").hint("merge"), ["snapshot_id", "first_id"]).join(at("second").hint("merge"), ["snapshot_id", "second_id"])
+    out = dealt(pairs.select(*PAIR), "snapshot_id", "first_id").join(at("first").hint("merge"), ["snapshot_id", "first_id"])
+    out = dealt(out, "snapshot_id", "second_id").join(at("second").hint("merge"), ["snapshot_id", "second_id"])
     dx, dy = F.col("second_x") - F.col("first_x"), F.col("second_y") - F.col("first_y")
     middle = lambda c: (F.col(f"first_{c}") + F.col(f"second_{c}")) / 2
     return out.select(*PAIR, "first_x", "first_y", "second_x", "second_y", middle("x").alias("mid_x"), middle("y").alias("mid_y"), F.degrees(F.atan2(F.abs(dy), F.abs(dx))).alias("acute_angle"), F.degrees(F.abs(F.atan2(dy, dx))).alias("angle_180"))
