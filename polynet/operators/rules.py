@@ -227,7 +227,7 @@ def _greedy_sweep(features: DataFrame, pairs: DataFrame, labels: DataFrame, feat
 def feature_histogram(features: DataFrame, labels: DataFrame, feature: str, width: float) -> DataFrame:
     """Pairs by whether they are labelled and by bins of `width`: `real`, `bin` (its lower end), `n`; undefined values don't count."""
     rows = features.where(F.col(feature).isNotNull() & ~F.isnan(feature))
-    rows = rows.join(labels.select(*PAIR).distinct().withColumn("real", F.lit(True)).hint("merge"), PAIR, "left").withColumn("real", F.coalesce("real", F.lit(False)))
+    rows = dealt(rows, *PAIR).join(labels.select(*PAIR).distinct().withColumn("real", F.lit(True)).hint("merge"), PAIR, "left").withColumn("real", F.coalesce("real", F.lit(False)))
     return rows.groupBy("real", (F.floor(F.col(feature) / width) * F.lit(float(width))).alias("bin")).agg(F.count("*").alias("n"))
 
 

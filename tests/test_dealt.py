@@ -58,7 +58,7 @@ def test_grid_points_are_dealt_before_they_meet_customers_and_parts(spark):
 
 
 @pytest.mark.parametrize(
-    ("name", "dealt_by_pair"), [("compare_results", 2), ("confusion_by_snapshot", 1), ("division_angles", 0)]
+    ("name", "dealt_by_pair"), [("compare_results", 2), ("confusion_by_snapshot", 1), ("division_angles", 0), ("feature_histogram", 1)]
 )
 def test_pairs_stay_dealt_when_they_meet_labels_and_results(spark, name, dealt_by_pair):
     text = plan(catalogue.QUERIES[name](spark, SF))
