@@ -180,7 +180,7 @@ def division_positions(pairs: DataFrame, cells: DataFrame) -> DataFrame:
 
 def feature_summary(features: DataFrame, labels: DataFrame, feature: str) -> DataFrame:
     """Count, mean and quartiles of a feature for labelled and other pairs; undefined values don't count."""
-    rows = features.join(labels.select(*PAIR).distinct().withColumn("real", F.lit(True)).hint("merge"), PAIR, "left")
+    rows = dealt(features, *PAIR).join(labels.select(*PAIR).distinct().withColumn("real", F.lit(True)).hint("merge"), PAIR, "left")
     value = F.col(feature).cast("double")
     rows = keep(rows.select(F.coalesce("real", F.lit(False)).alias("real"), F.when(~F.isnan(value), value).alias("value")), "values")
     quartiles = quantiles(rows, ["real"], "value", (0.25, 0.5, 0.75))

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from polynet.operators import evaluate, rules
 from polynet.operators.adjacency import neighbours, with_cells
 from polynet.operators.cells import rings
 from polynet.plans import catalogue, ruling  # noqa: F401 (the latter registers its queries with the first)
@@ -66,3 +67,14 @@ def test_pairs_stay_dealt_when_they_meet_labels_and_results(spark, name, dealt_b
     assert len(set(by_pair)) >= dealt_by_pair
     if name == "division_angles":  # its second meeting with the cells, for their centroids, as the first one
         assert len(re.findall(r"hashpartitioning\(snapshot_id#\w+, second_id#\w+, \d+\), REPARTITION_BY_NUM", text)) == 2
+
+
+@pytest.mark.parametrize(("module", "name"), [(rules, "feature_summary")])
+def test_pairs_stay_dealt_in_tables_written_on_the_way(spark, monkeypatch, module, name):
+    plain, seen = module.keep, []
+    monkeypatch.setattr(module, "keep", lambda df, *a: seen.append(plan(df)) or plain(df, *a))
+    rows = spark.createDataFrame([(0, 1, 2, 90.0), (0, 2, 3, 150.0)], "snapshot_id long, first_id int, second_id int, value double")
+    labels = rows.where("value > 100").select("snapshot_id", "first_id", "second_id")
+    more = ([100.0],) if name == "sweep" else ()
+    getattr(module, name)(rows, labels, "value", *more).collect()
+    assert re.search(r"hashpartitioning\(snapshot_id#\w+, first_id#\w+, second_id#\w+, \d+\), REPARTITION_BY_NUM", seen[0])
