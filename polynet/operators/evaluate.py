@@ -107,7 +107,7 @@ def from_threshold_on(rows: DataFrame, level: str, thresholds: list[float], sums
 def sweep(features: DataFrame, labels: DataFrame, feature: str, thresholds: list[float], above: bool = True) -> DataFrame:
     """Metrics of the unconstrained rule at each of the distinct thresholds, features read once, however many thresholds there are."""
     real = labels.select(*PAIR).distinct().withColumn("real", F.lit(1))
-    rows = features.select(*PAIR, F.col(feature).cast("double").alias("value")).join(real.hint("merge"), PAIR, "left").select(F.coalesce("real", F.lit(0)).cast("long").alias("real"), "value")
+    rows = dealt(features.select(*PAIR, F.col(feature).cast("double").alias("value")), *PAIR).join(real.hint("merge"), PAIR, "left").select(F.coalesce("real", F.lit(0)).cast("long").alias("real"), "value")
     rows = rows.groupBy(passed(F.col("value"), thresholds, above).alias("level"), "real").agg(F.count("*").alias("n"))
     rows = keep(rows, "levels")  # at most two for each threshold
     inferred = from_threshold_on(rows.withColumn("tp", F.col("n") * F.col("real")), "level", thresholds, ["n", "tp"], above)

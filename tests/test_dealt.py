@@ -69,7 +69,7 @@ def test_pairs_stay_dealt_when_they_meet_labels_and_results(spark, name, dealt_b
         assert len(re.findall(r"hashpartitioning\(snapshot_id#\w+, second_id#\w+, \d+\), REPARTITION_BY_NUM", text)) == 2
 
 
-@pytest.mark.parametrize(("module", "name"), [(rules, "feature_summary")])
+@pytest.mark.parametrize(("module", "name"), [(rules, "feature_summary"), (evaluate, "sweep")])
 def test_pairs_stay_dealt_in_tables_written_on_the_way(spark, monkeypatch, module, name):
     plain, seen = module.keep, []
     monkeypatch.setattr(module, "keep", lambda df, *a: seen.append(plan(df)) or plain(df, *a))
