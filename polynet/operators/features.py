@@ -205,8 +205,12 @@ NEEDS = {"union": with_moments, "junction": with_angles}
 
 
 def pair_features(pairs: DataFrame, cells: DataFrame, families: tuple[str, ...] = tuple(FAMILIES)) -> DataFrame:
-    """`snapshot_id`, `first_id`, `second_id` and the features of the given families. Unused ones are pruned with what they need."""
-    joined, columns = joined_pairs(pairs, cells), {}
+    """`snapshot_id`, `first_id`, `second_id` and the features of the given families. Unused ones are pruned with what they need.
+
+    Spark takes cells through joins and sorts whole, also if one field is used, so those for angles alone are cut down to their rings before.
+    """
+    only_rings = set(families) <= {"junction"}
+    joined, columns = with_cells(pairs, cells.select("snapshot_id", "polygon_id", "ring")) if only_rings else joined_pairs(pairs, cells), {}
     for f in families:
         joined = NEEDS[f](joined) if f in NEEDS else joined
         columns |= FAMILIES[f]()

@@ -21,10 +21,13 @@ def passes(value: Column, threshold: Column | float, above: Column | bool = True
 
 
 def candidates(features: DataFrame, feature: str, threshold: float, above: bool = True) -> DataFrame:
-    """Pairs that pass a rule, with their `score`: how far past the threshold they are."""
-    value = F.col(feature)
-    kept = features.where(passes(value, F.lit(threshold), above))
-    return kept.select("snapshot_id", "first_id", "second_id", value.alias("value"), F.when(F.lit(above), value - threshold).otherwise(threshold - value).alias("score"))
+    """Pairs that pass a rule, with their `score`: how far past the threshold they are.
+
+    The value goes through an array of one: no filter passes below that, where Spark would write the feature's whole formula out for each use of it.
+    """
+    value = F.col("value")
+    kept = features.select("snapshot_id", "first_id", "second_id", F.explode(F.array(feature)).alias("value")).where(passes(value, F.lit(threshold), above))
+    return kept.select("snapshot_id", "first_id", "second_id", "value", F.when(F.lit(above), value - threshold).otherwise(threshold - value).alias("score"))
 
 
 def greedy_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
